@@ -49,6 +49,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), token_pattern())
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_duplicates
 
@@ -60,6 +66,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op7_langid": op7_langid,
     "op8_secrets": op8_secrets,
+    "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
