@@ -31,6 +31,12 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_documents
 
@@ -75,6 +81,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ann": op1_ann,
+    "op2_lm_score": op2_lm_score,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_packing": op4_packing,
     "op5_repeats": op5_repeats,
