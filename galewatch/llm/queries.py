@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc
 from .common import small_batches
 
 
@@ -55,6 +56,12 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives
+
+    return derivatives(_table(spark, sf_dir, "pages"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -85,6 +92,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_packing": op4_packing,
     "op5_repeats": op5_repeats,
+    "op6_warc": op6_warc,
     "op7_langid": op7_langid,
     "op8_secrets": op8_secrets,
     "op9_near_dedup": op9_near_dedup,
@@ -92,6 +100,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op6_warc": warc.oracle(),
     "op10_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
