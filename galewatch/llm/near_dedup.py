@@ -5,8 +5,9 @@ least of its other bits as a register of 16 bits, the number of leading zeros an
 without a shingle take the register of another by fixed probing. Bands of four registers propose partners.
 
 1. Documents of one shingle set are one node, so copies cost nothing further.
-2. In each band's bucket every node is paired with the bucket's node of least hash: as many pairs as nodes.
-3. A pair is estimated from its registers, with the chance that unequal minima share a register taken off, and pairs
+2. Shingles that no other node of the large buckets has are counted. They bound what two nodes can share, and the node
+   with the least share of them is a bucket's centre, as edited copies have more of them than what they are copies of.
+3. In each band's bucket every node is paired with the centre: as many pairs as nodes. A pair is estimated from its registers, with the chance that unequal minima share a register taken off, and pairs
    that may link are confirmed on full shingle sets. Links give components by alternating large and small stars.
 4. Only buckets of three or more nodes with more than one component may hold a further link. There each node outside
    the main component is estimated against all nodes of other components, in chunks of bounded size, and what may link
@@ -29,8 +30,8 @@ BANDS = REGISTERS // ROWS
 BITS = 64 - 7
 #: How far below the threshold an estimate may be: five standard deviations.
 MARGIN = 0.2
-#: Nodes of a bucket in one chunk.
-CHUNK = 1024
+#: Nodes of a bucket in one chunk, and from which on its nodes' own shingles are counted.
+CHUNK, LARGE = 1024, 8
 WIDTH, PERCENT = 5, 80
 SKETCH = "doc_id long, n_shingles long, digest binary, sketch binary"
 
@@ -135,9 +136,10 @@ def sketches(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, SKETCH)
 
 
-def _alike(percent: int, n: str, m: str) -> Column:
-    """Sizes that allow a link."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _may_link(percent: int) -> Column:
+    """Whether nodes of n and m shingles, of which u and w are theirs alone (null: not counted), may link by size."""
+    most = F.least("n", "m", F.when(F.col("u").isNotNull() & F.col("w").isNotNull(), F.least(F.col("n") - F.col("u"), F.col("m") - F.col("w"))))
+    return 100 * most >= percent * (F.col("n") + F.col("m") - most)
 
 
 def _band_rows(nodes: DataFrame, *more: str) -> DataFrame:
@@ -173,8 +175,8 @@ def _set_filter(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets link."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """(id, x): the sorted shingle hashes of wanted nodes (id, digest)."""
 
     def of_text(batches):
         import xxhash
@@ -185,10 +187,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, p
                 [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "digest", "x"]
             )
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text")).join(wanted, "id", "left_semi")
-    sets = texts.mapInArrow(of_text, "id long, digest binary, x binary").join(nodes.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "x")
-    sets = settled(sets.dropDuplicates(["id"]), "lz4")
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text")).join(wanted.select("id"), "id", "left_semi")
+    sets = texts.mapInArrow(of_text, "id long, digest binary, x binary").join(wanted.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "x")
+    return settled(sets.dropDuplicates(["id"]), "lz4")
+
+
+def _listed(batches):
+    for batch in batches:
+        x = [np.frombuffer(b, np.int64) for b in batch.column("x").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(x, pa.list_(pa.int64()))], names=["id", "x"])
+
+
+def own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, u): how many shingles each of ids has that no other of them has."""
+    each = sets.join(ids, "id", "left_semi").mapInArrow(_listed, "id long, x array<long>").select("id", F.explode("x").alias("h"))
+    alone = each.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+    return settled(ids.join(alone, "id", "left").select("id", F.coalesce("u", F.lit(0)).cast("long").alias("u")))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets link."""
     one, two = sets.select(F.col("id").alias("a"), F.col("x").alias("xa")), sets.select(F.col("id").alias("b"), F.col("x").alias("xb"))
     return settled(pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(_set_filter(percent), "a long, b long"))
 
@@ -219,10 +237,12 @@ def _crossing(percent: int):
         t = pa.Table.from_batches(rows)
         s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
         i, n, comp, other, chunk = (t.column(c).to_numpy() for c in ("id", "n", "comp", "other", "chunk"))
+        shared = n - t.column("u").fill_null(0).to_numpy() if t.column("u").null_count == 0 else n
         a, b = [], []
         for x in np.flatnonzero(other):
             # Two nodes outside the main component are in every chunk; the first chunk pairs them.
-            able = (comp != comp[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & (~other | ((chunk == 0) & (i > i[x])))
+            most = np.minimum(np.minimum(shared, shared[x]), np.minimum(n, n[x]))
+            able = (comp != comp[x]) & (100 * most >= percent * (n + n[x] - most)) & (~other | ((chunk == 0) & (i > i[x])))
             able = np.flatnonzero(able)
             if able.size:
                 able = able[estimate(s[able], s[x], n[able], n[x]) >= percent / 100 - MARGIN]
@@ -260,33 +280,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     seen = settled(sketches(docs, width, doc_id, text))
     able = seen.filter("digest is not null and doc_id is not null")
-    nodes = settled(able.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    nodes = classes = settled(able.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
 
     rows = _band_rows(nodes)
-    rank = F.struct(F.xxhash64("id").alias("rank"), F.col("id").alias("b"), F.col("n").alias("m"))
-    centres = rows.groupBy("key").agg(F.count("*").alias("c"), F.min(rank).alias("centre")).filter("c > 1").select("key", "c", "centre.b", "centre.m")
-    centres = settled(centres)
-    star = rows.join(centres, "key").filter((F.col("id") != F.col("b")) & _alike(percent, "n", "m")).select(F.col("id").alias("a"), "n", "b", "m").distinct()
+    keys = settled(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    members = settled(rows.join(keys, "key").groupBy("id").agg(F.max("c").alias("c")))
+    sets = shingle_sets(docs, nodes.join(members, "id", "left_semi"), width, doc_id, text)
+    own = own_shingles(sets, members.filter(F.col("c") >= LARGE).select("id"))
+    nodes = settled(nodes.join(members.select("id"), "id").join(own, "id", "left"))
+
+    rows = _band_rows(nodes, "u").join(keys, "key")
+    rank = F.struct((F.coalesce("u", F.lit(0)) / F.col("n")).alias("share"), F.xxhash64("id").alias("rank"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("u").alias("w"))
+    centres = settled(rows.groupBy("key").agg(F.first("c").alias("c"), F.min(rank).alias("centre")).select("key", "c", "centre.b", "centre.m", "centre.w"))
+    star = _band_rows(nodes, "u").join(centres, "key").filter((F.col("id") != F.col("b")) & _may_link(percent)).select(F.col("id").alias("a"), "n", "b", "m").distinct()
     one, two = (nodes.groupBy(F.col("id").alias(x)).agg(F.first("sketch").alias(f"s{x}")) for x in "ab")
     pairs = settled(star.join(one, "a").join(two, "b").select("a", "b", "n", "m", "sa", "sb").mapInArrow(_sketch_filter(percent), "a long, b long"))
-    links = confirmed(pairs, docs, nodes, width, percent, doc_id, text)
+    links = confirmed(pairs, sets, percent)
     found = settled(components(links))
 
-    named = nodes.join(found, "id", "left").select("id", "n", "sketch", F.coalesce("component", "id").alias("comp"))
-    rows = _band_rows(named, "comp", "sketch")
+    named = nodes.join(found, "id", "left").select("id", "n", "u", "sketch", F.coalesce("component", "id").alias("comp"))
     busy = centres.filter("c > 2").join(found.withColumnRenamed("id", "b"), "b", "left").select("key", "c", F.coalesce("component", "b").alias("main"))
     mixed = _band_rows(named, "comp").join(busy, "key").groupBy("key").agg(F.first("c").alias("c"), F.first("main").alias("main"), F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q")
     mixed = settled(mixed.select("key", "main", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")))
     if not mixed.isEmpty():
-        own = F.array(F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
-        dealt = rows.join(mixed, "key").withColumn("other", F.col("comp") != F.col("main"))
-        dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)))
-        dealt = dealt.select("key", "chunk", "id", "n", "comp", "other", "sketch").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+        mine = F.array(F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
+        dealt = _band_rows(named, "u", "comp", "sketch").join(mixed, "key").withColumn("other", F.col("comp") != F.col("main"))
+        dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(mine)))
+        dealt = dealt.select("key", "chunk", "id", "n", "u", "comp", "other", "sketch").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
         more = settled(dealt.mapInArrow(_crossing(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not more.isEmpty():
-            links = links.union(confirmed(more, docs, nodes, width, percent, doc_id, text))
+            links = links.union(confirmed(more, sets, percent))
             found = settled(components(links))
 
-    label = settled(nodes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component")))
+    label = settled(classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component")))
     out = seen.join(label, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
