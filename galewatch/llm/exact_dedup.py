@@ -101,3 +101,14 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         (F.col("top.rid") == F.col("rid")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows that exact_duplicates() keeps, with all their columns."""
+    digest = F.lower(F.sha2(text_of(text), 256))
+    found = settled(exact_duplicates(docs, doc_id, text, block))
+    keys = found.filter("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    rows = docs.join(keys, (F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))) == F.col("_kept_id")) & (digest == F.col("_kept_sha")), "left_semi")
+    if not found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():
+        rows = rows.dropDuplicates([doc_id, text])  # rows repeated with their id
+    return rows

@@ -208,23 +208,43 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     with score 0, and rejected; so is a text whose best language has less than `least`. Without labelled rows every
     text is `und`. No shuffle but the sample's. Repeated rows give repeated results.
     """
-    labelled = sample(docs, doc_id, text, lang, parts, per_language)
-    net = train([t for t, _ in labelled], [n for _, n in labelled])
+    predict = _predictor(docs, doc_id, text, lang, parts, per_language)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            some = [bool(net.languages) and t is not None and any(map(str.isalpha, t)) for t in texts]
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            which = [i for i, x in enumerate(some) if x]
-            if which:
-                prob = pooled(net, [texts[i].encode() for i in which])
-                for i, p in zip(which, prob, strict=True):
-                    best = int(p.argmax())
-                    names[i], scores[i] = net.languages[best], float(min(1.0, p[best]))
+            names, scores = predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([s < least for s in scores], pa.bool_())],
                 names=["doc_id", "held_out", "lang_pred", "score", "reject"],
             )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold(doc_id, parts) == 0).alias("held_out"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", parts: int = 5, per_language: int = SAMPLE, least: float = LEAST) -> DataFrame:
+    """The rows that identify() doesn't reject, with all their columns."""
+    predict, place = _predictor(docs, doc_id, text, lang, parts, per_language), docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            _, scores = predict(batch.column(place).to_pylist())
+            yield batch.filter(pa.array([s >= least for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _predictor(docs: DataFrame, doc_id: str, text: str, lang: str, parts: int, per_language: int):
+    """A trained function from texts to names and scores."""
+    labelled = sample(docs, doc_id, text, lang, parts, per_language)
+    net = train([t for t, _ in labelled], [n for _, n in labelled])
+
+    def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        which = [i for i, t in enumerate(texts) if net.languages and t is not None and any(map(str.isalpha, t))]
+        if which:
+            for i, p in zip(which, pooled(net, [texts[i].encode("utf-8", "surrogatepass") for i in which]), strict=True):
+                best = int(p.argmax())
+                names[i], scores[i] = net.languages[best], float(min(1.0, p[best]))
+        return names, scores
+
+    return predict

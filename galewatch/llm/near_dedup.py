@@ -315,3 +315,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     label = settled(classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component")))
     out = seen.join(label, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows whose id is the least of their component's, or that have none, with all their columns."""
+    found = near_duplicates(docs, doc_id, text, width, percent)
+    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone_id"), "left_anti")
