@@ -2,13 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from galewatch.llm import exact_dedup, langid, near_dedup, packing, secrets
 from galewatch.llm.common import settled, small_batches
+from galewatch.llm.queries import token_pattern, vocabulary
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, and those of no language with any likelihood, go."""
+    small_batches(spark)
+    return langid.identified(docs)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    small_batches(spark)
+    return exact_dedup.deduplicated(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a component of near copies, by five-word shingles and a similarity of 0.8, the document with the least id stays."""
+    small_batches(spark)
+    return near_dedup.deduplicated(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; all documents stay, and their numbers of characters follow."""
+    small_batches(spark)
+    clean = secrets.redact(docs, vocabulary("byte_bpe_50k.tiktoken"), token_pattern())
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else clean
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as sequences of at most 4096 tokens."""
+    small_batches(spark)
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup_stage), ("near_dedup", near_dedup_stage), ("secret_scan", secret_scan), ("packing", pack)]
 
 #: Trained language identification and packing by dynamic programming have no SQL.
 ORACLE_SQL = None
