@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def rare_collections() -> None:
+    """For workers that keep large caches without cycles: look for garbage cycles rarely."""
+    gc.set_threshold(200_000, 50, 100)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one below the warehouse where none is set, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -12,6 +12,8 @@ and are further transitions.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -22,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .agenda import PairTable, merge_all
+from .common import rare_collections, text_of
 
 CAPACITY = 4096
 #: Costs in padding tokens: a cut at a sentence's end, any other cut inside a document, and a window.
@@ -30,7 +33,8 @@ SENTENCE, INSIDE, WINDOW = 6, 40, 2
 #: Tokens between further places in a long sentence, and of a stream that is packed at once.
 STEP, BLOCK = 64, 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-KEPT = 400_000
+#: Chunks, and words, kept by a worker.
+KEPT = 800_000
 
 
 def places(ends: np.ndarray, sentences: np.ndarray, capacity: int = CAPACITY, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -56,13 +60,16 @@ def cuts(place: np.ndarray, truncation: np.ndarray, capacity: int = CAPACITY, th
     powers = [1 << k for k in range(capacity.bit_length()) if 1 << k <= capacity]
     near = 0 if thorough else int(np.searchsorted(place, total - capacity))
 
-    def exact(size: int) -> list[int]:
-        want = place - size
-        i = np.searchsorted(place, want)
-        return np.where((want >= 0) & (place[np.minimum(i, len(place) - 1)] == want), i, -1).tolist()
+    index = np.full(total + 1, -1)
+    index[place] = np.arange(len(place))
+
+    def exact(size: int, first: int = 0) -> list[int]:
+        """For the places from the first on, the one that lies size before, if there is one."""
+        want = place[first:] - size
+        return np.where(want >= 0, index[np.maximum(want, 0)], -1).tolist()
 
     large = [exact(p) for p in powers if 4 * p >= capacity]
-    small = [exact(p) for p in powers if 4 * p < capacity]
+    small = [exact(p, near) for p in powers if 4 * p < capacity]
     pos, cut = place.tolist(), truncation.tolist()
     cost, back = [0.0] * len(pos), [-1] * len(pos)
     queue: deque[int] = deque([0])
@@ -76,10 +83,15 @@ def cuts(place: np.ndarray, truncation: np.ndarray, capacity: int = CAPACITY, th
             best = key[source] + capacity - at
         else:
             source, best = -1, float("inf")
-        for back_at in large if j < near else (*large, *small):
+        for back_at in large:
             i = back_at[j]
             if i >= 0 and cost[i] < best:
                 source, best = i, cost[i]
+        if j >= near:
+            for back_at in small:
+                i = back_at[j - near]
+                if i >= 0 and cost[i] < best:
+                    source, best = i, cost[i]
         best += cut[j] + WINDOW
         cost[j], back[j] = best, source
         key[j] = k = best + at
@@ -111,34 +123,103 @@ def pack(streams: list[np.ndarray], enders: np.ndarray, capacity: int = CAPACITY
                 begin, doc = at, doc + 1
 
 
+def lowered(text: str) -> str:
+    """A text of Latin-1 characters in lower case, which the vocabulary makes it anyway; others as they are."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class ChunkTokenizer:
-    """Token ids of texts, as the library gives them. The vocabulary drops white space, so chunks between spaces are encoded once each."""
+    """Token ids of texts, as the library gives them.
+
+    The vocabulary drops white space, so chunks between spaces are encoded once each. A chunk that is a word of common
+    letters and marks after it, which the vocabulary splits there, is put together from the word's ids, which are merged here for many words at once; the
+    library encodes all others, and the first words that are merged here are checked against it.
+    """
+
+    #: Letters that have one lower-case form and no decomposition to undo.
+    SIMPLE = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)""")
 
     def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.kept = kept
-        vocab = self.library.get_vocab()
-        self.enders = np.zeros(max(vocab.values()) + 1, bool)
+        self.words: dict[str, bytes] = {"": b""}
+        self.kept, self.checked = kept, 0
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.table = PairTable({(vocab[x], vocab[y]): (rank, vocab[x + y]) for rank, (x, y) in reversed(list(enumerate(merges)))})
+        # Bytes that print as themselves keep their character; the others have those from 256 on, in order.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.inner, self.last = (np.array([vocab[shown[b] + x] for b in range(256)], np.int32) for x in ("", end))
+        self.enders = np.zeros(max(vocab.values()) + 3, bool)
         for token, i in vocab.items():
-            word = token.removesuffix("</w>")
-            self.enders[i] = token.endswith("</w>") and word[-1:] in tuple(".!?") and not any(c.isalnum() for c in word)
+            word = token.removesuffix(end)
+            self.enders[i] = token.endswith(end) and word[-1:] in tuple(".!?") and not any(c.isalnum() for c in word)
+
+    def by_library(self, names: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(names, add_special_tokens=False)]
+
+    def merge(self, words: list[str]) -> None:
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        symbols, ends = self.inner[flat], np.cumsum(size) - 1
+        symbols[ends] = self.last[flat[ends]]
+        for which, merged, stop in merge_all(symbols, size, self.table):
+            ids, at = merged.astype("<u4").tobytes(), 0
+            for i, end in zip(which.tolist(), (4 * stop).tolist(), strict=True):
+                self.words[words[i]] = ids[at:end]
+                at = end
+        if self.checked < 5000:
+            self.checked += len(words)
+            if self.by_library(words) != [self.words[w] for w in words]:
+                raise ValueError("this vocabulary's words aren't merged by rank")
+
+    def learn(self, chunks: set[str]) -> None:
+        simple, other, match = [], [], self.SIMPLE.fullmatch
+        for c in chunks:
+            m = match(c)
+            if m:
+                simple.append((c, m[1].lower(), m[2]))
+            else:
+                other.append(c)
+        if len(self.words) > self.kept:
+            self.words = {"": b""}
+        if new := {w for _, w, _ in simple}.difference(self.words):
+            self.merge(list(new))
+        other += {mark for _, _, mark in simple if mark not in self.known}
+        self.known.update(zip(other, self.by_library(other), strict=True))
+        for c, word, mark in simple:
+            self.known[c] = self.words[word] + self.known[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text, its ids as unsigned little-endian 32-bit integers."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        cut = [lowered(t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.kept:
             self.known = {"": b""}
-        new = set()
+        get, found, holes, new = self.known.get, [], [], set()
         for chunks in cut:
-            new.update(set(chunks).difference(self.known))
+            parts = list(map(get, chunks))
+            if None in parts:
+                empty = [i for i, part in enumerate(parts) if part is None]
+                new.update([chunks[i] for i in empty])
+                holes.append((parts, chunks, empty))
+            found.append(parts)
         if new:
-            names = list(new)
-            self.known.update((n, np.array(e.ids, "<u4").tobytes()) for n, e in zip(names, self.library.encode_batch_fast(names, add_special_tokens=False), strict=True))
+            self.learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        for parts, chunks, empty in holes:
+            for i in empty:
+                parts[i] = get(chunks[i])
+        return [b"".join(parts) for parts in found]
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
@@ -157,6 +238,7 @@ def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        rare_collections()
         coder = _tokenizers.get(path) or _tokenizers.setdefault(path, ChunkTokenizer(path))
         end, first = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 36
         held: list[tuple[int | None, bytes]] = []
