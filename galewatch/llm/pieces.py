@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .agenda import PairTable, merge_all
-from .common import text_of
+from .common import rare_collections, text_of
 
 SPACE = "▁"
 CHUNK = re.compile(" *[^ ]+| +")
@@ -113,6 +113,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     """
 
     def run(batches):
+        rare_collections()
         coder = _encoders.setdefault(path, None) or PieceEncoder(path)
         _encoders[path] = coder
         for batch in batches:
