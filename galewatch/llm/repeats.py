@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled, text_of
-from .suffixes import common_prefixes, suffix_order, words_of
+from .suffixes import common_prefixes, joined, suffix_order, words_of
 
 LEAST, ANCHOR = 200, 32
 #: Segments of an anchor in one group, and bytes sorted at once.
 GROUP, SORTED = 400, 4_000_000
+#: Groups whose windows are compared in one task; those of an anchor with more are dealt by digest.
+TOGETHER = 64
 #: Bytes of a text handled at once, and bits for a place among them.
 PIECE, BITS = 4_000_000, 24
 _ROOT = 0x9E3779B97F4A7C15
@@ -138,55 +140,91 @@ def _cut(least: int):
 
 
 CUT = "h long, group long, groups long, copies long, d long, k long, start long, n long, part binary"
-FOUND = "d long, k long, start long, stop long, digest binary"
+FOUND = "d long, k long, start long, stop long, h long, part long, digests binary, owners binary"
+_kinds = [pa.int64()] * 6 + [pa.binary()] * 2
+_found = [c.split()[0] for c in FOUND.split(", ")]
+
+
+def _ranges(doc: np.ndarray, key: np.ndarray, start: np.ndarray, least: int) -> list[tuple]:
+    """(d, k, start, stop) of runs of windows that start one after another."""
+    if not len(start):
+        return []
+    order = np.lexsort((start, key, doc))
+    doc, key, start = doc[order], key[order], start[order]
+    edge = np.concatenate([[True], (start[1:] > start[:-1] + 1) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+    first, last = np.flatnonzero(edge), np.append(np.flatnonzero(edge)[1:] - 1, len(start) - 1)
+    return list(zip(doc[first].tolist(), key[first].tolist(), start[first].tolist(), (start[last] + least).tolist(), strict=True))
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _kinds, strict=True)], names=_found)
+
+
+def _merged(least: int):
+    """From packed windows sorted by h and part: those that more than one group has."""
+
+    def group(rows: list[tuple[bytes, bytes]]) -> list[tuple]:
+        digests = np.frombuffer(b"".join(r[0] for r in rows), np.uint64).reshape(-1, 2)
+        owners = np.frombuffer(b"".join(r[1] for r in rows), np.int64).reshape(-1, 3)
+        order = np.lexsort((digests[:, 0], digests[:, 1]))
+        same = (digests[order[1:]] == digests[order[:-1]]).all(1)
+        twice = np.zeros(len(order), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        owners = owners[order[twice]]
+        owners = owners[owners[:, 2] >= 0]
+        return [(*r, None, None, None, None) for r in _ranges(owners[:, 0], owners[:, 1], owners[:, 2], least)]
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            for h, part, digests, owners in zip(*(batch.column(c).to_pylist() for c in ("h", "part", "digests", "owners")), strict=True):
+                if held and (h, part) != last:
+                    if out := group(held):
+                        yield _rows(out)
+                    held = []
+                held.append((digests, owners))
+                last = h, part
+        if held and (out := group(held)):
+            yield _rows(out)
+
+    return run
 
 
 def _repeated(rows: list[pa.RecordBatch], least: int) -> pa.RecordBatch | None:
-    """Sort the suffixes of whole groups of segments. Rows with a digest are windows that occur once in one of several groups."""
+    """Sort the suffixes of whole groups of segments: ranges that repeat, and, of anchors with several groups, all different windows, packed."""
     t = pa.Table.from_batches(rows)
     parts, n, copies, groups = t.column("part").to_pylist(), *(t.column(c).to_numpy() for c in ("n", "copies", "groups"))
-    raw = b"".join(parts)
-    size = n + least - 1
-    begin = np.cumsum(size) - size
-    text = np.frombuffer(raw, np.uint8)
-    words = words_of(text, least)
-    owner = np.repeat(np.arange(len(parts)), size)
-    order = suffix_order(text, least, words)
+    symbols, begin = joined(parts)
+    words = words_of(symbols, least)
+    owner = np.repeat(np.arange(len(parts)), n + least)
+    order = suffix_order(symbols, least, words)
     own = owner[order]
     starts = order - begin[own] < n[own]  # a suffix of `least` bytes that its segment owns
     order, own = order[starts], own[starts]
-    same = common_prefixes(order, words, least) >= least
+    same = common_prefixes(order, symbols, words, least)
     twice = np.zeros(len(order), bool)
     twice[1:] |= same
     twice[:-1] |= same
     doc, key, start = (t.column(c).to_numpy() for c in ("d", "k", "start"))
-    out = {"d": [], "k": [], "start": [], "stop": [], "digest": []}
     # Segments with copies are removed as a whole elsewhere; here they are witnesses.
-    hit = np.sort(order[twice & (copies[own] == 1)])
-    if hit.size:
-        seg = owner[hit]
-        edge = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (seg[1:] != seg[:-1])])
-        first, last = np.flatnonzero(edge), np.append(np.flatnonzero(edge)[1:] - 1, len(hit) - 1)
-        o = seg[first]
-        out["d"] += doc[o].tolist()
-        out["k"] += key[o].tolist()
-        out["start"] += (hit[first] - begin[o] + start[o]).tolist()
-        out["stop"] += (hit[last] - begin[o] + start[o] + least).tolist()
-        out["digest"] += [None] * len(o)
+    hit = twice & (copies[own] == 1)
+    out = [(*r, None, None, None, None) for r in _ranges(doc[own[hit]], key[own[hit]], (order - begin[own] + start[own])[hit], least)]
     several = groups[own] > 1
     if several.any():
         import xxhash
 
         leads = np.concatenate([[True], ~same]) & several
-        alone = ~twice & (copies[own] == 1)
-        for place, o, single in zip(order[leads].tolist(), own[leads].tolist(), alone[leads].tolist(), strict=True):
-            out["digest"].append(xxhash.xxh3_128_digest(raw[place : place + least]))
-            at = int(place - begin[o] + start[o])
-            for c, v in (("d", doc[o]), ("k", key[o]), ("start", at), ("stop", at + least)):
-                out[c].append(int(v) if single else None)
-    if not out["digest"]:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "digest" else pa.int64()) for c, v in out.items()], names=list(out))
+        order, own, single = order[leads], own[leads], (~twice & (copies[own] == 1))[leads]
+        digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(parts[o][i : i + least]) for o, i in zip(own.tolist(), (order - begin[own]).tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+        owners = np.stack([doc[own], key[own], np.where(single, order - begin[own] + start[own], -1)], 1)
+        anchor, number = t.column("h").to_numpy()[own], t.column("group").to_numpy()[own]
+        part = (digests[:, 0] % -(-groups[own] // TOGETHER).astype(np.uint64)).astype(np.int64)
+        by = np.lexsort((part, number, anchor))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(anchor[by]) != 0) | (np.diff(number[by]) != 0) | (np.diff(part[by]) != 0)]))
+        for pick in np.split(by, new[1:]):
+            out.append((None, None, None, None, int(anchor[pick[0]]), int(part[pick[0]]), digests[pick].tobytes(), owners[pick].tobytes()))
+    return _rows(out) if out else None
 
 
 def _sorted_groups(least: int):
@@ -264,10 +302,10 @@ def spans(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str
     cut = texts.mapInArrow(_cut(least), CUT).dropDuplicates(["h", "group", "d", "k", "start"])
     cut = cut.repartition("h", "group").sortWithinPartitions("h", "group")
     found = settled(cut.mapInArrow(_sorted_groups(least), FOUND))
-    across = found.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("c")).filter("c > 1").select("digest")
-    between = found.filter("digest is not null and d is not null").join(across, "digest", "left_semi")
+    packed = found.filter("digests is not null").repartition("h", "part").sortWithinPartitions("h", "part")
+    between = packed.mapInArrow(_merged(least), FOUND)
     keep = ["d", "k", "start", "stop"]
-    return whole.select(keep).union(found.filter("digest is null").select(keep)).union(between.select(keep))
+    return whole.select(keep).union(found.filter("digests is null").select(keep)).union(between.select(keep))
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

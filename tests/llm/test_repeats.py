@@ -8,22 +8,30 @@ import numpy as np
 import pytest
 
 from galewatch.llm import repeats as R
-from galewatch.llm.suffixes import common_prefixes, suffix_order, words_of
+from galewatch.llm.suffixes import common_prefixes, joined, suffix_order, words_of
 
 
-@pytest.mark.parametrize("letters", [1, 2, 3, 250])
+def check_order(strings, depth):
+    symbols, begin = joined(strings)
+    of = np.repeat(np.arange(len(strings)), [len(s) + 1 for s in strings])
+    order = suffix_order(symbols, depth)
+    assert sorted(order.tolist()) == list(range(len(symbols)))
+    heads = [strings[of[i]][i - begin[of[i]] :][:depth] for i in order]
+    assert heads == sorted(heads)
+    for some in (np.arange(len(order)), np.flatnonzero(order % 5 != 2)):
+        same = common_prefixes(order[some], symbols, words_of(symbols, depth), depth)
+        picked = [heads[i] for i in some]
+        assert same.tolist() == [len(a) == depth and a == b for a, b in zip(picked, picked[1:], strict=False)]
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 255])
 def test_suffix_order(letters):
     rng = np.random.default_rng(letters)
-    for n in (1, 2, 3, 50, 400):
-        t = rng.integers(0, letters, n).astype(np.uint8)
-        raw = t.tobytes()
-        assert suffix_order(t, 512).tolist() == sorted(range(n), key=lambda i: raw[i:])
-        order = suffix_order(t, 24)
-        heads = [raw[i : i + 24] for i in order]
-        assert sorted(order.tolist()) == list(range(n)) and [h.ljust(24, b"\0") for h in heads] == sorted(h.ljust(24, b"\0") for h in heads)
-        lcp = common_prefixes(order, words_of(t, 24), 24)
-        for i, (a, b) in enumerate(zip(heads, heads[1:], strict=False)):
-            assert (lcp[i] >= 24) == (a.ljust(24, b"\0") == b.ljust(24, b"\0"))
+    draw = lambda n: bytes(rng.integers(0, letters + 1, n).astype(np.uint8))
+    for depth in (24, 200, 512):
+        check_order([draw(n) for n in (1, 2, 3, 50, 400)], depth)
+    base = draw(60)
+    check_order([base * 9, base[:30], base[10:] * 3, base * 9, b"", draw(200) + base * 5], 24)
 
 
 def brute(rows, least):
@@ -50,9 +58,10 @@ def made():
     return [(i if i != 9 else None, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("group", [400, 7])
-def test_removal_equals_brute_force(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "together"), [(400, 64), (7, 64), (7, 2)])
+def test_removal_equals_brute_force(spark, monkeypatch, group, together):
     monkeypatch.setattr(R, "GROUP", group)
+    monkeypatch.setattr(R, "TOGETHER", together)
     rows = made()
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, start string, h int")
     assert sorted(map(tuple, R.remove_repeats(docs).collect()), key=str) == brute(rows, 200)
