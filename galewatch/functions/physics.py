@@ -163,3 +163,21 @@ class PowerCurve:
     power: list[float]
     scale: float
     provenance: dict[str, str] = field(default_factory=dict)
+
+
+def site_from_mapping(mapping: dict) -> Site:
+    """A Site from a configuration's tree: its fields by name, lists as tuples. Unknown or missing fields are errors."""
+    known = Site.__dataclass_fields__
+    if unknown := mapping.keys() - known.keys():
+        raise ValueError(f"unknown fields: {sorted(unknown)}")
+    try:
+        return Site(**{k: tuple(v) if isinstance(v, list) else v for k, v in mapping.items()})
+    except TypeError as error:
+        raise ValueError(str(error)) from error
+
+
+def load_sites(mapping: dict) -> dict[str, Site]:
+    """Sites of a contract {"version": "physical-v1", "features": [...], "sites": {name: fields}}; the feature order is fixed."""
+    if mapping.get("version") != "physical-v1" or list(mapping.get("features", ())) != list(FEATURES):
+        raise ValueError("the contract's version or feature order isn't the engine's")
+    return {name: site_from_mapping(fields) for name, fields in mapping["sites"].items()}

@@ -99,3 +99,32 @@ def aligned(one: DataFrame, two: DataFrame, keys: list[str], value: str) -> Data
 def stays_apart(df: DataFrame, asset: str = "asset_id", split: str = "split") -> DataFrame:
     """asset, splits of assets that are in more than one split."""
     return df.groupBy(asset).agg(F.count_distinct(split).alias("splits")).filter("splits > 1")
+
+
+def boundary_audit(resolved: DataFrame, events: DataFrame) -> DataFrame:
+    """event_id, failure, mismatch: resolved boundaries against times written in events (event_id, event_start, event_end as text)."""
+    written = events.select("event_id", *(F.col(c).try_cast("timestamp_ntz").alias(f"_{c}") for c in ("event_start", "event_end")))
+    differ = [F.when(~F.col(f"_{c}").eqNullSafe(F.col(r)), F.lit(c)) for c, r in (("event_start", "start_ts"), ("event_end", "end_ts"))]
+    both = resolved.join(written, "event_id", "left")
+    return both.select("event_id", "failure", F.when(F.col("failure").isNull(), F.concat_ws(",", *differ)).alias("mismatch"))
+
+
+def export_ready(missing_files: DataFrame, boundaries: DataFrame, frequency: DataFrame) -> DataFrame:
+    """ready: no event lacks its file, no boundary failed, and the frequency audit passed."""
+    one = missing_files.agg(F.count("*").alias("missing")).crossJoin(boundaries.agg(F.count("failure").alias("failed"))).crossJoin(frequency.select("passed"))
+    return one.select("missing", "failed", "passed", ((F.col("missing") == 0) & (F.col("failed") == 0) & F.col("passed")).alias("ready"))
+
+
+def require_calibration(uses_target: bool, allowed: bool, provenance: dict | None) -> None:
+    """Zero-shot guard: calibration on the target needs an explicit flag and a record of where it comes from."""
+    if uses_target and not allowed:
+        raise ValueError("calibration on the target site must be allowed explicitly")
+    if uses_target and not provenance:
+        raise ValueError("calibration on the target site needs its provenance")
+
+
+def require_dimension(df: DataFrame, features: str, expected: int) -> None:
+    """All feature arrays have the model's dimension, or ValueError."""
+    bad = df.filter(F.col(features).isNull() | (F.size(features) != expected)).limit(1).count()
+    if bad:
+        raise ValueError(f"{features} must have {expected} values in every row")
