@@ -74,3 +74,20 @@ def test_guards(bad):
 
 def test_feature_order():
     assert len(P.feature_order()) == 10 and P.feature_order(True)[-1] == P.RESIDUAL
+
+
+def test_contract_round_trip():
+    import yaml
+
+    from galewatch.plans.reports import contract_text
+
+    contract = yaml.safe_load(contract_text())
+    assert P.load_sites(contract) == P.SITES
+    with pytest.raises(ValueError):
+        P.load_sites(contract | {"version": "physical-v2"})
+    with pytest.raises(ValueError):
+        P.load_sites(contract | {"features": contract["features"][::-1]})
+    with pytest.raises(ValueError):
+        P.site_from_mapping({"wind": "w", "unknown": 1})
+    with pytest.raises(ValueError):
+        P.site_from_mapping({"wind": "w"})

@@ -119,3 +119,22 @@ def test_channel_audit(spark):
     assert (r.rows, r.missing, r.infinite, r.zeros, r.negatives, r.min, r.max, r.constant, r["median"]) == (6, 2, 1, 1, 1, -2, 1, False, 0)
     picked = audit.systematic(spark.range(10).selectExpr("id t", "cast(id as double) x", "'a' k"), "k", "t", 3).filter("_picked")
     assert sorted(r.t for r in picked.collect()) == [0, 3, 6]
+
+
+def test_boundary_audit_and_guards(spark):
+    r = spark.createDataFrame([(1, i, f"2024-01-0{i + 1}", "prediction") for i in range(3)], "event_id long, row_pos long, ts string, train_test string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    resolved = audit.resolved_boundaries(r, spark.createDataFrame([(1, 0, 2)], "event_id long, start_id long, end_id long"))
+    written = spark.createDataFrame([(1, "not-a-timestamp", "2024-01-03 00:00:00")], "event_id long, event_start string, event_end string")
+    assert audit.boundary_audit(resolved, written).first().mismatch == "event_start"
+    nothing = spark.createDataFrame([], "event_id long")
+    passed = spark.createDataFrame([(True,)], "passed boolean")
+    assert audit.export_ready(nothing, resolved, passed).first().ready
+    assert not audit.export_ready(resolved, resolved, passed).first().ready
+    audit.require_calibration(True, True, {"site": "B"})
+    for allowed, source in ((False, {"site": "B"}), (True, None)):
+        with pytest.raises(ValueError):
+            audit.require_calibration(True, allowed, source)
+    df = spark.createDataFrame([([1.0, 2.0],), (None,)], "f array<double>")
+    with pytest.raises(ValueError):
+        audit.require_dimension(df, "f", 2)
+    audit.require_dimension(df.filter("f is not null"), "f", 2)
