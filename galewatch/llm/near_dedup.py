@@ -28,8 +28,8 @@ from .common import settled, text_of
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
 BITS = 64 - 7
-#: How far below the threshold an estimate may be: five standard deviations.
-MARGIN = 0.2
+#: How far below the threshold an estimate may be: over four standard deviations.
+MARGIN = 0.15
 #: Nodes of a bucket in one chunk, and from which on its nodes' own shingles are counted.
 CHUNK, LARGE = 1024, 8
 WIDTH, PERCENT = 5, 80
@@ -146,7 +146,7 @@ def _band_rows(nodes: DataFrame, *more: str) -> DataFrame:
     """One row per node and band: key, id, n, and more."""
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring(F.col("sketch"), b * width + 1, F.lit(width)), b))
-    return nodes.select("id", "n", *more, F.explode(bands).alias("key"))
+    return nodes.select("id", "n", *more, F.posexplode(bands).alias("band", "key"))
 
 
 def _sketch_filter(percent: int):
@@ -237,6 +237,7 @@ def _crossing(percent: int):
         t = pa.Table.from_batches(rows)
         s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
         i, n, comp, other, chunk = (t.column(c).to_numpy() for c in ("id", "n", "comp", "other", "chunk"))
+        band = t.column("band")[0].as_py()
         shared = n - t.column("u").fill_null(0).to_numpy() if t.column("u").null_count == 0 else n
         a, b = [], []
         for x in np.flatnonzero(other):
@@ -246,6 +247,9 @@ def _crossing(percent: int):
             able = np.flatnonzero(able)
             if able.size:
                 able = able[estimate(s[able], s[x], n[able], n[x]) >= percent / 100 - MARGIN]
+                # Of the bands that two nodes share, the first pairs them.
+                shared_bands = (s[able].reshape(-1, BANDS, ROWS) == s[x].reshape(BANDS, ROWS)).all(2)
+                able = able[shared_bands.argmax(1) == band]
                 a += [int(i[x])] * len(able)
                 b += i[able].tolist()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
@@ -306,7 +310,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         mine = F.array(F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
         dealt = _band_rows(named, "u", "comp", "sketch").join(mixed, "key").withColumn("other", F.col("comp") != F.col("main"))
         dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(mine)))
-        dealt = dealt.select("key", "chunk", "id", "n", "u", "comp", "other", "sketch").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+        dealt = dealt.select("key", "chunk", "band", "id", "n", "u", "comp", "other", "sketch").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
         more = settled(dealt.mapInArrow(_crossing(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not more.isEmpty():
             links = links.union(confirmed(more, sets, percent))
