@@ -10,8 +10,9 @@ without a shingle take the register of another by fixed probing. Bands of four r
 3. In each band's bucket every node is paired with the centre: as many pairs as nodes. A pair is estimated from its registers, with the chance that unequal minima share a register taken off, and pairs
    that may link are confirmed on full shingle sets. Links give components by alternating large and small stars.
 4. Only buckets of three or more nodes with more than one component may hold a further link. There each node outside
-   the main component is estimated against all nodes of other components, in chunks of bounded size, and what may link
-   is confirmed. Nodes that are connected already are never compared, so a group of copies is not expanded into pairs.
+   the main component is held against all nodes of other components, in chunks of bounded size: by their registers,
+   and exactly by their differences from the centre, which are short for edited copies. Nodes that are connected
+   already are never compared, so a group of copies is not expanded into pairs.
 """
 
 from __future__ import annotations
@@ -162,15 +163,23 @@ def _sketch_filter(percent: int):
     return run
 
 
-def _set_filter(percent: int):
+COMPARED = "a long, b long, linked boolean, lacks binary, adds binary"
+
+
+def _compared(percent: int):
+    """Pairs with full sets -> whether they link, and what a lacks of b and adds to it, where that is less than half of a."""
+
     def run(batches):
         for batch in batches:
-            keep = []
+            out = []
             for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                lacks, adds = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                both = len(x) - len(adds)
+                near = 2 * (len(lacks) + len(adds)) < len(x)
+                out.append((100 * both >= percent * (len(x) + len(y) - both), lacks.tobytes() if near else None, adds.tobytes() if near else None))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.bool_(), pa.binary(), pa.binary()), strict=True)] if out else [pa.array([], k) for k in (pa.bool_(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], names=["a", "b", "linked", "lacks", "adds"])
 
     return run
 
@@ -205,10 +214,10 @@ def own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return settled(ids.join(alone, "id", "left").select("id", F.coalesce("u", F.lit(0)).cast("long").alias("u")))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets link."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes with their comparison on full shingle sets."""
     one, two = sets.select(F.col("id").alias("a"), F.col("x").alias("xa")), sets.select(F.col("id").alias("b"), F.col("x").alias("xb"))
-    return settled(pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(_set_filter(percent), "a long, b long"))
+    return settled(pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(_compared(percent), COMPARED))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,8 +239,29 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
 
 
+class _Differences:
+    """Sets of hashes of many nodes; counts what each has in common with one of them."""
+
+    def __init__(self, raw: list[bytes | None]):
+        self.size = np.array([len(x or b"") // 8 for x in raw])
+        self.end = np.cumsum(self.size)
+        names, self.flat = np.unique(np.frombuffer(b"".join(x or b"" for x in raw), np.uint64), return_inverse=True)
+        self.mark = np.zeros(len(names), bool)
+
+    def common(self, i: int) -> np.ndarray:
+        own = self.flat[self.end[i] - self.size[i] : self.end[i]]
+        self.mark[own] = True
+        sums = np.concatenate([[0], np.cumsum(self.mark[self.flat])])
+        self.mark[own] = False
+        return sums[self.end] - sums[self.end - self.size]
+
+
 def _crossing(percent: int):
-    """From rows sorted by key and chunk: pairs of different components that may link, of which one is outside the main component."""
+    """From rows sorted by key and chunk: pairs of different components, of which one is outside the main component.
+
+    Two nodes whose differences from the bucket's centre are known are compared exactly by them, and given only if they
+    link (sure). Others are given if their registers say that they may link.
+    """
 
     def group(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
@@ -239,7 +269,10 @@ def _crossing(percent: int):
         i, n, comp, other, chunk = (t.column(c).to_numpy() for c in ("id", "n", "comp", "other", "chunk"))
         band = t.column("band")[0].as_py()
         shared = n - t.column("u").fill_null(0).to_numpy() if t.column("u").null_count == 0 else n
-        a, b = [], []
+        lacks, adds = (t.column(c).to_pylist() for c in ("lacks", "adds"))
+        near = np.array([x is not None for x in lacks])
+        lacks, adds = _Differences(lacks), _Differences(adds)
+        a, b, sure = [], [], []
         for x in np.flatnonzero(other):
             # Two nodes outside the main component are in every chunk; the first chunk pairs them.
             most = np.minimum(np.minimum(shared, shared[x]), np.minimum(n, n[x]))
@@ -248,11 +281,21 @@ def _crossing(percent: int):
             if able.size:
                 able = able[estimate(s[able], s[x], n[able], n[x]) >= percent / 100 - MARGIN]
                 # Of the bands that two nodes share, the first pairs them.
-                shared_bands = (s[able].reshape(-1, BANDS, ROWS) == s[x].reshape(BANDS, ROWS)).all(2)
-                able = able[shared_bands.argmax(1) == band]
-                a += [int(i[x])] * len(able)
-                b += i[able].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
+                bands = (s[able].reshape(-1, BANDS, ROWS) == s[x].reshape(BANDS, ROWS)).all(2)
+                able = able[bands.argmax(1) == band]
+            if not able.size:
+                continue
+            exact = near[able] & near[x]
+            keep = ~exact
+            if exact.any():
+                centre = n[x] - adds.size[x] + lacks.size[x]
+                union = lacks.size[x] + lacks.size[able] - lacks.common(x)[able]
+                both = centre - union + adds.common(x)[able]
+                keep |= exact & (100 * both >= percent * (n[x] + n[able] - both))
+            a += [int(i[x])] * int(keep.sum())
+            b += i[able[keep]].tolist()
+            sure += exact[keep].tolist()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"]) if a else None
 
     def run(batches: Iterator[pa.RecordBatch]):
         held, last = [], None
@@ -299,21 +342,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = _band_rows(nodes, "u").join(centres, "key").filter((F.col("id") != F.col("b")) & _may_link(percent)).select(F.col("id").alias("a"), "n", "b", "m").distinct()
     one, two = (nodes.groupBy(F.col("id").alias(x)).agg(F.first("sketch").alias(f"s{x}")) for x in "ab")
     pairs = settled(star.join(one, "a").join(two, "b").select("a", "b", "n", "m", "sa", "sb").mapInArrow(_sketch_filter(percent), "a long, b long"))
-    links = confirmed(pairs, sets, percent)
+    stars = compared(pairs, sets, percent)
+    links = stars.filter("linked").select("a", "b")
     found = settled(components(links))
 
     named = nodes.join(found, "id", "left").select("id", "n", "u", "sketch", F.coalesce("component", "id").alias("comp"))
-    busy = centres.filter("c > 2").join(found.withColumnRenamed("id", "b"), "b", "left").select("key", "c", F.coalesce("component", "b").alias("main"))
-    mixed = _band_rows(named, "comp").join(busy, "key").groupBy("key").agg(F.first("c").alias("c"), F.first("main").alias("main"), F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q")
-    mixed = settled(mixed.select("key", "main", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")))
+    busy = centres.filter("c > 2").join(found.withColumnRenamed("id", "b"), "b", "left").select("key", "c", "b", F.coalesce("component", "b").alias("main"))
+    mixed = _band_rows(named, "comp").join(busy, "key").groupBy("key").agg(F.first("c").alias("c"), F.first("main").alias("main"), F.first("b").alias("b"), F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q")
+    mixed = settled(mixed.select("key", "b", "main", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")))
     if not mixed.isEmpty():
         mine = F.array(F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
         dealt = _band_rows(named, "u", "comp", "sketch").join(mixed, "key").withColumn("other", F.col("comp") != F.col("main"))
+        dealt = dealt.join(stars.select(F.col("a").alias("id"), "b", "lacks", "adds"), ["id", "b"], "left")
+        own = F.when(F.col("id") == F.col("b"), F.lit(b""))
+        dealt = dealt.withColumns({"lacks": F.coalesce("lacks", own), "adds": F.coalesce("adds", own)})
         dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(mine)))
-        dealt = dealt.select("key", "chunk", "band", "id", "n", "u", "comp", "other", "sketch").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-        more = settled(dealt.mapInArrow(_crossing(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        dealt = dealt.select("key", "chunk", "band", "id", "n", "u", "comp", "other", "sketch", "lacks", "adds").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+        more = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        more = settled(dealt.mapInArrow(_crossing(percent), "a long, b long, sure boolean").select(*more, "sure").distinct())
         if not more.isEmpty():
-            links = links.union(confirmed(more, sets, percent))
+            also = compared(more.filter("not sure").select("a", "b"), sets, percent).filter("linked")
+            links = links.union(more.filter("sure").select("a", "b")).union(also.select("a", "b"))
             found = settled(components(links))
 
     label = settled(classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component")))
