@@ -92,13 +92,21 @@ class PieceEncoder:
         cut = [CHUNK.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         if len(self.known) > self.kept:
             self.known.clear()
-        new = set()
+        get, found, holes, new = self.known.get, [], [], set()
         for chunks in cut:
-            new.update(set(chunks).difference(self.known))
+            parts = list(map(get, chunks))
+            if None in parts:
+                empty = [i for i, part in enumerate(parts) if part is None]
+                new.update([chunks[i] for i in empty])
+                holes.append((parts, chunks, empty))
+            found.append(parts)
         if new:
             self.learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        for parts, chunks, empty in holes:
+            for i in empty:
+                parts[i] = get(chunks[i])
+        return [b"".join(parts) for parts in found]
 
 
 _encoders: dict[str, PieceEncoder] = {}
