@@ -51,8 +51,8 @@ def _hashes(flat: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def segments(texts: list[bytes], least: int = LEAST) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(which text, anchor's hash, start, windows, bytes) of all segments."""
+def _units(texts: list[bytes], least: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(which text, start, bytes) of texts' pieces, which overlap by a window, several at a time."""
     units, size = [], 0
     for i, t in enumerate(texts):
         for a in range(0, max(1, len(t) - least + 1), PIECE):
@@ -60,15 +60,16 @@ def segments(texts: list[bytes], least: int = LEAST) -> Iterator[tuple[int, int,
             if len(part) < least:
                 continue
             if size + len(part) > 2 * PIECE:
-                yield from _segments(units, least)
+                yield units
                 units, size = [], 0
             units.append((i, a, part))
             size += len(part)
     if units:
-        yield from _segments(units, least)
+        yield units
 
 
-def _segments(units: list[tuple[int, int, bytes]], least: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+def anchors(units: list[tuple[int, int, bytes]], least: int = LEAST) -> tuple[bytes, np.ndarray, ...]:
+    """All bytes; and of each segment the unit, its anchor's hash, its place in all bytes and in its text, and its number of windows."""
     raw = b"".join(u[2] for u in units)
     size = np.fromiter((len(u[2]) for u in units), np.int64, len(units))
     begin = np.cumsum(size) - size
@@ -91,30 +92,38 @@ def _segments(units: list[tuple[int, int, bytes]], least: int) -> Iterator[tuple
     first = np.flatnonzero(new)
     count = np.diff(np.append(np.cumsum(valid)[first] - 1, int(valid.sum())))
     where = unit[first]
-    name = h[anchor[first]].view(np.int64)
-    own, start = np.array([u[0] for u in units])[where], first - begin[where] + np.array([u[1] for u in units])[where]
-    for i, x, a, s, n in zip(own.tolist(), name.tolist(), first.tolist(), start.tolist(), count.tolist(), strict=True):
-        yield i, x, s, n, raw[a : a + n + least - 1]
+    start = first - begin[where] + np.array([u[1] for u in units])[where]
+    return raw, where, h[anchor[first]].view(np.int64), first, start, count
+
+
+def segments(texts: list[bytes], least: int = LEAST) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(which text, anchor's hash, start, windows, bytes) of all segments."""
+    for units in _units(texts, least):
+        raw, where, name, first, start, count = anchors(units, least)
+        for u, x, a, s, n in zip(where.tolist(), name.tolist(), first.tolist(), start.tolist(), count.tolist(), strict=True):
+            yield units[u][0], x, s, n, raw[a : a + n + least - 1]
+
+
+def _anchor_hashes(least: int):
+    def run(batches):
+        for batch in batches:
+            for units in _units([t.encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()], least):
+                yield pa.RecordBatch.from_arrays([pa.array(anchors(units, least)[2])], names=["h"])
+
+    return run
 
 
 def _occurrences(least: int):
     def run(batches):
         import xxhash
 
+        digest = xxhash.xxh3_64_digest
         for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-            which, h, s, start, count = [], [], [], [], []
-            for i, x, a, n, part in segments(texts, least):
-                which.append(i)
-                h.append(x)
-                s.append(xxhash.xxh3_64_intdigest(part) - 2**63)
-                start.append(a)
-                count.append(n)
-            at = pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(s, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int64()), pa.array(count, pa.int64())],
-                names=["h", "s", "d", "k", "start", "n"],
-            )
+            for units in _units([t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()], least):
+                raw, where, name, first, start, count = anchors(units, least)
+                s = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(first.tolist(), (first + count + least - 1).tolist(), strict=True)]), np.int64)
+                at = pa.array(np.array([u[0] for u in units])[where])
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(s), batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(count)], names=["h", "s", "d", "k", "start", "n"])
 
     return run
 
@@ -198,7 +207,7 @@ def _repeated(rows: list[pa.RecordBatch], least: int) -> pa.RecordBatch | None:
     symbols, begin = joined(parts)
     words = words_of(symbols, least)
     owner = np.repeat(np.arange(len(parts)), n + least)
-    order = suffix_order(symbols, least, words)
+    order = suffix_order(symbols, least, words, begin, n)
     own = owner[order]
     starts = order - begin[own] < n[own]  # a suffix of `least` bytes that its segment owns
     order, own = order[starts], own[starts]
@@ -290,7 +299,8 @@ def spans(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str
     """(d, k, start, stop): byte ranges that are covered by repeated strings; they may overlap."""
     rows = _keyed(docs, doc_id, text)
     seen = rows.select("d", "k", "text").mapInArrow(_occurrences(least), "h long, s long, d long, k long, start long, n long")
-    twice = settled(seen.select("h").groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"))
+    hashes = rows.select("text").mapInArrow(_anchor_hashes(least), "h long")
+    twice = settled(hashes.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"))
     hits = settled(seen.join(twice, "h", "left_semi"))
     least_place: Column = F.min(F.struct("d", "k", "start", "n")).alias("at")
     parts = settled(hits.groupBy("h", "s").agg(F.count("*").alias("copies"), least_place))

@@ -87,8 +87,19 @@ def _direct(places: np.ndarray, words: np.ndarray, whole: np.ndarray, depth: int
     return places[np.argsort(rank[alike], kind="stable")]
 
 
-def suffix_order(symbols: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
-    """All places in the order of their suffixes' first depth symbols at least.
+def needed(symbols: np.ndarray, rising: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which places the order of each string's first `count` ones depends on: up to the next that is sorted directly."""
+    direct = np.append(np.flatnonzero(rising), len(symbols) - 1)
+    stop = direct[np.searchsorted(direct, begin + count - 1)] + 1
+    edge = np.zeros(len(symbols) + 1, np.int32)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, stop, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def suffix_order(symbols: np.ndarray, depth: int, words: np.ndarray | None = None, begin: np.ndarray | None = None, count: np.ndarray | None = None) -> np.ndarray:
+    """All places in the order of their suffixes' first depth symbols at least; of strings that begin at `begin` and
+    aren't empty, only the first `count` places each and what their order depends on.
 
     Suffixes smaller than their successors are sorted directly. The others are induced: buckets are scanned in
     ascending order, and a suffix whose successor is met goes to the next free place in its first symbol's bucket. A
@@ -99,23 +110,26 @@ def suffix_order(symbols: np.ndarray, depth: int, words: np.ndarray | None = Non
         return np.zeros(0, np.int64)
     words = words_of(symbols, depth) if words is None else words
     rising = _rising(symbols)
-    direct = _direct(np.flatnonzero(rising), words, prefix_hashes(symbols, depth), depth)
+    wanted = np.ones(n, bool) if begin is None else needed(symbols, rising, begin, count)
+    inducible = wanted & ~rising
+    direct = _direct(np.flatnonzero(rising & wanted), words, prefix_hashes(symbols, depth), depth)
     ends = np.searchsorted(symbols[direct], np.arange(258))
     induced: list[list[np.ndarray]] = [[] for _ in range(257)]
-    induced[symbols[n - 1]].append(np.array([n - 1]))  # the empty suffix comes first
+    if wanted[n - 1]:
+        induced[symbols[n - 1]].append(np.array([n - 1]))  # the empty suffix comes first
     out = []
     for c in range(257):
         now, rounds = (np.concatenate(induced[c]) if induced[c] else np.zeros(0, np.int64)), []
         while now.size:
             rounds.append(now)
             before = now[now > 0] - 1
-            now = before[(symbols[before] == c) & ~rising[before]]
+            now = before[(symbols[before] == c) & inducible[before]]
         bucket = np.concatenate([*rounds, direct[ends[c] : ends[c + 1]]])
         if not bucket.size:
             continue
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[symbols[before] > c]
+        before = before[(symbols[before] > c) & inducible[before]]
         if before.size:
             first = symbols[before]
             order = np.argsort(first, kind="stable")

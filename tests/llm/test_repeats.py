@@ -18,6 +18,18 @@ def check_order(strings, depth):
     assert sorted(order.tolist()) == list(range(len(symbols)))
     heads = [strings[of[i]][i - begin[of[i]] :][:depth] for i in order]
     assert heads == sorted(heads)
+    full = [i for i, s in enumerate(strings) if s]
+    own = [s for s in strings if s]
+    symbols, begin = joined(own)
+    count = np.array([len(s) // 3 + 1 for s in own])
+    part = suffix_order(symbols, depth, None, begin, count)
+    of = np.repeat(np.arange(len(own)), [len(s) + 1 for s in own])
+    kept = part[part - begin[of[part]] < count[of[part]]]
+    assert sorted(kept.tolist()) == [b + i for b, c in zip(begin, count, strict=True) for i in range(c)]
+    heads = [own[of[i]][i - begin[of[i]] :][:depth] for i in kept]
+    assert heads == sorted(heads) and len(full) == len(own)
+    order = suffix_order(symbols, depth)
+    heads = [own[of[i]][i - begin[of[i]] :][:depth] for i in order]
     for some in (np.arange(len(order)), np.flatnonzero(order % 5 != 2)):
         same = common_prefixes(order[some], symbols, words_of(symbols, depth), depth)
         picked = [heads[i] for i in some]
