@@ -25,7 +25,7 @@ from .suffixes import common_prefixes, joined, suffix_order, words_of
 
 LEAST, ANCHOR = 200, 32
 #: Segments of an anchor in one group, and bytes sorted at once.
-GROUP, SORTED = 400, 4_000_000
+GROUP, SORTED = 400, 1_500_000
 #: Groups whose windows are compared in one task; those of an anchor with more are dealt by digest.
 TOGETHER = 64
 #: Bytes of a text handled at once, and bits for a place among them.
