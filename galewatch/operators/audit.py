@@ -24,11 +24,11 @@ def channel_audit(df: DataFrame, channels: list[str], sample: int | None = None,
     if sample is not None:
         long = systematic(long.withColumn("x", x), "channel", order, sample)
         picked = F.when(F.col("_picked"), good)
-    return long.groupBy("channel").agg(
+    out = long.groupBy("channel").agg(
         F.count("*").alias("rows"), F.count_if(nan).alias("missing"), F.count_if(~nan & inf).alias("infinite"), F.count_if(good == 0).alias("zeros"), F.count_if(good < 0).alias("negatives"),
-        F.min(good).alias("min"), F.max(good).alias("max"), (F.min(good) == F.max(good)).alias("constant"), F.median(picked).alias("median"),
-        F.percentile(picked, F.lit(0.01)).alias("q01"), F.percentile(picked, F.lit(0.99)).alias("q99"),
+        F.min(good).alias("min"), F.max(good).alias("max"), (F.min(good) == F.max(good)).alias("constant"), F.percentile(picked, F.array(*map(F.lit, (0.5, 0.01, 0.99)))).alias("_q"),
     )
+    return out.select(*out.columns[:-1], *(F.col("_q")[i].alias(n) for i, n in enumerate(("median", "q01", "q99"))))
 
 
 def systematic(df: DataFrame, by: str, order: str, count: int) -> DataFrame:
