@@ -4,7 +4,9 @@ Centroids are fitted on a bounded sample by splitting it in two, again and again
 balanced. A vector goes to the list of its nearest centroid, and, near a boundary, to those of others that are about as
 near and that no chosen centroid is nearer to. Centroids are searched by a graph in memory: from an entry, the best
 unexpanded node of a beam is replaced by its neighbours. A query reads the lists whose centroids are within a ratio of
-its nearest one's distance. Scores of what is read are exact, in double precision.
+its nearest one's distance, and of them up to a share of all lists: where distances are nearly equal, recall depends on
+the share of the table that is read, so a fixed number of lists would lose neighbours as tables grow. Scores of what is
+read are exact, in double precision.
 
 Equal vectors are indexed once, with as many of their least ids as a query can use. Lists are dealt in chunks, so no
 task grows with a list.
@@ -22,15 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
-#: Vectors of a list, lists at most, sampled vectors for each list.
-LIST, LISTS, SAMPLE = 128, 8192, 16
+#: Vectors of a list, lists at most, sampled vectors for each list. A query is sent to each list it reads, so lists of
+#: large tables grow rather than their number.
+LIST, LISTS, SAMPLE = 128, 1024, 16
 #: Neighbours of a centroid in the graph, random links besides, and the beam's width.
 NEAR, FAR, BEAM = 16, 8, 64
 #: A vector's copies at most, and how much farther than its nearest centroid a further one may be.
 COPIES, BOUNDARY = 4, 1.12
-#: Lists read at least and at most, and the ratio of distances.
-READ_LEAST, READ_MOST, RATIO = 8, 64, 1.35
-CHUNK = 2048
+#: Lists read at least, the ratio of distances, and what may be read within it: so many lists, or this part of all if more.
+READ_LEAST, RATIO, READ_MOST, READ_PART = 8, 1.35, 64, 8
+CHUNK = 4096
 
 
 @dataclass
@@ -133,8 +136,9 @@ def lists_of_vectors(c: Centroids, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def lists_of_queries(c: Centroids, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) pairs that queries read."""
-    ids, far = c.search(x, max(BEAM, READ_MOST))
-    read = (ids >= 0) & ((far <= RATIO**2 * far[:, :1]) | (np.arange(ids.shape[1]) < READ_LEAST)) & (np.arange(ids.shape[1]) < READ_MOST)
+    most = max(READ_MOST, -(-len(c.at) // READ_PART))
+    ids, far = c.search(x, max(BEAM, most))
+    read = (ids >= 0) & ((far <= RATIO**2 * far[:, :1]) | (np.arange(ids.shape[1]) < READ_LEAST)) & (np.arange(ids.shape[1]) < most)
     row, col = np.nonzero(read)
     return row, ids[row, col]
 
