@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and strings that a public vocabulary can't compress.
 
 A random string gets few characters per token under a byte-pair vocabulary, while words, paths and identifiers get many.
-Runs of key characters below the ratio are reported, after digests and identifiers of known form are excluded.
+Runs of key characters with a digit are reported where they are below the ratio. Others are split at their separators;
+parts that are words, numbers, digests or UUIDs are left out, and what lies between them is reported by the same ratio.
 """
 
 from __future__ import annotations
@@ -26,12 +27,17 @@ WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_SIZES = frozenset((32, 40, 48, 56, 64, 96, 128))
-IDENTIFIER = re.compile(
-    r"(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
-    r"|[0-9_+/=-]+"  # numbers, dates, rules
-    r"|[A-Za-z_+/=-]+"  # words and paths without a digit
-    r"|[A-Za-z]+(?:[_/-][A-Za-z]+)*[_-]?[0-9]{1,6})\Z"  # a name with a number
+UUID = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9A-Za-z])")
+#: A UUID, no digit, digits alone, or a name with a number: such a whole run is judged by its stretches alone.
+NAMED = re.compile(
+    r"(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+    r"|[0-9_+/=-]+"
+    r"|[A-Za-z_+/=-]+"
+    r"|[A-Za-z]+(?:[_/-][A-Za-z]+)*[_-]?[0-9]{1,6})\Z"
 )
+PART = re.compile(r"[A-Za-z0-9]+")
+#: Parts shorter than this say nothing by themselves; of a string without a digit, one part has to be as long as the second.
+SHORT, LONG = 5, 12
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_dense long, base_sha256 string, spans string"
 #: Characters a token below which a run counts as random.
 RATIO = 1.9
@@ -54,17 +60,59 @@ def longest(text: str) -> int:
     return max(map(len, text.split()), default=0)
 
 
+def _digest(s: str) -> bool:
+    return len(s) in DIGEST_SIZES and bool(DIGEST.match(s))
+
+
+def random_parts(run: str, count, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """(start, end) of the whole run, or of its stretches of 20 characters or more, below the ratio.
+
+    A stretch begins and ends with a part below the ratio, so that words, numbers and digests beside a key don't dilute
+    it; within it are further such parts and short ones, as keys have separators too. Short ones beside it that aren't
+    in lower case belong to it.
+    """
+    if not NAMED.match(run) and not _digest(run) and len(run) < ratio * count(run):
+        return [(0, len(run))]
+    uuids = [m.span() for m in UUID.finditer(run)]
+    stretches, fresh, edge = [], True, None
+    for m in PART.finditer(run):
+        a, b = m.span()
+        part, short = m[0], b - a < SHORT
+        if any(x < b and a < y for x, y in uuids) or _digest(part) or not (short or (not part.isdigit() and b - a < ratio * count(part))):
+            fresh, edge = True, None
+        elif short and part.islower():
+            edge = None
+        elif short:
+            edge = a if edge is None else edge
+            if not fresh and stretches[-1][1] == a - 1:
+                stretches[-1][1] = b
+        else:
+            if fresh:
+                stretches.append([a if edge is None else edge, b, b - a])
+            else:
+                stretches[-1][1:] = b, max(stretches[-1][2], b - a)
+            fresh = False
+    found = []
+    for a, b, most in stretches:
+        # A base64 key's padding is its own.
+        while b < len(run) and run[b] == "=":
+            b += 1
+        s = run[a:b]
+        if b - a >= 20 and (most >= LONG or any(c.isdigit() for c in s)) and b - a < ratio * count(s):
+            found.append((a, b))
+    return found
+
+
 def dense_spans(text: str, taken: list[tuple[int, int, int]], count, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """Runs with few characters a token that overlap none of taken; count gives a string's number of tokens."""
+    """Stretches with few characters a token that overlap none of taken; count gives a string's number of tokens."""
     if longest(text) < 20:
         return []
     found = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if IDENTIFIER.match(run) or (len(run) in DIGEST_SIZES and DIGEST.match(run)) or any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        if len(run) < ratio * count(run):
-            found.append((m.start(), 3, m.end()))
+        for a, b in random_parts(m[0], count, ratio):
+            a, b = m.start() + a, m.start() + b
+            if not any(x < b and a < y for x, _, y in taken):
+                found.append((a, 3, b))
     return found
 
 
