@@ -924,7 +924,7 @@ def m5_logistic(spark, sf_dir):
 @query("m6_boosted", None)
 def m6_boosted(spark, sf_dir):
     rows = _quality(spark, sf_dir)
-    return models.scored(models.boosted_model(rows, COLUMNS, rounds=8), rows, COLUMNS, 0.5).select("doc_id", "label", "probability", "prediction")
+    return models.scored(models.boosted_model(rows, COLUMNS), rows, COLUMNS, 0.5).select("doc_id", "label", "probability", "prediction")
 
 
 @query("m7_frozen_threshold", f"""{WITH}, t AS (SELECT g.probability AS threshold, 2.0::DOUBLE * count(*) FILTER (p.label = 1 AND p.probability >= g.probability) / (count(*) FILTER (p.probability >= g.probability) + count(*) FILTER (p.label = 1)) AS f1
@@ -938,7 +938,7 @@ def m7_frozen_threshold(spark, sf_dir):
 
 @query("o8_asset_splits", None)
 def o8_asset_splits(spark, sf_dir):
-    per = predictions(spark, sf_dir).filter("cast(asset_id as bigint) < 22").groupBy("asset_id").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"))
+    per = predictions(spark, sf_dir).groupBy("asset_id").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"))
     n = per.count()
-    found = models.asset_splits(per, {"train": n - 2 * (n // 5), "val": n // 5, "test": n // 5}, trials=2000)
+    found = models.asset_splits(per, {"train": n - 2 * (n // 5), "val": n // 5, "test": n // 5})
     return spark.createDataFrame(sorted(found.items()), "asset_id string, split string")
