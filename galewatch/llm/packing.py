@@ -54,22 +54,24 @@ def places(ends: np.ndarray, sentences: np.ndarray, capacity: int = CAPACITY, st
     return at[keep], cost[at[keep]]
 
 
-def cuts(place: np.ndarray, truncation: np.ndarray, capacity: int = CAPACITY, thorough: bool = False) -> list[int]:
-    """The cheapest sequence of places, from the first to the last. Windows below capacity / 4 are tried near the end only, or everywhere if thorough."""
+def cuts(place: np.ndarray, truncation: np.ndarray, capacity: int = CAPACITY) -> list[int]:
+    """The cheapest sequence of places, from the first to the last."""
     total = int(place[-1])
-    powers = [1 << k for k in range(capacity.bit_length()) if 1 << k <= capacity]
-    near = 0 if thorough else int(np.searchsorted(place, total - capacity))
-
     index = np.full(total + 1, -1)
     index[place] = np.arange(len(place))
+    # Windows without padding: for each place, those that lie a power of two before it.
+    ends, begins = [], []
+    for k in range(capacity.bit_length()):
+        want = place - (1 << k)
+        source = np.where(want >= 0, index[np.maximum(want, 0)], -1)
+        at = np.flatnonzero(source >= 0)
+        ends.append(at)
+        begins.append(source[at])
+    ends, begins = np.concatenate(ends), np.concatenate(begins)
+    order = np.argsort(ends, kind="stable")
+    sources = begins[order].tolist()
+    first = np.searchsorted(ends[order], np.arange(len(place) + 1)).tolist()
 
-    def exact(size: int, first: int = 0) -> list[int]:
-        """For the places from the first on, the one that lies size before, if there is one."""
-        want = place[first:] - size
-        return np.where(want >= 0, index[np.maximum(want, 0)], -1).tolist()
-
-    large = [exact(p) for p in powers if 4 * p >= capacity]
-    small = [exact(p, near) for p in powers if 4 * p < capacity]
     pos, cut = place.tolist(), truncation.tolist()
     cost, back = [0.0] * len(pos), [-1] * len(pos)
     queue: deque[int] = deque([0])
@@ -83,15 +85,9 @@ def cuts(place: np.ndarray, truncation: np.ndarray, capacity: int = CAPACITY, th
             best = key[source] + capacity - at
         else:
             source, best = -1, float("inf")
-        for back_at in large:
-            i = back_at[j]
-            if i >= 0 and cost[i] < best:
+        for i in sources[first[j] : first[j + 1]]:
+            if cost[i] < best:
                 source, best = i, cost[i]
-        if j >= near:
-            for back_at in small:
-                i = back_at[j - near]
-                if i >= 0 and cost[i] < best:
-                    source, best = i, cost[i]
         best += cut[j] + WINDOW
         cost[j], back[j] = best, source
         key[j] = k = best + at
@@ -230,8 +226,9 @@ def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     path is a tokenizer file that exists on every node; a document's tokens are its ids and end_id. Partitions are
     packed by themselves, in blocks of about `block` tokens, so nothing is shuffled and memory is bounded by a block and
-    one document. Null and empty texts are one token. Repeated rows are packed as often as they come; ids may be null.
-    An empty table gives no rows. A sequence is padded to capacity unless its size is a power of two.
+    one document; within a block the cuts are the cheapest. Null and empty texts are one token. Repeated rows are packed as often as they come; ids may be null.
+    An empty table gives no rows. A sequence is padded to capacity unless its size is a power of two. Other columns
+    aren't read, whatever their names.
     """
 
     def run(batches):

@@ -83,7 +83,7 @@ def test_cuts_are_the_cheapest():
                 if n <= 16 and b in best:
                     c = best[b] + (0 if n & (n - 1) == 0 else 16 - n) + int(cut[j]) + packing.WINDOW
                     best[at] = min(best.get(at, 1e9), c)
-        path = packing.cuts(place, cut, 16, thorough=True)
+        path = packing.cuts(place, cut, 16)
         cost = 0
         of = dict(zip(place.tolist(), cut.tolist(), strict=True))
         for a, b in zip(path, path[1:], strict=False):
