@@ -7,20 +7,24 @@ is column expressions, so pages never leave the executors' JVM, and nothing is s
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Tags that end a line of text, entities, and their characters. The ampersand comes last.
+# Tags that end a line of text.
 BLOCKS = "p|div|br|hr|li|ul|ol|dl|dt|dd|tr|td|th|table|h1|h2|h3|h4|h5|h6|nav|main|article|section|header|footer|aside|blockquote|pre|title|figure|form|body|head|html"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
-#: (pattern, replacement), in order, from markup to text.
+#: (pattern, replacement), in order, from markup to text. What isn't closed runs to the end, so no pattern starts twice at one place.
 STEPS = (
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
-    (r"(?s)<!--.*?-->", ""),
-    (rf"(?i)</?({BLOCKS})\b[^>]*>", "\n"),
-    (r"<[^>]*>", ""),
+    (r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)", ""),
+    (r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)", ""),
+    (r"(?s)<!--.*?(?:-->|\z)", ""),
+    (rf"(?i)</?({BLOCKS})\b[^<>]*>", "\n"),
+    (r"<[^<>]*>", ""),
 )
+#: A character reference after its ampersand, and the characters of the named ones: the standard library's table. Spaces that don't break are spaces.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+NAMED = {name: " " if point == 160 else chr(point) for name, point in sorted(name2codepoint.items())} | {"apos": "'"}
 SPACES = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"))
 TITLE, LANGUAGE, LINK = r"(?is)<title[^>]*>(.*?)</title", r'(?i)<html\b[^>]*\blang="([^"]*)"', r"(?i)<a\s[^>]*href="
 VERSION, SOFTWARE = "WARC/1.1", "galewatch derivatives"
@@ -32,14 +36,29 @@ def _replaced(c: Column, steps: tuple) -> Column:
     return c
 
 
+def _character(name: Column) -> Column:
+    """The character that a reference names; null for an unknown name. No character is U+FFFD."""
+    hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+    point = F.when(hexadecimal, F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.length(name))).cast("long")
+    known = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+    number = F.when(point == 160, " ").when(known, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    return F.when(F.startswith(name, F.lit("#")), number).when(name != "", F.element_at(named, name))
+
+
 def _characters(c: Column) -> Column:
-    for name, character in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(character))
-    return c
+    """Character references as their characters, each once: what is between two ampersands is looked at by itself."""
+    parts = F.split(c, "&", -1)
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, REFERENCE, 1)
+        return F.coalesce(F.concat(_character(name), F.substring(part, F.length(name) + 2, F.length(part))), F.concat(F.lit("&"), part))
+
+    return F.when(F.contains(c, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)), decoded), ""))).otherwise(c)
 
 
 def plain_text(html: Column) -> Column:
-    """The text of a page: no scripts, styles, comments or tags; a line for each block; known entities as characters."""
+    """The text of a page: no scripts, styles, comments or tags; a line for each block; character references as characters."""
     return F.trim(_replaced(_characters(_replaced(html, STEPS)), SPACES), F.lit(" \n"))
 
 
@@ -59,7 +78,8 @@ def derivatives(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
     source_digest, content_type, content_length (bytes), block_digest, content.
 
     A null page or address is empty, and gives records like any other; a null id stays null and counts as empty text in
-    identifiers. Repeated rows give equal records. Other columns aren't read. An empty table gives no rows.
+    identifiers. Repeated rows give equal records. Other columns aren't read, whatever their names. An empty table gives
+    no rows. A page of any length is converted whole, in time that grows with its length.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("target_uri"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("target_uri")
@@ -112,10 +132,14 @@ def oracle() -> str:
             c = f"regexp_replace({c}, {_quoted(pattern)}, {by}, 'g')"
         return c
 
+    names = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in NAMED.items()) + "}"
+
     def characters(c: str) -> str:
-        for name, character in ENTITIES:
-            c = f"replace({c}, {_quoted(name)}, {_quoted(character)})"
-        return c
+        name = f"regexp_extract(x, {_quoted(REFERENCE)}, 1)"
+        point = f"CASE WHEN lower(substr({name}, 2, 1)) = 'x' THEN ('0x' || substr({name}, 3))::BIGINT ELSE try_cast(substr({name}, 2) AS BIGINT) END"
+        number = f"CASE WHEN {point} = 160 THEN ' ' WHEN {point} > 0 AND {point} < 1114112 AND NOT {point} BETWEEN 55296 AND 57343 THEN chr(({point})::INTEGER) ELSE chr(65533) END"
+        found = f"CASE WHEN {name} LIKE '#%' THEN {number} ELSE {names}[{name}] END"
+        return f"array_to_string(list_transform(string_split({c}, '&'), lambda x, i: CASE WHEN i = 1 THEN x ELSE coalesce({found} || substr(x, length({name}) + 2), '&' || x) END), '')"
 
     def identifier(kind: str) -> str:
         h = f"md5({_quoted(kind)} || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || target_uri)"
