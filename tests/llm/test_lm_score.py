@@ -20,8 +20,12 @@ def pieces():
 
 @pytest.fixture
 def quick(monkeypatch):
-    train = attention.train
-    monkeypatch.setattr(attention, "train", lambda pieces, words, steps=40: train(pieces, words, steps))
+    """A model of a few steps, trained here: workers have their own copy of the module."""
+
+    def fitted(learned, size, pieces, block=0):
+        return attention.train(pieces, [lm_score.words_of(r.text)[:200] for r in learned.orderBy("doc_id", "text").limit(50).collect()], 40)
+
+    monkeypatch.setattr(lm_score, "fitted", fitted)
 
 
 def brute(rows):
@@ -117,3 +121,58 @@ def test_training_lowers_the_loss(spark, pieces):
         return -attention.score(m, tables, tables.sum(0), *s[:4], pieces.pad)[0].mean()
 
     assert loss(attention.train(pieces, learned, 500)) < loss(attention.train(pieces, learned, 1)) - 0.5
+
+
+def test_score_is_the_mixture(spark, quick, pieces):
+    """The model's log10 probability of whole texts, from plain counts and the network's own word probabilities."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    got = {r.doc_id: r.score for r in lm_score.score_documents(docs, vocabulary(RANKS), block=20_000, bucket=30_000).collect()}
+    learned = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for _, t in learned for w in [*lm_score.words_of(t), None])
+    n, v = sum(counts.values()), len(counts)
+    full = attention.Pieces(vocabulary(RANKS))
+    model = attention.train(full, [lm_score.words_of(t)[:200] for _, t in sorted(learned)[:50]], 40)
+    tables = model.tables()
+    for i, t in rows[:25]:
+        seen, want, begin, size, starts = attention.sequences(full, [lm_score.words_of(t)])
+        place, inside = attention.windows(begin, size)
+        mix = attention._forward(model, np.where(inside, seen[place], full.pad), full.pad)[-1][:, attention.CONTEXT :][inside[:, attention.CONTEXT :]]
+        p = (mix * tables.T[want]).sum(1)
+        begins = mix @ tables[:, full.count : full.end + 1].sum(1)
+        heads = [*np.flatnonzero(starts).tolist(), len(want) - 1]
+        total = 0.0
+        for w, a in zip([*lm_score.words_of(t), None], heads, strict=True):
+            b = heads[heads.index(a) + 1] if w is not None else len(want)
+            # A word is its pieces, given that one starts here, and then another word or the end.
+            spelled = p[a:b].prod() / begins[a] * (begins[b] if w is not None else 1)
+            joined = max(counts[w] - lm_score.DISCOUNT, 0) / n + lm_score.DISCOUNT * v / n * spelled
+            total += math.log10((1 - lm_score.SPELLED) * joined + lm_score.SPELLED * spelled)
+        assert abs(total - got[i]) < 1e-3 * abs(total) + 1e-3
+
+
+def test_fitting_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    size = sum(len((r.text or "").encode()) for r in docs.collect())
+    pieces = attention.Pieces(vocabulary(RANKS))
+    model = lm_score.fitted(docs, size, pieces, block=size // 3)
+    again = lm_score.fitted(docs.repartition(7), size, pieces, block=size // 3)
+    assert all(np.array_equal(a, b) for a, b in zip(model.parts(), again.parts(), strict=True))
+    assert all(np.isfinite(w).all() for w in model.parts())
+
+
+def test_parameters_on_end(pieces):
+    m = attention.new_model(pieces, np.ones(pieces.size))
+    again = attention.Model.of_vector(m.vector(), pieces)
+    assert all(np.array_equal(a, b) for a, b in zip(m.parts(), again.parts(), strict=True))
+    texts = [[b"some", b"words"] * 30, [b"others"] * 50]
+    start = attention.train(pieces, texts, 50)
+    more, count = attention.refine(pieces, attention.Model.of_vector(start.vector(), pieces), texts * 200)
+    assert count == attention.window_count(attention.sequences(pieces, texts)) * 200
+    s = attention.sequences(pieces, texts)
+
+    def loss(m):
+        tables = np.ascontiguousarray(m.tables().T)
+        return -attention.score(m, tables, tables.sum(0), *s[:4], pieces.pad)[0].mean()
+
+    assert loss(more) < loss(start)
