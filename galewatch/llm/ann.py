@@ -3,19 +3,20 @@
 Centroids are fitted on a bounded sample by splitting it in two, again and again, each time at the median, so lists are
 balanced. A vector goes to the list of its nearest centroid, and, near a boundary, to those of others that are about as
 near and that no chosen centroid is nearer to. Centroids are searched by a graph in memory: from an entry, the best
-unexpanded node of a beam is replaced by its neighbours. A query reads the lists whose centroids are within a ratio of
-its nearest one's distance, and of them up to a share of all lists: where distances are nearly equal, recall depends on
-the share of the table that is read, so a fixed number of lists would lose neighbours as tables grow. Scores of what is
-read are exact, in double precision.
+unexpanded nodes of a beam are replaced by their neighbours. A query reads the lists whose centroids are within a ratio
+of its nearest one's distance. How large the ratio must be depends on the data, so it is fitted too: a few sampled
+vectors are held against the whole table, and the ratio is the one within which nearly all of their neighbours' lists
+are. Where vectors have no structure, a ratio that keeps recall leaves many lists to read; where they have, few. Scores
+of what is read are exact, in double precision.
 
 Equal vectors are indexed once, with as many of their least ids as a query can use. Lists are dealt in chunks, so no
-task grows with a list.
+task grows with a list. Vectors of another dimension than most are a list for each dimension, read by all of its queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,17 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
-#: Vectors of a list, lists at most, sampled vectors for each list. A query is sent to each list it reads, so lists of
-#: large tables grow rather than their number.
-LIST, LISTS, SAMPLE = 128, 1024, 16
-#: Neighbours of a centroid in the graph, random links besides, and the beam's width.
-NEAR, FAR, BEAM = 16, 8, 64
+#: Vectors of a list, sampled vectors for each list, and sampled numbers at most: with 64 dimensions, 125,000 vectors and 7,812 lists.
+LIST, SAMPLE, VALUES = 128, 16, 8_000_000
+#: Neighbours of a centroid in the graph, random links besides, the beam's width at least, and nodes expanded at once.
+NEAR, FAR, BEAM, EXPAND = 16, 8, 64, 8
 #: A vector's copies at most, and how much farther than its nearest centroid a further one may be.
 COPIES, BOUNDARY = 4, 1.12
-#: Lists read at least, the ratio of distances, and what may be read within it: so many lists, or this part of all if more.
-READ_LEAST, RATIO, READ_MOST, READ_PART = 8, 1.35, 64, 8
+#: Lists read at least, the share of neighbours that the ratio has to cover, and the sampled queries whose neighbours are looked at.
+READ_LEAST, COVER, TRIED = 8, 0.97, 256
 CHUNK = 4096
+#: Scores are the same where they are equal to so many places.
+PLACES = 14
 
 
 @dataclass
@@ -41,6 +43,10 @@ class Centroids:
     at: np.ndarray
     links: np.ndarray
     entry: int
+    #: The ratio of squared distances, what is added to both so that it is defined at a centroid, and lists read at most.
+    ratio: float = 1.0
+    scale: float = 0.0
+    most: int = BEAM
 
     def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(ids, squared distances) of the nearest centroids found, nearest first; ids are -1 where there are fewer."""
@@ -53,24 +59,28 @@ class Centroids:
         open_ = np.zeros((count, beam), bool)
         ids[:, 0], open_[:, 0], seen[:, self.entry] = self.entry, True, True
         far[:, 0] = ((x - self.at[self.entry]) ** 2).sum(1)
-        live = np.arange(count)
+        live, wide = np.arange(count), min(EXPAND, beam)
         while live.size:
-            best = np.where(open_[live], far[live], np.inf).argmin(1)
-            some = open_[live, best]
-            live, best = live[some], best[some]
+            live = live[open_[live].any(1)]
             if not live.size:
                 break
-            open_[live, best] = False
-            near = self.links[ids[live, best]]
+            r = np.arange(len(live))[:, None]
+            best = np.argpartition(np.where(open_[live], far[live], np.inf), wide - 1, 1)[:, :wide]
+            able = open_[live[:, None], best]
+            open_[live[:, None], best] = False
+            near = np.where(able[:, :, None], self.links[ids[live[:, None], best]], self.entry).reshape(len(live), -1)
+            # Of a node that several links lead to, one counts.
+            order = np.argsort(near, 1, kind="stable")
+            near = near[r, order]
             new = ~seen[live[:, None], near]
+            new[:, 1:] &= near[:, 1:] != near[:, :-1]
             seen[live[:, None], near] = True
             d = 2 - 2 * np.matmul(self.at[near], x[live, :, None])[..., 0]
             d[~new] = np.inf
             all_d = np.concatenate([far[live], d], 1)
-            pick = np.argsort(all_d, 1, kind="stable")[:, :beam]
-            r = np.arange(len(live))[:, None]
+            pick = np.argpartition(all_d, beam - 1, 1)[:, :beam]
             ids[live] = np.concatenate([ids[live], near], 1)[r, pick]
-            open_[live] = np.concatenate([open_[live], new], 1)[r, pick]
+            open_[live] = np.concatenate([open_[live], new], 1)[r, pick] & np.isfinite(all_d[r, pick])
             far[live] = all_d[r, pick]
         order = np.argsort(far, 1, kind="stable")
         far = far[rows, order]
@@ -113,8 +123,63 @@ def fit(x: np.ndarray, lists: int, seed: int = 5) -> Centroids:
     return Centroids(at, links, int((at @ at.mean(0)).argmax()))
 
 
+def calibrated(c: Centroids, asked: np.ndarray, of: np.ndarray, neighbours: np.ndarray) -> Centroids:
+    """c with the ratio within which COVER of the neighbours' lists are. neighbours: unit vectors, of: which of asked each is near to."""
+    if not len(neighbours):
+        return c
+    far = np.maximum(2 - 2 * asked @ c.at.T, 0)
+    nearest = far.min(1)
+    scale = float(nearest.mean()) + 1e-6
+    row, chosen = lists_of_vectors(c, neighbours)
+    needed = np.full(len(neighbours), np.inf)
+    np.minimum.at(needed, row, (far[of[row], chosen] + scale) / (nearest[of[row]] + scale))
+    ratio = float(np.quantile(needed, COVER))
+    most = int(((far + scale) <= ratio * (nearest + scale)[:, None]).sum(1).max())
+    return replace(c, ratio=ratio, scale=scale, most=max(BEAM, min(len(c.at), most)))
+
+
+def _tried(asked, k: int):
+    """Rows of vec -> a task's k nearest to each of the sampled queries but themselves: query, score, vec."""
+
+    def run(batches):
+        y = asked.value
+        kept = np.full((len(y), k), -np.inf, np.float32)
+        vectors = np.zeros((len(y), k, y.shape[1]))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = _matrix(batch.column("vec"))
+            like = y @ _unit(raw).T
+            like[like > 1 - 1e-6] = -np.inf
+            for i in np.flatnonzero(like.max(1) > kept[:, -1]):
+                score = np.concatenate([kept[i], like[i]])
+                pick = np.argsort(-score, kind="stable")[:k]
+                kept[i], vectors[i] = score[pick], np.concatenate([vectors[i], raw])[pick] if len(raw) <= 4 * k else np.stack([vectors[i, j] if j < k else raw[j - k] for j in pick])
+        row, col = np.nonzero(np.isfinite(kept))
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(kept[row, col].astype(float), pa.float64()), pa.array(list(vectors[row, col]), pa.list_(pa.float64()))], names=["query", "score", "vec"])
+
+    return run
+
+
+def _calibrated(distinct: DataFrame, c: Centroids, asked: np.ndarray, k: int) -> Centroids:
+    """c with its ratio fitted to what the vectors asked have as neighbours among all vectors."""
+    shared = distinct.sparkSession.sparkContext.broadcast(asked)
+    found = distinct.select("vec").mapInArrow(_tried(shared, k), "query long, score double, vec array<double>")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec"))).filter(F.col("r") <= k).select("query", "vec")
+    best = best.orderBy("query", "vec").toArrow()
+    if not best.num_rows:
+        return c
+    return calibrated(c, asked, best.column("query").to_numpy(), _unit(_matrix(best.column("vec").combine_chunks())))
+
+
+def _normalized(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; the largest component comes to one first, so that no square is infinite or zero."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return _normalized(np.asarray(x, np.float64)).astype(np.float32)
 
 
 def lists_of_vectors(c: Centroids, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,9 +201,8 @@ def lists_of_vectors(c: Centroids, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def lists_of_queries(c: Centroids, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) pairs that queries read."""
-    most = max(READ_MOST, -(-len(c.at) // READ_PART))
-    ids, far = c.search(x, max(BEAM, most))
-    read = (ids >= 0) & ((far <= RATIO**2 * far[:, :1]) | (np.arange(ids.shape[1]) < READ_LEAST)) & (np.arange(ids.shape[1]) < most)
+    ids, far = c.search(x, c.most)
+    read = (ids >= 0) & ((far + c.scale <= c.ratio * (far[:, :1] + c.scale)) | (np.arange(ids.shape[1]) < READ_LEAST))
     row, col = np.nonzero(read)
     return row, ids[row, col]
 
@@ -164,9 +228,7 @@ def _scored(k: int):
     """From rows sorted by list and chunk, candidates before queries: each query's best candidates there."""
 
     def best(q: pa.RecordBatch, ids: list, x: np.ndarray) -> pa.RecordBatch:
-        y = _matrix(q.column("vec"))
-        y /= np.linalg.norm(y, axis=1, keepdims=True)
-        score = y @ x.T
+        score = np.round(_normalized(_matrix(q.column("vec"))) @ x.T, PLACES)
         least = np.array([i[0] for i in ids])
         own = q.column("key").to_pylist()
         out = {"query": [], "score": [], "ids": []}
@@ -196,50 +258,61 @@ def _scored(k: int):
                     rows.append(_matrix(part.column("vec")))
                 elif rows:
                     if x is None:
-                        x = np.concatenate(rows)
-                        x /= np.linalg.norm(x, axis=1, keepdims=True)
+                        x = _normalized(np.concatenate(rows))
                     yield best(part, ids, x)
 
     return run
 
 
-def usable(table: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int]:
-    """(vec_id, vec) of vectors that take part, and how many there are: finite, not zero, of the commonest dimension."""
+def usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """(vec_id, vec, size) of vectors that take part: finite and not zero."""
     v = F.col(vector).cast("array<double>")
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("vec")).filter("vec_id is not null and vec is not null")
     rows = rows.filter(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
-    top = rows.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    return (rows.filter(F.size("vec") == top["size"]), top["count"]) if top else (rows, 0)
+    return rows.withColumn("size", F.size("vec"))
 
 
 def nearest(table: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", list_size: int = LIST) -> DataFrame:
     """Per query and rank: query_id, rank, vec_id, score: the k nearest found by cosine, ties to smaller ids.
 
-    queries is a condition on vec_id. Candidates are all rows with another id than the query's. Null ids and vectors,
-    zero ones, ones with a null or non-finite component and ones of another dimension than most take no part. Rows
-    repeated with id and vector count once. An empty table gives no rows; fewer than k candidates are all given.
-    The centroids' sample has at most LISTS * SAMPLE vectors; what is broadcast is bounded by LISTS centroids.
+    queries is a condition on vec_id. Candidates are all rows with another id than the query's and of its dimension. Null
+    ids and vectors, zero ones and ones with a null or non-finite component take no part. Vectors of another dimension
+    than most are compared with all of theirs. Rows repeated with id and vector count once. An empty table gives no rows;
+    fewer than k candidates are all given. Scores are rounded to PLACES, so that parallel vectors tie. Vectors of any
+    length fit; the centroids' sample has about VALUES numbers, and what is broadcast a SAMPLE-th of them. Other columns
+    aren't read, whatever their names.
     """
     spark = table.sparkSession
-    rows, count = usable(table, vec_id, vector)
+    rows = usable(table, vec_id, vector)
+    top = rows.groupBy("size").count().orderBy(F.desc("count"), "size").first()
+    if not top:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rank = F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id"))
     distinct = settled(rows.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")))
-    lists = int(min(LISTS, max(1, count // list_size)))
-    if lists == 1:
-        sample = distinct.limit(1)
-    else:
-        sample = distinct.orderBy(F.xxhash64("vec"), "vec").limit(lists * SAMPLE)
-    sample = sample.select("vec").toArrow().column("vec").combine_chunks()
-    if not len(sample):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    centroids = spark.sparkContext.broadcast(fit(_unit(_matrix(sample)), lists))
-
-    postings = settled(distinct.mapInArrow(_dealt(centroids, lists_of_vectors), "list long, vec array<double>, ids array<long>"))
-    # At most LISTS rows.
+    usual = F.size("vec") == top["size"]
+    count = distinct.filter(usual).count()
+    lists = int(max(1, min(count // list_size, VALUES // (SAMPLE * top["size"]))))
+    # About SAMPLE vectors a list, and no fewer than some, by hash; of the others, about TRIED to fit the ratio with.
+    share = max(lists * SAMPLE, 64) / count
+    place = F.xxhash64("vec", F.lit("sample")) / F.lit(2.0**64) + 0.5
+    some = distinct.filter(usual & (place < share + TRIED / count)).select("vec", (place < share).alias("fit")).orderBy("vec").toArrow()
+    if not some.num_rows:
+        some = distinct.filter(usual).limit(1).select("vec", F.lit(True).alias("fit")).toArrow()
+    sample, fits = _unit(_matrix(some.column("vec").combine_chunks())), some.column("fit").to_numpy()
+    fits = fits if fits.any() else ~fits
+    asked = sample[~fits] if not fits.all() else sample[:TRIED]
+    centroids = fit(sample[fits], lists)
+    centroids = spark.sparkContext.broadcast(_calibrated(distinct.filter(usual), centroids, asked[:TRIED], k))
+    own = (-F.size("vec")).cast("long").alias("list")
+
+    postings = distinct.filter(usual).mapInArrow(_dealt(centroids, lists_of_vectors), "list long, vec array<double>, ids array<long>")
+    postings = settled(postings.union(distinct.filter(~usual).select(own, "vec", "ids")))
+    # A row for each list and rarer dimension.
     chunks = postings.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     asked = rows.filter(F.expr(queries)).select("vec_id", "vec")
     keys = settled(asked.groupBy("vec").agg(F.min("vec_id").alias("key")))
-    reads = keys.mapInArrow(_dealt(centroids, lists_of_queries), "list long, vec array<double>, key long")
+    reads = keys.filter(usual).mapInArrow(_dealt(centroids, lists_of_queries), "list long, vec array<double>, key long")
+    reads = reads.union(keys.filter(~usual).select(own, "vec", "key"))
     nothing = F.lit(None)
     left = postings.join(F.broadcast(chunks), "list").select("list", F.pmod(F.xxhash64("vec"), "chunks").alias("chunk"), F.lit(0).alias("role"), nothing.cast("long").alias("key"), "ids", "vec")
     right = reads.join(F.broadcast(chunks), "list").select(
