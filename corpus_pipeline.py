@@ -11,32 +11,38 @@ from galewatch.llm.queries import token_pattern, vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those of no language with any likelihood, go."""
+    """Documents without letters, and those that no language is clearly above chance for, go.
+
+    Null and empty texts have no letters. Repeated rows go or stay together. An empty table stays empty.
+    """
     small_batches(spark)
     return langid.identified(docs)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
+    """Of equal texts the row with the largest id stays; of rows repeated with it, one. Null and empty texts are equal, null ids the smallest."""
     small_batches(spark)
     return exact_dedup.deduplicated(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a component of near copies, by five-word shingles and a similarity of 0.8, the document with the least id stays."""
+    """Of a component of near copies, by five-word shingles and a similarity of 0.8, the document with the least id stays.
+
+    Texts without words, and rows without an id, link with nothing and stay. Rows of one id are one document.
+    """
     small_batches(spark)
     return near_dedup.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay, and their numbers of characters follow."""
+    """Secrets are replaced by a mark; all documents stay, and their numbers of characters follow. Null and empty texts stay as they are."""
     small_batches(spark)
     clean = secrets.redact(docs, vocabulary("byte_bpe_50k.tiktoken"), token_pattern())
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as sequences of at most 4096 tokens."""
+    """What is left, as sequences of at most 4096 tokens. Null and empty texts are one token; repeated rows are packed each."""
     small_batches(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 

@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a Python worker gets at once: long documents stay within a worker's memory.
-BATCH_ROWS = 128
+#: Rows, and bytes, that a Python worker gets at once: long documents stay within a worker's memory. One text may be larger.
+BATCH_ROWS, BATCH_BYTES = 128, 32_000_000
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds, for the Python stages planned from here on."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound what one Arrow batch holds, for the Python stages planned in this session from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def rare_collections() -> None:
@@ -23,22 +24,36 @@ def rare_collections() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one below the warehouse where none is set, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where none is set, one below the warehouse, in local mode alone."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if found:
+        return found
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def settled(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write a frame below shared_dir and read it again: lineage ends there, and lost executors cost no recomputation.
 
-    The table stays; the folder's owner expires it, as with reliable checkpoints.
+    The table is deleted when the application ends; results are lazy, so they may need it until then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/galewatch-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, with underscores before it until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

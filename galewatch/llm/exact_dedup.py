@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, text_of
+from .common import settled, text_of, unused
 
 BLOCK = 1024
 #: A hash is hot from this share of all blocks on; fewer than its inverse can be hot.
@@ -84,31 +84,47 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     return found
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:
+    """Per row of docs: doc_id, sha, top (the row that stays: doc_id, rid), group_size, kept.
+
+    Groups of more than a 1/HOT_SHARE of all rows, of which there are fewer than HOT_SHARE, are joined by broadcast, so no
+    task gets the copies of one text.
+    """
+    found = settled(identities(docs, doc_id, text, block))
+    key = ["level", "h", "r"]
+    groups = settled(found.groupBy(key).agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count("*").alias("group_size")))
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    hot = groups.filter((F.col("group_size") > HOT_LEAST) & (F.col("group_size") * HOT_SHARE > total))
+    one = found.join(F.broadcast(hot), key)
+    two = found.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key)
+    return one.unionByName(two).withColumn("kept", F.col("top.rid") == F.col("rid"))
+
+
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the row with the largest id stays.
 
-    Null texts count as empty, so all of them and the empty ones are one group. Null ids are smaller than any other.
-    Rows repeated with id and text are one group, of which one row stays. Other columns are not read, whatever their
+    Null texts count as empty, so all of them and the empty ones are one group. Null ids are smaller than any other, and
+    a group of null ids alone keeps a null. Rows repeated with id and text are one group, of which one row stays. A text
+    of any length is cut into blocks, so no task names a long one by itself. Other columns are not read, whatever their
     names. An empty table gives no rows.
     """
-    found = settled(identities(docs, doc_id, text, block))
-    key = ["level", "h", "r"]
-    groups = found.groupBy(key).agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count("*").alias("group_size"))
-    return found.join(groups, key).select(
-        "doc_id",
-        F.col("top.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("top.rid") == F.col("rid")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    return _grouped(docs, doc_id, text, block).select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows that exact_duplicates() keeps, with all their columns."""
-    digest = F.lower(F.sha2(text_of(text), 256))
-    found = settled(exact_duplicates(docs, doc_id, text, block))
-    keys = found.filter("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    rows = docs.join(keys, (F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))) == F.col("_kept_id")) & (digest == F.col("_kept_sha")), "left_semi")
-    if not found.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():
-        rows = rows.dropDuplicates([doc_id, text])  # rows repeated with their id
+    """The rows that exact_duplicates() keeps, with all their columns, whatever their names.
+
+    Of rows repeated with id and text any one stays; null ids are equal to each other here and smaller than any other, so
+    a row without an id stays only where its text has no id at all. Null texts are empty; of them and the empty ones one
+    row stays. An empty table stays empty.
+    """
+    grouped = settled(_grouped(docs, doc_id, text, block))
+    i, s, n = unused("kept_id", docs), unused("kept_sha", docs), unused("kept_number", docs)
+    keys = grouped.filter("kept").select(F.col("doc_id").alias(i), F.lower(F.hex("sha")).alias(s))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(i)) & (F.lower(F.sha2(text_of(text), 256)) == F.col(s))
+    rows = docs.join(keys, same, "left_semi")
+    if not grouped.filter(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("top.doc_id"))).isEmpty():
+        # Rows repeated with their id: their other columns may differ, or may not be comparable, so they are numbered.
+        order = Window.partitionBy(F.col(doc_id).cast("long"), F.sha2(text_of(text), 256)).orderBy(F.monotonically_increasing_id())
+        rows = rows.withColumn(n, F.row_number().over(order)).filter(F.col(n) == 1).drop(n)
     return rows

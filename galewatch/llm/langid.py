@@ -21,11 +21,12 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, reject
 UNKNOWN = "und"
 #: Bytes of a segment, bytes of warm-up before it, and segments run at once.
 SEGMENT, WARM, AT_ONCE = 256, 16, 4096
-#: Labelled rows learned from, at most, for each of at most LANGUAGES languages, and the characters taken of each.
-SAMPLE, LANGUAGES, CROP = 1500, 200, 128
+#: Labelled rows learned from, at most, for each language and in all, and the characters taken of each, at a hashed place.
+SAMPLE, TOTAL, CROP = 1500, 300_000, 128
 HIDDEN, STEPS, BATCH, SPAN, RATE = 8, 240, 192, 64, 0.02
-#: A document whose best language has less than this probability is rejected.
-LEAST = 0.3
+#: A document is rejected whose best language's probability is less than this above chance, as a share of what it could be:
+#: with four languages, one that has no language for half of its positions.
+LEAST = 1 / 3
 PAD = 256
 
 
@@ -188,9 +189,10 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, parts: int, per_l
     """(text part, language) of labelled rows outside fold 0: those with the least hashes, and of each a part at a hashed place."""
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & (fold("i", parts) != 0)).withColumn("h", F.xxhash64("i", F.lit("sample")))
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    counts = rows.groupBy("l").count().collect()
     if not counts:
         return []
+    per_language = min(per_language, max(1, TOTAL // len(counts)))
     # A share of each language's rows that leaves a few times too many; then the least hashes.
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 4.0 * per_language / r["count"]))])
     rows = rows.filter(F.col("h") / F.lit(2.0**64) + 0.5 < share[F.col("l")]).filter(F.length("t") > 0)
@@ -200,21 +202,29 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, parts: int, per_l
     return [(r["t"], r["l"]) for r in sorted(rows.select("t", "l", "n").collect(), key=lambda r: (r["l"], r["n"]))]
 
 
+def rejected(score: float, languages: int, least: float = LEAST) -> bool:
+    """Whether a document's best probability is too little above chance; 0 always is."""
+    chance = 1 / languages if languages > 1 else 0.0
+    return score <= 0 or score - chance < least * (1 - chance) and languages > 1
+
+
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", parts: int = 5, per_language: int = SAMPLE, least: float = LEAST) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score, reject.
 
     Learns from rows with a language whose id's checksum has a remainder other than 0 by parts; at most per_language
-    rows of each language, chosen by hash. Predictions use texts alone. A null text or one without a letter is `und`
-    with score 0, and rejected; so is a text whose best language has less than `least`. Without labelled rows every
-    text is `und`. No shuffle but the sample's. Repeated rows give repeated results.
+    rows of each language, and TOTAL // languages if that is less, chosen by hash: a bound on what the driver holds, that
+    leaves no language out. Predictions use whole texts alone, of any length. A null text or one without a letter is
+    `und` with score 0, and rejected; so is a text whose best language is less than `least` above chance. Without
+    labelled rows every text is `und`. No shuffle but the sample's. Repeated rows give repeated results; an empty table
+    gives no rows; other columns aren't read, whatever their names.
     """
-    predict = _predictor(docs, doc_id, text, lang, parts, per_language)
+    predict, languages = _predictor(docs, doc_id, text, lang, parts, per_language)
 
     def run(batches):
         for batch in batches:
             names, scores = predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([s < least for s in scores], pa.bool_())],
+                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([rejected(s, languages, least) for s in scores], pa.bool_())],
                 names=["doc_id", "held_out", "lang_pred", "score", "reject"],
             )
 
@@ -222,19 +232,23 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", parts: int = 5, per_language: int = SAMPLE, least: float = LEAST) -> DataFrame:
-    """The rows that identify() doesn't reject, with all their columns."""
-    predict, place = _predictor(docs, doc_id, text, lang, parts, per_language), docs.columns.index(text)
+    """The rows that identify() doesn't reject, with all their columns, whatever their names.
+
+    Rows without text or letters go, and so do all rows where there is nothing to learn from. Repeated rows are judged
+    alike. An empty table stays empty.
+    """
+    (predict, languages), place = _predictor(docs, doc_id, text, lang, parts, per_language), docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
             _, scores = predict(batch.column(place).to_pylist())
-            yield batch.filter(pa.array([s >= least for s in scores], pa.bool_()))
+            yield batch.filter(pa.array([not rejected(s, languages, least) for s in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def _predictor(docs: DataFrame, doc_id: str, text: str, lang: str, parts: int, per_language: int):
-    """A trained function from texts to names and scores."""
+    """A trained function from texts to names and scores, and how many languages it knows."""
     labelled = sample(docs, doc_id, text, lang, parts, per_language)
     net = train([t for t, _ in labelled], [n for _, n in labelled])
 
@@ -247,4 +261,4 @@ def _predictor(docs: DataFrame, doc_id: str, text: str, lang: str, parts: int, p
                 names[i], scores[i] = net.languages[best], float(min(1.0, p[best]))
         return names, scores
 
-    return predict
+    return predict, len(net.languages)

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, text_of
+from .common import settled, text_of, unused
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
 BITS = 64 - 7
-#: How far below the threshold an estimate may be: over four standard deviations.
-MARGIN = 0.15
+#: How far below the threshold an estimate may be: about eight standard deviations, so that estimates lose as few links as bands do.
+MARGIN = 0.25
 #: Nodes of a bucket in one chunk, and from which on its nodes' own shingles are counted.
 CHUNK, LARGE = 1024, 8
 WIDTH, PERCENT = 5, 80
@@ -323,7 +323,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Documents link if 100 * intersection >= percent * union of their shingle sets. Null texts are empty; a document
     without words links with nothing. Rows of one id are one document. Rows without an id take no part: their component
-    is null and kept is false. An empty table gives no rows. Other columns aren't read.
+    is null and kept is false. Texts of any length are read whole, one batch at a time. An empty table gives no rows.
+    Other columns aren't read, whatever their names.
     """
     seen = settled(sketches(docs, width, doc_id, text))
     able = seen.filter("digest is not null and doc_id is not null")
@@ -371,7 +372,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows whose id is the least of their component's, or that have none, with all their columns."""
-    found = near_duplicates(docs, doc_id, text, width, percent)
-    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone_id"), "left_anti")
+    """The rows whose id is the least of their component's, or that have none, with all their columns, whatever their names.
+
+    Rows of one id are one document, and stay or go together. Null and empty texts, and texts without words, link with
+    nothing and stay. Texts of any length are read whole. An empty table stays empty.
+    """
+    found, name = near_duplicates(docs, doc_id, text, width, percent), unused("gone_id", docs)
+    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")

@@ -133,7 +133,8 @@ def scan(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id",
     """Per row: doc_id, counts by kind, base_sha256 and spans (kind:start:end in code points, end exclusive).
 
     vocabulary is a tiktoken rank file that exists on every node. No shuffle: rows are scanned where they are read.
-    Null texts are empty and give zero counts and empty spans; repeated rows give repeated results.
+    Null texts are empty and give zero counts and empty spans; repeated rows give repeated results, and an empty table
+    no rows. Texts of any length are scanned whole. Other columns aren't read, whatever their names.
     """
 
     def run(batches):
@@ -161,7 +162,11 @@ def scan(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id",
 
 
 def redact(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", mark: str = "[SECRET]", ratio: float = RATIO) -> DataFrame:
-    """The rows with each found span replaced by mark; other columns, and texts without a span, null ones too, stay as they are."""
+    """The rows with each found span replaced by mark; spans that overlap or meet are replaced by one.
+
+    Other columns, whatever their names, and texts without a span, null and empty ones too, stay as they are. Repeated
+    rows are treated alike. An empty table stays empty.
+    """
     place = docs.columns.index(text)
 
     def run(batches):
