@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, require_non_negative, require_positive
+from .ordered import numbered
 from .series import trailing_mean
 
 
@@ -95,14 +96,7 @@ def ranked(df: DataFrame, score: str = "priority_score", tie: str = "asset_id",
     Ranks of parts of the scores' range are counted apart, so that the sort is distributed.
     """
     rows = df.withColumn(score, F.round(score, places))
-    ordered = rows.repartitionByRange(F.desc(score), F.col(tie)).sortWithinPartitions(F.desc(score), F.col(tie)).withColumn("_part", F.spark_partition_id())
-    from ..sources.files import settled_rows
-
-    ordered = settled_rows(ordered)
-    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("_part").orderBy(F.desc(score), F.col(tie))
-    return ordered.join(F.broadcast(before), "_part").withColumn("rank", F.row_number().over(inner) + F.col("_before")).drop("_part", "_before")
+    return numbered(rows, [], [F.desc(score), F.col(tie)], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def degradation_rate(value: str, hours: Column) -> Column:

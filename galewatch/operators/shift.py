@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from .ordered import quantiles, with_quantiles
 
 
-def summary(c: str = "x") -> list[Column]:
-    """Aggregates: n, mean, std, median, q01, q99, min, max; quantiles are exact and interpolated."""
-    return [
-        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.median(c).alias("median"), F.percentile(c, F.lit(0.01)).alias("q01"), F.percentile(c, F.lit(0.99)).alias("q99"),
-        F.min(c).alias("min"), F.max(c).alias("max"),
-    ]
+def summary(df: DataFrame, by: list[str], c: str = "x") -> DataFrame:
+    """by, n, mean, std, min, max, median, q01, q99; quantiles are exact and interpolated."""
+    one = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    return with_quantiles(one, df, by, c, {"median": 0.5, "q01": 0.01, "q99": 0.99})
 
 
 def compression(std: Column) -> Column:
@@ -23,36 +22,46 @@ def compression(std: Column) -> Column:
 
 def binned_power_curve(df: DataFrame, wind: str, power: str, width: float = 0.5, least: int = 20) -> DataFrame:
     """bin, wind_median, power_median, count of bins with enough rows; only finite rows with wind of zero or more."""
-    rows = df.filter(finite(F.col(wind)) & finite(F.col(power)) & (F.col(wind) >= 0))
-    out = rows.groupBy(F.floor(F.col(wind) / width).alias("bin")).agg(F.median(wind).alias("wind_median"), F.median(power).alias("power_median"), F.count("*").alias("count"))
-    return out.filter(F.col("count") >= least)
+    rows = df.filter(finite(F.col(wind)) & finite(F.col(power)) & (F.col(wind) >= 0)).select(F.floor(F.col(wind) / width).alias("bin"), F.col(wind).alias("w"), F.col(power).alias("p"))
+    out = rows.groupBy("bin").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
+    for name, c in (("wind_median", "w"), ("power_median", "p")):
+        out = with_quantiles(out, rows, ["bin"], c, {name: 0.5})
+    return out.select("bin", "wind_median", "power_median", "count")
 
 
 def power_scale(df: DataFrame, power: str) -> DataFrame:
-    return df.agg(F.percentile(F.abs(power), F.lit(0.99)).alias("power_scale"))
+    """The 99 % quantile of power's size, one row; null without a value."""
+    return quantiles(df.select(F.abs(power).alias("x")), [], "x", {"power_scale": 0.99}).agg(F.max("power_scale").alias("power_scale"))
 
 
-def segments(knots: DataFrame, x: str, y: str) -> DataFrame:
-    """x0, x1, y0, y1 between knots, and constant beyond them."""
-    w = Window.orderBy(x)
-    rows = knots.select(F.col(x).alias("x0"), F.lead(x).over(w).alias("x1"), F.col(y).alias("y0"), F.lead(y).over(w).alias("y1"), F.row_number().over(w).alias("n"))
-    first = rows.filter("n = 1").select(F.lit(float("-inf")).alias("x0"), F.col("x0").alias("x1"), "y0", F.col("y0").alias("y1"))
-    last = F.coalesce(F.col("x1"), F.lit(float("inf")))
-    return rows.select("x0", last.alias("x1"), "y0", F.coalesce("y1", "y0").alias("y1")).unionByName(first)
+#: Knots of a curve at most: a curve is a table of bins, and is held by every task.
+KNOTS = 4096
 
 
 def interpolate(df: DataFrame, knots: DataFrame, value: str, x: str, y: str, out: str = "expected") -> DataFrame:
-    """Piecewise linear lookup by a range join on the knots' segments, of which there are few."""
-    s = F.broadcast(segments(knots, x, y))
-    joined = df.join(s, (F.col(value) >= s["x0"]) & (F.col(value) < s["x1"]))
-    flat = F.col("y0") == F.col("y1")
-    slope = F.when(flat, 0.0).otherwise((F.col(value) - F.col("x0")) / (F.col("x1") - F.col("x0")))
-    return joined.withColumn(out, F.when(flat, F.col("y0")).otherwise(F.col("y0") + slope * (F.col("y1") - F.col("y0")))).drop("x0", "x1", "y0", "y1")
+    """df with the piecewise linear lookup of value: constant beyond the knots, NaN for NaN, null for null or without knots.
+
+    All rows stay, and none is moved: the knots are an array in the plan, of which a row's segment is found by counting.
+    """
+    points = knots.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null").limit(KNOTS + 1).collect()
+    if len(points) > KNOTS:
+        raise ValueError(f"a curve has {KNOTS} knots at most")
+    points = sorted((p["x"], p["y"]) for p in points)
+    if not points:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    xs, ys = (F.array(*(F.lit(float(p[i])) for p in points)) for i in (0, 1))
+    v = F.col(value).cast("double")
+    below = F.size(F.filter(xs, lambda k: k <= v))
+    at = lambda array, i: F.element_at(array, F.greatest(F.lit(1), F.least(F.lit(len(points)), i)))
+    x0, x1, y0, y1 = at(xs, below), at(xs, below + 1), at(ys, below), at(ys, below + 1)
+    inside = (below > 0) & (below < len(points))
+    return df.withColumn(out, F.when(v.isNull() | F.isnan(v), v).when(inside, y0 + (v - x0) / (x1 - x0) * (y1 - y0)).otherwise(y0))
 
 
 def label_shift(df: DataFrame, by: str = "farm") -> DataFrame:
     """by, rows, positive_rate, fault_events, and mean, median, min and max of positive rows per fault event."""
     rate = df.groupBy(by).agg(F.count("*").alias("rows"), F.avg(F.col("label").cast("double")).alias("positive_rate"))
     per = df.filter("label = 1").groupBy(by, "asset_id", "event_id").agg(F.count("*").alias("d"))
-    spans = per.groupBy(by).agg(F.count("*").alias("fault_events"), F.avg("d").alias("mean_duration"), F.median("d").alias("median_duration"), F.min("d").alias("min_duration"), F.max("d").alias("max_duration"))
-    return rate.join(spans, by, "left").fillna(0, ["fault_events"])
+    spans = per.groupBy(by).agg(F.count("*").alias("fault_events"), F.avg("d").alias("mean_duration"), F.min("d").alias("min_duration"), F.max("d").alias("max_duration"))
+    spans = with_quantiles(spans, per, [by], "d", {"median_duration": 0.5})
+    return rate.join(spans, by, "left").fillna(0, ["fault_events"]).select(by, "rows", "positive_rate", "fault_events", "mean_duration", "median_duration", "min_duration", "max_duration")
