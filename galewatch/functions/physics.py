@@ -5,6 +5,7 @@ Every feature is a pair of value and validity; an invalid value is null.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 from functools import reduce
@@ -64,6 +65,7 @@ def _s(*numbers: int) -> tuple[str, ...]:
     return tuple(f"sensor_{n}" for n in numbers)
 
 
+#: The sites' sensors.
 SITES = {
     "A": Site("wind_speed_3", _s(5), _s(2), _s(12), "sensor_0", _s(11), "sensor_18", _s(52), "power_30", "sensor_31", _s(23, 24, 25), _s(32, 33, 34), "sensor_26"),
     "B": Site("wind_speed_61", _s(10), _s(4, 21), _s(39), "sensor_8", _s(*range(34, 38)), "sensor_19", _s(25), "power_62", "reactive_power_11", _s(16, 17, 18), _s(13, 14, 15), "sensor_23"),
@@ -71,8 +73,50 @@ SITES = {
 }
 
 
-def feature_order(with_residual: bool = False) -> list[str]:
-    return [*FEATURES, *([RESIDUAL] if with_residual else [])]
+#: The fields of a site that each feature is made from.
+SOURCES = (("wind",), ("pitch",), ("yaw",), ("ambient", "oil"), ("bearings", "oil"), ("generator", "rotor"), ("active", "reactive"), ("currents",), ("voltages",), ("frequency",))
+#: What sensors' names start with.
+PREFIXES = ("sensor_", "wind_speed_", "power_", "reactive_power_")
+#: Fixed value: how many sensors a legacy table has.
+LEGACY = 54
+
+
+def feature_order(with_residual: bool = False, contract: dict | None = None) -> list[str]:
+    """The contract's order of features, which is the engine's own without one, and the residual after them if asked for."""
+    return [*(FEATURES if contract is None else contract["features"]), *([RESIDUAL] if with_residual else [])]
+
+
+def required_sensors(mapping: object) -> list[str]:
+    """All sensors named anywhere in a nested configuration, each once, sorted."""
+    found, left = set(), [mapping]
+    while left:
+        value = left.pop()
+        if isinstance(value, str):
+            found.update([value] if value.startswith(PREFIXES) else [])
+        elif isinstance(value, dict):
+            left += value.values()
+        elif isinstance(value, (list, tuple)):
+            left += value
+    return sorted(found)
+
+
+def manifest(sites: dict[str, Site]) -> list[tuple[int, str, str, str]]:
+    """(feature_index, feature, site, sources): each feature's sensors by field as JSON, keys sorted."""
+    plain = lambda v: list(v) if isinstance(v, tuple) else v
+    return [(i, name, k, json.dumps({f: plain(getattr(s, f)) for f in fields}, sort_keys=True)) for i, (name, fields) in enumerate(zip(FEATURES, SOURCES, strict=True)) for k, s in sorted(sites.items())]
+
+
+def legacy_columns(available: list[str], sensors: list[str], expected: int = LEGACY, also_long: bool = False) -> dict[str, str]:
+    """Sensor -> its column in a legacy table: with _avg (or _average, if also_long), else bare; sensors with neither are left out.
+
+    There have to be `expected` of them.
+    """
+    endings = ("_avg", "_average", "") if also_long else ("_avg", "")
+    found = {s: next((s + e for e in endings if s + e in available), None) for s in sensors}
+    found = {s: c for s, c in found.items() if c is not None}
+    if len(found) != expected:
+        raise ValueError(f"{len(found)} sensors found where {expected} are needed")
+    return found
 
 
 def resolve_columns(available: list[str], sensors: list[str]) -> dict[str, str]:

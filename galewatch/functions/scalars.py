@@ -35,6 +35,12 @@ def epoch_seconds(c: Column) -> Column:
     return F.datediff(c.cast("date"), F.lit(EPOCH).cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.floor(F.second(c)).cast("long")
 
 
+def from_epoch(c: Column) -> Column:
+    """Whole seconds since 1970 as a timestamp without time zone."""
+    days = F.floor(c / 86400)
+    return F.expr(f"TIMESTAMP_NTZ '{EPOCH} 00:00:00'") + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), (c - days * 86400).cast("decimal(18,6)"))
+
+
 def hours_between(later: Column, earlier: Column) -> Column:
     return (epoch_seconds(later) - epoch_seconds(earlier)) / 3600.0
 

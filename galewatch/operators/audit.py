@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import same_word
+from .ordered import with_quantiles
 from .series import runs
 
 
@@ -26,9 +27,9 @@ def channel_audit(df: DataFrame, channels: list[str], sample: int | None = None,
         picked = F.when(F.col("_picked"), good)
     out = long.groupBy("channel").agg(
         F.count("*").alias("rows"), F.count_if(nan).alias("missing"), F.count_if(~nan & inf).alias("infinite"), F.count_if(good == 0).alias("zeros"), F.count_if(good < 0).alias("negatives"),
-        F.min(good).alias("min"), F.max(good).alias("max"), (F.min(good) == F.max(good)).alias("constant"), F.percentile(picked, F.array(*map(F.lit, (0.5, 0.01, 0.99)))).alias("_q"),
+        F.min(good).alias("min"), F.max(good).alias("max"), (F.min(good) == F.max(good)).alias("constant"), 
     )
-    return out.select(*out.columns[:-1], *(F.col("_q")[i].alias(n) for i, n in enumerate(("median", "q01", "q99"))))
+    return with_quantiles(out, long.select("channel", picked.alias("picked")), ["channel"], "picked", {"median": 0.5, "q01": 0.01, "q99": 0.99})
 
 
 def systematic(df: DataFrame, by: str, order: str, count: int) -> DataFrame:
@@ -54,10 +55,18 @@ def missing_share(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.unpivot([], columns, "channel", "missing_pct").orderBy(F.desc("missing_pct"), "channel")
 
 
-def frequency_check(c: Column, low: float = 45.0, high: float = 55.0, nominal: float = 50.0, tolerance: float = 0.5) -> list[Column]:
-    """Aggregates: plausible, implausible, median_hz, passed."""
-    good = F.when(c.between(low, high), c)
-    return [F.count(good).alias("plausible"), F.count_if(~c.between(low, high)).alias("implausible"), F.median(good).alias("median_hz"), F.coalesce(F.abs(F.median(good) - nominal) <= tolerance, F.lit(False)).alias("passed")]
+def frequency_check(df: DataFrame, c: Column, by: list[str] = [], low: float = 45.0, high: float = 55.0, nominal: float = 50.0, tolerance: float = 0.5) -> DataFrame:  # noqa: B006
+    """by, plausible, implausible, median_hz (of plausible values), passed."""
+    rows = df.select(*by, c.alias("_hz")).withColumn("_good", F.when(F.col("_hz").between(low, high), F.col("_hz")))
+    one = rows.groupBy(*by).agg(F.count("_good").alias("plausible"), F.count_if(~F.col("_hz").between(low, high)).alias("implausible"))
+    out = with_quantiles(one, rows, by, "_good", {"median_hz": 0.5})
+    return out.withColumn("passed", F.coalesce(F.abs(F.col("median_hz") - nominal) <= tolerance, F.lit(False)))
+
+
+def validity(df: DataFrame, c: str) -> DataFrame:
+    """valid_fraction, and min, median and max of a feature that is null where it isn't valid."""
+    one = df.agg(F.avg(F.col(c).isNotNull().cast("double")).alias("valid_fraction"), F.min(c).alias("min"), F.max(c).alias("max"))
+    return with_quantiles(one, df, [], c, {"median": 0.5}).select("valid_fraction", "min", "median", "max")
 
 
 def resolved_boundaries(readings: DataFrame, events: DataFrame) -> DataFrame:
@@ -115,6 +124,31 @@ def export_ready(missing_files: DataFrame, boundaries: DataFrame, frequency: Dat
     return one.select("missing", "failed", "passed", ((F.col("missing") == 0) & (F.col("failed") == 0) & F.col("passed")).alias("ready"))
 
 
+def calibration_failure(site: Column, uses_curve: Column, has_curve: Column, allowed: Column, curve_site: Column, setting: Column, source: str = "C", needed: str = "train-normal") -> Column:
+    """Why an export with a power residual isn't allowed, else null: the zero-shot guard for many exports at once.
+
+    A curve of a target site needs to be allowed explicitly, given or not. One that is given has to be of the export's
+    site; the source site's own has to come from its normal training rows.
+    """
+    target = site != source
+    return F.when(~uses_curve, None).when(target & ~allowed, "not allowed").when(~has_curve, None).when(~curve_site.eqNullSafe(site), "other site").when(~target & ~setting.eqNullSafe(F.lit(needed)), "setting")
+
+
+def input_violations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, rule, violations: missing, text that is no number, NaN and infinite inputs of a score, and an empty table (one)."""
+    found = {}
+    for c in columns:
+        text = F.trim(F.col(c).cast("string"))
+        x = text.try_cast("double")
+        found |= {
+            (c, "missing"): F.count_if(text.isNull()), (c, "number"): F.count_if(text.isNotNull() & x.isNull()), (c, "nan"): F.count_if(F.coalesce(F.isnan(x), F.lit(False))),
+            (c, "infinite"): F.count_if(F.coalesce(F.abs(x) == float("inf"), F.lit(False))), (c, "empty"): (F.count("*") == 0).cast("long"),
+        }
+    one = df.agg(*(v.alias(f"v{i}") for i, v in enumerate(found.values())))
+    each = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(rule).alias("rule"), F.col(f"v{i}").alias("violations")) for i, (c, rule) in enumerate(found)))
+    return one.select(F.inline(each))
+
+
 def require_calibration(uses_target: bool, allowed: bool, provenance: dict | None) -> None:
     """Zero-shot guard: calibration on the target needs an explicit flag and a record of where it comes from."""
     if uses_target and not allowed:

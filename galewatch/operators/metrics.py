@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import with_quantiles
 from .series import HORIZON_HOURS, runs
 
 REQUIRED = ("event_id", "asset_id", "hours_to_fault", "label", "probability")
@@ -24,7 +25,7 @@ def thresholds(first: float, last: float, count: int) -> list[float]:
 def prepare(df: DataFrame, model: str | None = None, split: str | None = None) -> DataFrame:
     """Checked and filtered predictions: without masked rows, probabilities within [0, 1], at least one row."""
     if missing := [c for c in REQUIRED if c not in df.columns]:
-        raise ValueError(f"prediction table is missing columns: {missing}")
+        raise ValueError(f"predictions lack {missing}")
     for name, value in (("model", model), ("split", split)):
         if value is not None:
             if name not in df.columns:
@@ -36,7 +37,7 @@ def prepare(df: DataFrame, model: str | None = None, split: str | None = None) -
     if not rows:
         raise ValueError("no rows are left")
     if bad:
-        raise ValueError("probabilities must be within [0, 1]")
+        raise ValueError(f"{bad} rows have a probability below 0, above 1 or none")
     return df
 
 
@@ -214,13 +215,14 @@ def lead_time(df: DataFrame, threshold: float, min_consecutive: int = 1, search_
     )
 
 
-def lead_time_summary(per_event: DataFrame) -> DataFrame:
+def lead_time_summary(per_event: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row over events (or one for each of by): how many are detected, and how long before their fault."""
     lead = F.col("lead_time_hours")
-    return per_event.agg(
+    one = per_event.groupBy(*by).agg(
         F.count("*").alias("n_fault_events"), F.count_if("detected").alias("n_detected"), F.avg(F.col("detected").cast("double")).alias("detection_rate"), F.avg(lead).alias("mean_lead_time_hours"),
-        F.median(lead).alias("median_lead_time_hours"), F.min(lead).alias("min_lead_time_hours"), F.max(lead).alias("max_lead_time_hours"),
-        F.count_if(F.col("detected") & ~F.col("within_label_horizon")).alias("n_beyond_label_horizon"),
+        F.min(lead).alias("min_lead_time_hours"), F.max(lead).alias("max_lead_time_hours"), F.count_if(F.col("detected") & (lead > HORIZON_HOURS)).alias("n_beyond_label_horizon"),
     )
+    return with_quantiles(one, per_event, by, "lead_time_hours", {"median_lead_time_hours": 0.5})
 
 
 def false_alarm_rate(df: DataFrame, threshold: float, min_consecutive: int = 1, hours_per_window: float = 1.0, order: Sequence = ("window_end",)) -> DataFrame:
@@ -240,14 +242,43 @@ def false_alarm_rate(df: DataFrame, threshold: float, min_consecutive: int = 1,
 
 
 def operating_points(df: DataFrame, grid: Sequence[float], min_consecutive: int = 1, hours_per_window: float = 1.0) -> DataFrame:
-    """Lead time and false alarms at each threshold, one row each."""
-    out = None
-    for t in grid:
-        lead = lead_time_summary(lead_time(df, t, min_consecutive)).select("n_fault_events", "detection_rate", "median_lead_time_hours", "mean_lead_time_hours")
-        alarms = false_alarm_rate(df, t, min_consecutive, hours_per_window).select("window_alarm_rate", "episodes_per_1000h", "event_alarm_rate")
-        row = lead.crossJoin(alarms).select(F.lit(float(t)).alias("threshold"), F.lit(min_consecutive).alias("min_consecutive"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Lead time and false alarms at each threshold of the grid, one row each.
+
+    Rows are sorted twice, however many thresholds there are: by time to the fault for events with one, by time for the
+    others. A run above a threshold starts where the least of the next min_consecutive scores is above it, so that one
+    number a row decides for all thresholds; then rows are aggregated by event and threshold.
+    """
+    if min_consecutive < 1:
+        raise ValueError("min_consecutive must be at least 1")
+    key, points = ["asset_id", "event_id"], F.array(*(F.lit(float(t)) for t in grid))
+    score = F.coalesce("probability", F.lit(float("-inf")))
+
+    def starts(rows: DataFrame, order: list) -> DataFrame:
+        """rows with _least (of the run that could start here), _before (the score before) and _at."""
+        w = Window.partitionBy(*key).orderBy(*order)
+        ahead = w.rowsBetween(0, min_consecutive - 1)
+        full = F.count("*").over(ahead) == min_consecutive
+        return rows.withColumn("_p", score).withColumns({"_least": F.when(full, F.min("_p").over(ahead)).otherwise(float("-inf")), "_before": F.lag("_p", 1, float("-inf")).over(w), "_at": F.row_number().over(w)})
+
+    def swept_events(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("threshold", F.explode(points))
+
+    hit = F.col("_least") > F.col("threshold")
+    faults = swept_events(starts(df.filter(F.col("hours_to_fault").isNotNull()), [F.desc("hours_to_fault"), F.asc("window_end")]))
+    lead = faults.groupBy(*key, "threshold").agg(F.min(F.when(hit, F.struct("_at", "hours_to_fault"))).alias("alarm"))
+    lead = lead.select("threshold", F.col("alarm").isNotNull().alias("detected"), F.col("alarm.hours_to_fault").alias("lead_time_hours"))
+    lead = lead_time_summary(lead, ["threshold"]).select("threshold", "n_fault_events", "detection_rate", "median_lead_time_hours", "mean_lead_time_hours")
+
+    quiet = swept_events(starts(df.filter(F.col("hours_to_fault").isNull()), [F.asc("window_end")]))
+    per = quiet.groupBy(*key, "threshold").agg(F.count("*").alias("w"), F.count_if(F.col("_p") > F.col("threshold")).alias("a"), F.count_if(hit & ~(F.col("_before") > F.col("threshold"))).alias("e"))
+    alarmed = F.count_if(F.col("e") > 0)
+    alarms = per.groupBy("threshold").agg(
+        F.try_divide(F.sum("a").cast("double"), F.sum("w")).alias("window_alarm_rate"), F.try_divide(F.sum("e") * 1000.0, F.sum("w") * float(hours_per_window)).alias("episodes_per_1000h"),
+        F.try_divide(alarmed.cast("double"), F.count("*")).alias("event_alarm_rate"),
+    )
+    all_points = df.sparkSession.range(1).select(F.explode(points).alias("threshold"))
+    out = all_points.join(lead, "threshold", "left").join(alarms, "threshold", "left").fillna(0, ["n_fault_events"])
+    return out.select("threshold", F.lit(min_consecutive).alias("min_consecutive"), "n_fault_events", "detection_rate", "median_lead_time_hours", "mean_lead_time_hours", "window_alarm_rate", "episodes_per_1000h", "event_alarm_rate")
 
 
 def breakdown(df: DataFrame, threshold: float, by: str = "asset_id") -> DataFrame:

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered, with_quantiles
+
 
 def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """n / (classes * n of the row's class)."""
@@ -25,8 +27,10 @@ def positive_weight(df: DataFrame, label: str = "label") -> DataFrame:
 
 def median_imputed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing values as the column's exact median."""
-    one = df.agg(*(F.median(c).alias(f"_{c}") for c in columns))
-    return df.crossJoin(F.broadcast(one)).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
+    one = df.sparkSession.range(1)
+    for c in columns:
+        one = with_quantiles(one, df, [], c, {f"_{c}": 0.5})
+    return df.crossJoin(F.broadcast(one.drop("id"))).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
 
 
 def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -116,13 +120,19 @@ def recurrent_scores(df: DataFrame, weights: RecurrentWeights, features: str = "
     return df.withColumn("probabilities", score(features))
 
 
+#: Assets that the split search takes.
+MOST_ASSETS = 100_000
+
+
 def asset_splits(df: DataFrame, counts: dict[str, int], trials: int = 20000, seed: int = 42) -> dict[str, str]:
     """Assets to splits of given numbers of assets, so that splits are alike in rows and positive share.
 
-    df: asset_id, rows, positives, one row an asset; there are a few dozen at most. The first of the trials' permutations
-    with the least score wins; a split without positives or negatives costs 1000.
+    df: asset_id, rows, positives, one row an asset, of which the driver holds MOST_ASSETS at most. The first of the
+    trials' permutations with the least score wins; a split without positives or negatives costs 1000.
     """
-    pdf: pd.DataFrame = df.orderBy("asset_id").toPandas()
+    pdf: pd.DataFrame = df.orderBy("asset_id").limit(MOST_ASSETS + 1).toPandas()
+    if len(pdf) > MOST_ASSETS:
+        raise ValueError(f"the split search takes {MOST_ASSETS} assets at most")
     if sum(counts.values()) != len(pdf):
         raise ValueError("counts must add up to the number of assets")
     rng, rows, yes = np.random.default_rng(seed), pdf["rows"].to_numpy(float), pdf["positives"].to_numpy(float)
@@ -140,4 +150,4 @@ def asset_splits(df: DataFrame, counts: dict[str, int], trials: int = 20000, see
 
 def numbered_sequences(df: DataFrame, by: str = "split", order: Sequence[str] = ("event_id", "end_s")) -> DataFrame:
     """sequence_idx from 0 in each split, by event and window end."""
-    return df.withColumn("sequence_idx", (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("long"))
+    return numbered(df, [by], list(order), "sequence_idx")

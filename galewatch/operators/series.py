@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import epoch_seconds
+from ..functions.scalars import epoch_seconds, from_epoch
+from .ordered import numbered
 
 #: Fixed values of the temporal contract, in seconds and rows.
 INTERVAL, LOOKBACK, HORIZON_HOURS, STRIDE, LENGTH, COVERAGE, GAP = 600, 86400, 48.0, 3600, 144, 0.95, 1800
@@ -78,6 +79,25 @@ def horizon_label(anomaly: Column, hours: Column, horizon: float = HORIZON_HOURS
     return F.when(anomaly & (hours > 0) & (hours <= horizon), 1).otherwise(0)
 
 
+def timestep_metadata(steps: DataFrame, events: DataFrame, key: str, farm: Column, split: Column, event_id: Column, mask: Column, horizon: float = HORIZON_HOURS) -> DataFrame:
+    """One row a step of every sequence: farm, split, sequence_idx, timestep_idx, asset_id, event_id, window_end, event_end,
+    fault_time, hours_to_fault, label, mask.
+
+    steps: key, end_s, timestep_idx, s (grid()), and what mask needs; events: key, anomaly, end_s0. farm, split and
+    event_id are expressions over both. The time of a fault, and the hours to it, are null for normal events. Sequences
+    are numbered from 0 in each split, by event and window end.
+    """
+    rows = steps.join(events.select(key, "anomaly", "end_s0"), key)
+    rows = rows.withColumns({"farm": F.upper(farm), "split": split, "event_id": event_id.cast("long"), "mask": mask.cast("int"), "event_end": from_epoch(F.col("end_s0")), "window_end": from_epoch(F.col("s"))})
+    order = numbered(rows.select("split", "event_id", "end_s").distinct(), ["split"], ["event_id", "end_s"], "sequence_idx")
+    rows = rows.join(order, ["split", "event_id", "end_s"])
+    hours = F.when(F.col("anomaly"), (F.col("end_s0") - F.col("s")) / 3600.0)
+    return rows.select(
+        "farm", "split", "sequence_idx", "timestep_idx", F.col(key).alias("asset_id"), "event_id", "window_end", "event_end", F.when(F.col("anomaly"), F.col("event_end")).alias("fault_time"),
+        hours.alias("hours_to_fault"), horizon_label(F.col("anomaly"), hours, horizon).alias("label"), "mask",
+    )
+
+
 def time_order(ts: str = "ts") -> Column:
     return epoch_seconds(F.col(ts))
 

@@ -11,14 +11,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.physics import PowerCurve
+
 DELIMITERS = (",", ";", "\t")
 EVENT_FILE = r"comma_([0-9]+)\.csv$"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{found}/table-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, deleted when the application ends.
+
+    It is below spark.checkpoint.dir; where none is set, below the warehouse, in local mode alone.
+    """
+    found, context = spark.sparkContext.getConf().get("spark.checkpoint.dir", None), spark.sparkContext
+    if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    path = f"{found}/table-{uuid.uuid4().hex}"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def settled_rows(df: DataFrame) -> DataFrame:
@@ -78,6 +90,21 @@ def event_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(event_of(F.col("path")).alias("event_id"), "path").filter("event_id is not null")
 
 
+def write_event_files(df: DataFrame, event: str, order: Sequence, path: str) -> None:
+    """One comma_<event>.csv for each event, with the other columns in an order: written by event, then named."""
+    spark, part = df.sparkSession, f"{path}-parts"
+    rows = df.withColumn("_event", F.col(event)).repartition("_event").sortWithinPartitions("_event", *order).drop(event)
+    rows.write.partitionBy("_event").option("header", True).csv(part)
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop(path))
+    for found in fs.globStatus(hadoop(f"{part}/_event=*/part-*")):
+        source = found.getPath()
+        fs.rename(source, hadoop(f"{path}/comma_{source.getParent().getName().removeprefix('_event=')}.csv"))
+    fs.delete(hadoop(part), True)
+
+
 def without_file(events: DataFrame, files: DataFrame) -> DataFrame:
     """Events that no file is there for."""
     return events.join(files.select("event_id"), "event_id", "left_anti")
@@ -116,8 +143,10 @@ def load_yaml(spark: SparkSession, path: str) -> dict:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small frame as a table."""
-    rows = df.limit(most).collect()
+    """A small frame as a table; an error if it has more rows than a report should."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report's table has {most} rows at most")
     cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     lines = [df.columns, ["---"] * len(df.columns), *([cell(v) for v in r] for r in rows)]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
@@ -175,6 +204,44 @@ def load_scaler(spark: SparkSession, path: str, names: Sequence[str], site: str,
     return df.select(F.posexplode(F.arrays_zip("names", "mean", "std")).alias("feature_index", "s")).select("feature_index", F.col("s.names").alias("name"), F.col("s.mean").cast("double").alias("mean"), F.col("s.std").cast("double").alias("std"))
 
 
+AUDIT = "site string, frequency struct<plausible: long, implausible: long, median_hz: double, passed: boolean>"
+
+
+def write_audits(df: DataFrame, path: str) -> None:
+    """One JSON object a site: site, and the columns of audit.frequency_check as `frequency`."""
+    write_json(df.select("site", F.struct("plausible", "implausible", "median_hz", "passed").alias("frequency")), path)
+
+
+def read_audits(spark: SparkSession, path: str) -> DataFrame:
+    """site, plausible, implausible, median_hz, passed of audit files."""
+    return read_json(spark, path, AUDIT).select("site", "frequency.*")
+
+
+def passing_audit(spark: SparkSession, path: str, site: str) -> dict:
+    """A site's frequency audit; an error if there is none of that site, or it didn't pass."""
+    rows = read_audits(spark, path).filter(F.col("site") == site).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{len(rows)} frequency audits are of site {site}")
+    if not rows[0]["passed"]:
+        raise ValueError(f"site {site} failed its frequency audit")
+    return rows[0].asDict()
+
+
+CURVE = "wind array<double>, power array<double>, scale double, provenance map<string, string>"
+
+
+def save_curve(spark: SparkSession, curve: PowerCurve, path: str) -> None:
+    write_json(spark.createDataFrame([(curve.wind, curve.power, curve.scale, curve.provenance)], CURVE).coalesce(1), path)
+
+
+def load_curve(spark: SparkSession, path: str, site: str) -> PowerCurve:
+    """A power curve from JSON; an error if it is another site's."""
+    row = read_json(spark, path, CURVE).first()
+    if row is None or row["provenance"].get("site") != site:
+        raise ValueError(f"the power curve isn't site {site}'s")
+    return PowerCurve(list(row["wind"]), list(row["power"]), row["scale"], dict(row["provenance"]))
+
+
 def load_splits(spark: SparkSession, path: str) -> DataFrame:
     """asset_id, split of a split file, one JSON object {"assignments": {asset: split}, ...}."""
     text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
