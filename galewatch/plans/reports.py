@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import physics, scalars
-from ..operators import audit, metrics, models, priority, scaling, series
+from ..operators import audit, metrics, models, priority, scaling, series, training
 from ..sources import files
-from .catalog import GRID, GRID_SQL, READ, TAU, WITH
+from .catalog import EVENTS_SQL, GRID, GRID_SQL, RATES_SQL, READ, TAU, WITH, event_bounds, most_f1_sql, sequences, trained
 from .registry import query
-from .views import predictions, readings, table
+from .views import farm, predictions, readings, table
 
 
 @query("s4_plain_csv", f"{READ} SELECT asset_id, s, x FROM readings", "x")
@@ -75,15 +75,71 @@ def p2_renamed_sensors(spark, sf_dir):
     return physics.by_sensor(raw, ["quantity", "tax"], ["l_orderkey", "l_linenumber", "l_suppkey"])
 
 
-@query("p4_required_sensors", "SELECT unnest(['A', 'B', 'C']) AS site, unnest(['power_30', 'power_62', 'power_6']) AS sensor")
+def _sensors_sql(site: str, named: str, *ranges: tuple[int, int]) -> str:
+    numbers = ", ".join(str(n) for a, b in ranges for n in range(a, b + 1))
+    return f"SELECT '{site}' AS site, unnest(list_concat([{named}], list_transform([{numbers}], lambda n: 'sensor_' || n))) AS sensor"
+
+
+REQUIRED_SQL = " UNION ALL ".join((
+    _sensors_sql("A", "'wind_speed_3', 'power_30'", (0, 0), (2, 2), (5, 5), (11, 12), (18, 18), (23, 26), (31, 34), (52, 52)),
+    _sensors_sql("B", "'wind_speed_61', 'power_62', 'reactive_power_11'", (4, 4), (8, 8), (10, 10), (13, 19), (21, 21), (23, 23), (25, 25), (34, 37), (39, 39)),
+    _sensors_sql("C", "'wind_speed_236', 'power_6', 'reactive_power_122'", (7, 8), (47, 47), (103, 105), (124, 124), (127, 129), (139, 141), (144, 145), (151, 166), (186, 187)),
+))
+
+
+@query("p4_required_sensors", REQUIRED_SQL)
 def p4_required_sensors(spark, sf_dir):
-    rows = [(k, s) for k, site in physics.SITES.items() for s in site.sensors() if s.startswith("power_")]
-    return spark.createDataFrame(rows, "site string, sensor string")
+    """All sensors of each site in the contract, as it is read from YAML."""
+    path = files.shared_folder(spark)
+    spark.createDataFrame([(contract_text(),)], "value string").coalesce(1).write.text(path)
+    sites = files.load_yaml(spark, path)["sites"]
+    return spark.createDataFrame([(k, s) for k, site in sites.items() for s in physics.required_sensors({"site": [site]})], "site string, sensor string")
+
+
+@query("p3_legacy_columns", "SELECT event_id, value * 1431 AS total, 54::BIGINT AS sensors FROM events", "total")
+def p3_legacy_columns(spark, sf_dir):
+    """54 sensors, every other one bare, with extremes and deviations beside them."""
+    names = [f"sensor_{i}" for i in range(54)]
+    columns = {c: F.col("value") * f for i, n in enumerate(names) for c, f in ((f"{n}_avg" if i % 2 else n, i), (f"{n}_max", 9 * i), (f"{n}_std", 7))}
+    raw = table(spark, sf_dir, "events").withColumns(columns)
+    picked = physics.legacy_columns(raw.columns, [*names, "sensor_99"])
+    total = F.aggregate(F.array(*(F.col(c) for c in picked.values())), F.lit(0.0), lambda a, b: a + b)
+    return raw.select("event_id", total.alias("total"), F.lit(len(picked)).cast("long").alias("sensors"))
+
+
+FEATURES_SQL = "[" + ", ".join(f"'{f}'" for f in physics.FEATURES) + ", 'power_residual']"
+
+
+@query("p5_feature_order", f"SELECT (i - 1)::INTEGER AS feature_index, ({FEATURES_SQL})[i] AS feature FROM range(1, 12) t(i)")
+def p5_feature_order(spark, sf_dir):
+    path = files.shared_folder(spark)
+    spark.createDataFrame([(contract_text(),)], "value string").coalesce(1).write.text(path)
+    return spark.createDataFrame([(physics.feature_order(True, files.load_yaml(spark, path)),)], "f array<string>").select(F.posexplode("f").alias("feature_index", "feature"))
+
+
+def _listed(*numbers: int) -> str:
+    return "[" + ", ".join(f'"sensor_{n}"' for n in numbers) + "]"
 
 
-@query("p17_manifest", "SELECT (i - 1)::INTEGER AS feature_index, names[i] AS feature FROM (SELECT [" + ", ".join(f"'{f}'" for f in physics.FEATURES) + "] AS names), range(1, 11) t(i)")
+#: Each feature's sources at the sites A, B and C.
+MANIFEST = (
+    ('{"wind": "wind_speed_3"}', '{"wind": "wind_speed_61"}', '{"wind": "wind_speed_236"}'),
+    (f'{{"pitch": {_listed(5)}}}', f'{{"pitch": {_listed(10)}}}', f'{{"pitch": {_listed(103, 104, 105)}}}'),
+    (f'{{"yaw": {_listed(2)}}}', f'{{"yaw": {_listed(4, 21)}}}', f'{{"yaw": {_listed(124)}}}'),
+    (f'{{"ambient": "sensor_0", "oil": {_listed(12)}}}', f'{{"ambient": "sensor_8", "oil": {_listed(39)}}}', f'{{"ambient": "sensor_7", "oil": {_listed(186, 187)}}}'),
+    (f'{{"bearings": {_listed(11)}, "oil": {_listed(12)}}}', f'{{"bearings": {_listed(34, 35, 36, 37)}, "oil": {_listed(39)}}}', f'{{"bearings": {_listed(*range(151, 167))}, "oil": {_listed(186, 187)}}}'),
+    (f'{{"generator": "sensor_18", "rotor": {_listed(52)}}}', f'{{"generator": "sensor_19", "rotor": {_listed(25)}}}', f'{{"generator": "sensor_8", "rotor": {_listed(144, 145)}}}'),
+    ('{"active": "power_30", "reactive": "sensor_31"}', '{"active": "power_62", "reactive": "reactive_power_11"}', '{"active": "power_6", "reactive": "reactive_power_122"}'),
+    (f'{{"currents": {_listed(23, 24, 25)}}}', f'{{"currents": {_listed(16, 17, 18)}}}', f'{{"currents": {_listed(127, 128, 129)}}}'),
+    (f'{{"voltages": {_listed(32, 33, 34)}}}', f'{{"voltages": {_listed(13, 14, 15)}}}', f'{{"voltages": {_listed(139, 140, 141)}}}'),
+    ('{"frequency": "sensor_26"}', '{"frequency": "sensor_23"}', '{"frequency": "sensor_47"}'),
+)
+MANIFEST_SQL = ", ".join(f"({i}, '{physics.FEATURES[i]}', '{site}', '{sources}')" for i, row in enumerate(MANIFEST) for site, sources in zip("ABC", row, strict=True))
+
+
+@query("p17_manifest", f"SELECT * FROM (VALUES {MANIFEST_SQL}) m(feature_index, feature, site, sources)")
 def p17_manifest(spark, sf_dir):
-    return spark.createDataFrame([(physics.feature_order(),)], "f array<string>").select(F.posexplode("f").alias("feature_index", "feature"))
+    return spark.createDataFrame(physics.manifest(physics.SITES), "feature_index int, feature string, site string, sources string")
 
 
 @query("p18_renamed_probability", f"{WITH} SELECT event_id, window_end, probability FROM pred", "probability")
@@ -111,7 +167,7 @@ def wn10_stable_rank(spark, sf_dir):
 @query("a11_frequency", "SELECT farm, count(*) FILTER (v BETWEEN 45 AND 55) AS plausible, count(*) FILTER (NOT v BETWEEN 45 AND 55) AS implausible, median(v) FILTER (v BETWEEN 45 AND 55) AS median_hz, coalesce(abs(median(v) FILTER (v BETWEEN 45 AND 55) - 50) <= 0.5, FALSE) AS passed FROM (SELECT user_id % 3 AS farm, 40 + value % 20 AS v FROM events) GROUP BY farm", "median_hz")
 def a11_frequency(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("farm"), (40 + F.col("value") % 20).alias("v"))
-    return e.groupBy("farm").agg(*audit.frequency_check(F.col("v")))
+    return audit.frequency_check(e, F.col("v"), ["farm"])
 
 
 @query("f5_finite", "SELECT event_id, event_id % 4 NOT IN (1, 2, 3) AS ok FROM events")
@@ -121,10 +177,23 @@ def f5_finite(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.finite(x).alias("ok"))
 
 
-@query("f10_metadata", f"""{WITH} SELECT farm, event_id, asset_id, row_number() OVER (PARTITION BY event_id ORDER BY window_end) - 1 AS timestep_idx, window_end, hours_to_fault, label, (hours_to_fault IS NOT NULL)::INTEGER AS anomaly FROM pred""", "hours_to_fault")
+METADATA_SQL = f"""{EVENTS_SQL}, an AS (SELECT asset_id, count(*) FILTER (kind = 'error') > 0 AS anomaly FROM readings GROUP BY 1), w AS (SELECT asset_id, end_s0, unnest(generate_series(start_s0, end_s0 - 600, 43200)) AS end_s FROM ev),
+q AS (SELECT *, CASE WHEN asset_id::BIGINT % 4 = 0 THEN 'val' ELSE 'train' END AS split, row_number() OVER (PARTITION BY asset_id::BIGINT % 4 = 0 ORDER BY asset_id::BIGINT, end_s) - 1 AS sequence_idx FROM w),
+g AS (SELECT *, unnest(range(144))::INTEGER AS timestep_idx FROM q), t AS (SELECT *, end_s - 85800 + timestep_idx * 600 AS s FROM g), r AS (SELECT DISTINCT asset_id, s // 600 * 600 AS s FROM readings),
+m AS (SELECT t.*, anomaly, r.s IS NOT NULL AS seen FROM t JOIN an USING (asset_id) LEFT JOIN r ON t.asset_id = r.asset_id AND t.s = r.s)
+SELECT CASE asset_id::BIGINT % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS farm, split, sequence_idx, timestep_idx, asset_id, asset_id::BIGINT AS event_id, make_timestamp(s * 1000000) AS window_end, make_timestamp(end_s0 * 1000000) AS event_end,
+CASE WHEN anomaly THEN make_timestamp(end_s0 * 1000000) END AS fault_time, CASE WHEN anomaly THEN (end_s0 - s) / 3600.0::DOUBLE END AS hours_to_fault, (anomaly AND end_s0 - s > 0 AND end_s0 - s <= 172800)::INTEGER AS label, seen::INTEGER AS mask FROM m"""
+
+
+@query("f10_metadata", METADATA_SQL, "hours_to_fault")
 def f10_metadata(spark, sf_dir):
-    n = (F.row_number().over(Window.partitionBy("event_id").orderBy("window_end")) - 1).cast("long")
-    return predictions(spark, sf_dir).select("farm", "event_id", "asset_id", n.alias("timestep_idx"), "window_end", "hours_to_fault", "label", F.col("hours_to_fault").isNotNull().cast("int").alias("anomaly"))
+    """Steps of a window each 12 hours of every asset's event; assets with an error are anomalies."""
+    r, events = readings(spark, sf_dir), event_bounds(spark, sf_dir)
+    anomaly = r.groupBy("asset_id").agg((F.count_if(F.col("kind") == "error") > 0).alias("anomaly"))
+    seen = r.select("asset_id", (F.floor(F.col("s") / 600) * 600).alias("s")).distinct().withColumn("x", F.lit(1))
+    steps = series.grid(series.candidates(events, stride=43200), "asset_id", seen)
+    n = F.col("asset_id").cast("long")
+    return series.timestep_metadata(steps, events.join(anomaly, "asset_id"), "asset_id", farm(n), F.when(n % 4 == 0, "val").otherwise("train"), n, F.col("x").isNotNull())
 
 
 @query("f12_required_times", "SELECT count(*) FILTER (event_id % 9 <> 0) AS valid, count(*) FILTER (event_id % 9 = 0) AS invalid FROM events")
@@ -151,10 +220,32 @@ def f14_boundary_audit(spark, sf_dir):
     return audit.boundary_audit(resolved, resolved.select("event_id", F.col("start_ts").cast("string").alias("event_start"), end.alias("event_end")))
 
 
-@query("f19_input_checks", "SELECT 'known' AS rule, count(*) FILTER (event_id % 11 = 0) AS violations FROM events UNION ALL SELECT 'finite', count(*) FILTER (event_id % 11 = 0) FROM events UNION ALL SELECT 'range', count(*) FILTER (event_id % 11 = 0 OR value > 100) FROM events")
+INPUT_SQL = "CASE event_id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'no number' WHEN 2 THEN 'NaN' WHEN 3 THEN '-Infinity' WHEN 4 THEN '' ELSE value::VARCHAR END"
+RULES_SQL = "text IS NULL|text IS NOT NULL AND try_cast(nullif(text, '') AS DOUBLE) IS NULL|coalesce(isnan(try_cast(nullif(text, '') AS DOUBLE)), FALSE)|coalesce(isinf(try_cast(nullif(text, '') AS DOUBLE)), FALSE)".split("|")
+
+
+@query("f19_input_checks", f"WITH e AS (SELECT {INPUT_SQL} AS text FROM events) " + " UNION ALL ".join(f"SELECT 'fault_risk' AS column, '{rule}' AS rule, count(*) FILTER ({sql}) AS violations FROM e" for rule, sql in zip(("missing", "number", "nan", "infinite"), RULES_SQL, strict=True))
+       + " UNION ALL SELECT 'fault_risk', 'empty', (count(*) = 0)::BIGINT FROM e UNION ALL " + " UNION ALL ".join(f"SELECT 'criticality', '{rule}', 0::BIGINT" for rule in ("missing", "number", "nan", "infinite", "empty")))
 def f19_input_checks(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("x"))
-    return audit.violations(e, {"known": F.col("x").isNotNull(), "finite": scalars.finite(F.col("x")), "range": F.col("x").between(0, 100)})
+    n, x = F.col("event_id") % 11, F.col("value").cast("string")
+    text = F.when(n == 0, None).when(n == 1, "no number").when(n == 2, "NaN").when(n == 3, "-Infinity").when(n == 4, "").otherwise(x)
+    return audit.input_violations(table(spark, sf_dir, "events").select(text.alias("fault_risk"), F.col("value").alias("criticality")), ["fault_risk", "criticality"])
+
+
+@query("f22_guards", "WITH e AS (SELECT value - 20 AS x FROM events) SELECT 'positive' AS rule, count(*) FILTER (NOT x > 0) AS violations FROM e UNION ALL SELECT 'non_negative', count(*) FILTER (x < 0) FROM e UNION ALL SELECT 'measurement', 0::BIGINT UNION ALL SELECT 'probability', count(*) FILTER (NOT x BETWEEN 0 AND 1) FROM e")
+def f22_guards(spark, sf_dir):
+    x = F.col("x")
+    rules = {"positive": scalars.finite(x) & (x > 0), "non_negative": scalars.finite(x) & (x >= 0), "measurement": scalars.finite(x), "probability": x.between(0, 1)}
+    return audit.violations(table(spark, sf_dir, "events").select((F.col("value") - 20).alias("x")), rules)
+
+
+@query("q7_calibration_guard", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN NULL WHEN c_custkey % 3 < 2 AND c_custkey % 5 < 2 THEN 'not allowed' WHEN c_custkey % 7 < 3 THEN NULL WHEN c_custkey % 11 = 0 THEN 'other site' WHEN c_custkey % 3 = 2 AND c_custkey % 13 = 0 THEN 'setting' END AS failure FROM customer""")
+def q7_calibration_guard(spark, sf_dir):
+    """A customer is an export: of which site, with a residual or not, with a curve of which site and setting, allowed or not."""
+    n = F.col("c_custkey")
+    site = farm(n)
+    failure = audit.calibration_failure(site, n % 2 != 0, n % 7 >= 3, n % 5 >= 2, F.when(n % 11 != 0, site).otherwise("X"), F.when(n % 13 != 0, "train-normal").otherwise("calibrated"))
+    return table(spark, sf_dir, "customer").select("c_custkey", failure.alias("failure"))
 
 
 @query("f23_risk_and_slope", f"""{WITH}, sm AS (SELECT asset_id, window_end, avg(probability) OVER (PARTITION BY asset_id ORDER BY window_end ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) AS sm, (row_number() OVER (PARTITION BY asset_id ORDER BY window_end) - 1) / 6::DOUBLE AS h FROM pred)
@@ -173,12 +264,13 @@ def o7_binary_values(spark, sf_dir):
     return table(spark, sf_dir, "labels").agg(*((F.count_if(~F.col(c).isin(0, 1)) == 0).alias(f"{c}_ok") for c in ("quality", "toxic")))
 
 
-@query("q4_replay", f"{WITH} SELECT count(*) AS rows, 0::BIGINT AS only_right, 0::BIGINT AS only_left, 0::BIGINT AS different FROM pred")
+@query("q4_replay", f"{WITH} SELECT count(*) AS rows, 0::BIGINT AS only_right, count(*) FILTER (minute(window_end) = 13) AS only_left, count(*) FILTER (minute(window_end) = 7) AS different FROM pred")
 def q4_replay(spark, sf_dir):
-    """Labels regenerated from hours, against those stored."""
-    p = predictions(spark, sf_dir)
-    again = p.select("event_id", "window_end", series.horizon_label(F.col("hours_to_fault").isNotNull(), F.col("hours_to_fault")).alias("label"))
-    return audit.aligned(p, again, ["event_id", "window_end"], "label")
+    """Labels regenerated from hours, against stored ones of which some were changed and some are missing in the replay."""
+    p, at = predictions(spark, sf_dir), F.minute("window_end")
+    stored = p.withColumn("label", F.when(at == 7, 1 - F.col("label")).otherwise(F.col("label")))
+    again = p.filter(at != 13).select("event_id", "window_end", series.horizon_label(F.col("hours_to_fault").isNotNull(), F.col("hours_to_fault")).alias("label"))
+    return audit.aligned(stored, again, ["event_id", "window_end"], "label")
 
 
 @query("q5_dimensions", "SELECT len(embedding)::INTEGER AS features, count(*) AS rows FROM embeddings GROUP BY 1")
@@ -192,15 +284,28 @@ def q5_dimensions(spark, sf_dir):
 def q6_export_ready(spark, sf_dir):
     r, resolved = _boundaries(spark, sf_dir)
     lacking = files.without_file(resolved.select("event_id"), r.select("event_id").distinct())
-    return audit.export_ready(lacking, resolved, readings(spark, sf_dir).agg(*audit.frequency_check(50 + F.col("x") / 1000)))
+    return audit.export_ready(lacking, resolved, audit.frequency_check(readings(spark, sf_dir), 50 + F.col("x") / 1000))
 
 
 @query("m4_evaluated_scores", None)
 def m4_evaluated_scores(spark, sf_dir):
-    """A recurrent network's last-step scores against labels."""
-    e = table(spark, sf_dir, "embeddings").select((F.col("label") > 4).cast("int").alias("label"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("embedding", t * 8 + 1, F.lit(8))).alias("features"))
-    out = models.recurrent_scores(e, models.RecurrentWeights.random(8)).select("label", F.round(F.element_at("probabilities", -1), 6).cast("double").alias("probability"))
-    return metrics.ranking(out)
+    """A trained network on the sequences that it didn't learn from, step by step, without masked ones."""
+    val = sequences(spark, sf_dir).filter("part = 'val'")
+    out = models.recurrent_scores(val, training.of_flat(trained(spark, sf_dir).best))
+    steps = out.select(F.inline(F.arrays_zip("labels", "mask", "probabilities"))).filter("mask = 1")
+    return metrics.ranking(steps.select(F.col("labels").alias("label"), F.round("probabilities", 6).cast("double").alias("probability")))
+
+
+@query("m8_frozen_threshold", f"""{WITH}, val AS (SELECT * FROM pred WHERE farm = 'C' AND asset_id::BIGINT % 2 = 0), {most_f1_sql('val')},
+c AS (SELECT farm, threshold, count(*) FILTER (label = 1 AND probability >= threshold) AS tp, count(*) FILTER (label = 0 AND probability >= threshold) AS fp, count(*) FILTER (label = 1 AND probability < threshold) AS fn, count(*) AS rows
+FROM pred, best WHERE NOT (farm = 'C' AND asset_id::BIGINT % 2 = 0) GROUP BY 1, 2) SELECT farm, rows, threshold, {RATES_SQL} FROM c""", "threshold precision recall f1")
+def m8_frozen_threshold(spark, sf_dir):
+    """The threshold is chosen on one site's validation assets, and applied to its other assets and to the other sites."""
+    p = predictions(spark, sf_dir)
+    val = (F.col("farm") == "C") & (F.col("asset_id").cast("long") % 2 == 0)
+    tau = metrics.threshold_among_scores(p.filter(val)).first()["threshold"]
+    c = metrics.confusion(p.filter(~val), tau, False, ["farm"])
+    return c.select("farm", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"), F.lit(tau).alias("threshold"), "precision", "recall", "f1")
 
 
 @query("m8_frozen_scaler", "WITH sc AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events WHERE user_id % 3 = 2) SELECT event_id, (value - m) / s AS z FROM events, sc WHERE user_id % 3 <> 2", "z")
@@ -208,3 +313,15 @@ def m8_frozen_scaler(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.lit(0).alias("feature_index"), F.col("value").alias("x"))
     fitted = e.filter("user_id % 3 = 2").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).withColumn("feature_index", F.lit(0))
     return scaling.apply_scaler(e.filter("user_id % 3 <> 2"), fitted).select("event_id", "z")
+
+
+@query("m9_parameters", "SELECT h::INTEGER AS hidden, (3 * h * (10 + h + 2) + 3 * h * (h + h + 2) + h + 1)::BIGINT AS parameters FROM (VALUES (8), (32)) t(h)")
+def m9_parameters(spark, sf_dir):
+    """How many numbers the network of two layers over the ten features has."""
+    return spark.createDataFrame([(h, models.RecurrentWeights.random(10, h).parameters()) for h in (8, 32)], "hidden int, parameters long")
+
+
+@query("a36_latency", None)
+def a36_latency(spark, sf_dir):
+    """Milliseconds of inference over sequences of 144 steps of ten features, here on the driver."""
+    return spark.createDataFrame(training.latency(models.RecurrentWeights.random(10), 144, 10, repeats=5, warm=1), "batch int, median_ms double, min_ms double, max_ms double, ms_per_sequence double")
