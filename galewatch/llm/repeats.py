@@ -26,6 +26,8 @@ from .suffixes import common_prefixes, joined, suffix_order, words_of
 LEAST, ANCHOR = 200, 32
 #: Segments of an anchor in one group, and bytes sorted at once.
 GROUP, SORTED = 400, 1_500_000
+#: A segment is hot from this share of all segments that may repeat on, and this number; fewer than the share's inverse can be hot.
+HOT_SHARE, HOT_LEAST = 50_000, 64
 #: Groups whose windows are compared in one task; those of an anchor with more are dealt by digest.
 TOGETHER = 64
 #: Bytes of a text handled at once, and bits for a place among them.
@@ -304,7 +306,11 @@ def spans(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str
     hits = settled(seen.join(twice, "h", "left_semi"))
     least_place: Column = F.min(F.struct("d", "k", "start", "n")).alias("at")
     parts = settled(hits.groupBy("h", "s").agg(F.count("*").alias("copies"), least_place))
-    whole = hits.join(parts.filter("copies > 1").select("h", "s"), ["h", "s"]).select("d", "k", "start", (F.col("start") + F.col("n") + least - 1).alias("stop"))
+    # A segment with a large share of all hits, of which there are few, is found by broadcast, so that no task gets its copies.
+    total = parts.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(parts.filter((F.col("copies") > HOT_LEAST) & (F.col("copies") * HOT_SHARE > total)).select("h", "s"))
+    again = hits.join(hot, ["h", "s"], "left_anti").join(parts.filter("copies > 1").select("h", "s"), ["h", "s"], "left_semi")
+    whole = hits.join(hot, ["h", "s"], "left_semi").unionByName(again).select("d", "k", "start", (F.col("start") + F.col("n") + least - 1).alias("stop"))
     mixed = settled(parts.groupBy("h").agg(F.count("*").alias("different")).filter("different > 1").select("h", F.ceil(F.col("different") / GROUP).alias("groups")))
     wanted = parts.join(mixed, "h").select("at.*", "h", F.pmod("s", "groups").alias("group"), "groups", "copies")
     wanted = wanted.groupBy("d", "k").agg(F.collect_list(F.struct("h", "group", "groups", "copies", "start", "n")).alias("wanted"))

@@ -74,6 +74,7 @@ def made():
 def test_removal_equals_brute_force(spark, monkeypatch, group, together):
     monkeypatch.setattr(R, "GROUP", group)
     monkeypatch.setattr(R, "TOGETHER", together)
+    monkeypatch.setattr(R, "HOT_LEAST", 2)
     rows = made()
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, start string, h int")
     assert sorted(map(tuple, R.remove_repeats(docs).collect()), key=str) == brute(rows, 200)
