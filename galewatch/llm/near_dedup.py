@@ -31,8 +31,8 @@ BANDS = REGISTERS // ROWS
 BITS = 64 - 7
 #: How far below the threshold an estimate may be: about eight standard deviations, so that estimates lose as few links as bands do.
 MARGIN = 0.25
-#: Nodes of a bucket in one chunk, and from which on its nodes' own shingles are counted.
-CHUNK, LARGE = 1024, 8
+#: Nodes of a bucket in one chunk, and from which on its nodes' own shingles are counted; and pairs with one centre that are compared together.
+CHUNK, LARGE, SPLIT = 1024, 8, 256
 WIDTH, PERCENT = 5, 80
 SKETCH = "doc_id long, n_shingles long, digest binary, sketch binary"
 
@@ -215,9 +215,15 @@ def own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes with their comparison on full shingle sets."""
+    """Pairs (a, b) of nodes with their comparison on full shingle sets.
+
+    The pairs of a b that has many are dealt in chunks, each with its own copy of b's set.
+    """
+    hot = settled(pairs.groupBy("b").agg(F.count("*").alias("pairs")).filter(F.col("pairs") > SPLIT).select("b", F.ceil(F.col("pairs") / SPLIT).alias("chunks")))
+    dealt = pairs.join(hot, "b", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("a"), "chunks"), F.lit(0).cast("long"))).drop("chunks")
     one, two = sets.select(F.col("id").alias("a"), F.col("x").alias("xa")), sets.select(F.col("id").alias("b"), F.col("x").alias("xb"))
-    return settled(pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb").mapInArrow(_compared(percent), COMPARED))
+    two = two.join(hot, "b", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("chunks") - 1, F.lit(0).cast("long"))))).drop("chunks")
+    return settled(dealt.join(one, "a").join(two, ["b", "chunk"]).select("a", "b", "xa", "xb").mapInArrow(_compared(percent), COMPARED))
 
 
 def components(links: DataFrame) -> DataFrame:

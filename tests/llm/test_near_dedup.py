@@ -54,6 +54,7 @@ def made(seed=3):
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_components_equal_brute_force(spark, monkeypatch, width, percent):
     monkeypatch.setattr(N, "CHUNK", 8)
+    monkeypatch.setattr(N, "SPLIT", 3)
     rows = made()
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, width, percent)
