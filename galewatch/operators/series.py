@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +29,33 @@ def candidates(events: DataFrame, stride: int = STRIDE, interval: int = INTERVAL
 def judged_windows(readings: DataFrame, events: DataFrame, key: str, length: int = LENGTH, coverage: float = COVERAGE, gap: int = GAP, interval: int = INTERVAL, stride: int = STRIDE, lookback: int = LOOKBACK) -> DataFrame:
     """(key, end_s, start_s, n_rows, max_gap, n_valid, reason) for each candidate window.
 
-    readings: key, s (seconds), x. Reasons in order: endpoint (no reading at its end), coverage, gap, valid, else keep.
-    Coverage counts all readings in the window, on the grid or not. The range join is an equality join on hours: each
-    window names the hours it spans, and each reading is in one.
+    readings: key, s (seconds), x; events: one row a key. Reasons in order: endpoint (no reading at its end), coverage, gap,
+    valid, else keep. Coverage counts all readings in the window, on the grid or not. The stride has to be a multiple of
+    the interval.
+
+    Readings are summed up by pieces of time between which no window begins or ends, so that pieces, not readings, are
+    copied to the windows they are in, and no task gets all readings of a key.
     """
+    if stride % interval:
+        raise ValueError("the stride must be a multiple of the interval")
+    unit = gcd(stride, lookback)
     wide = candidates(events, stride, interval, lookback)
-    hours = F.explode(F.sequence(F.floor(F.col("start_s") / 3600), F.floor(F.col("end_s") / 3600))).alias("hour")
-    pairs = wide.select(key, "start_s", "end_s", hours).join(readings.withColumn("hour", F.floor(F.col("s") / 3600)), [key, "hour"]).filter("s between start_s and end_s")
-    order = Window.partitionBy(key, "end_s").orderBy("s")
-    pairs = pairs.withColumn("step", F.col("s") - F.lag("s").over(order))
-    on_grid = F.pmod(F.col("end_s") - F.col("s"), F.lit(interval)) == 0
-    seen = pairs.groupBy(key, "end_s").agg(
-        F.count("*").alias("n_rows"), F.coalesce(F.max("step"), F.lit(0)).alias("max_gap"), F.count_if(on_grid & F.col("x").isNotNull()).alias("n_valid"), F.max((F.col("s") == F.col("end_s")).cast("int")).alias("ends")
+    near = readings.select(key, "s", "x").join(events.select(key, "start_s0", "end_s0"), key).filter(F.col("s").between(F.col("start_s0") - lookback, F.col("end_s0")))
+    # The n-th unit ends n units after the event's start; windows begin one interval after a unit does.
+    unit_no = F.ceil((F.col("s") - F.col("start_s0")) / unit)
+    near = near.withColumn("n", unit_no).withColumn("late", F.col("s") - F.col("start_s0") - (F.col("n") - 1) * unit >= interval)
+    near = near.withColumn("step", F.col("s") - F.lag("s").over(Window.partitionBy(key, "n", "late").orderBy("s")))
+    on_grid = F.pmod(F.col("start_s0") - F.col("s"), F.lit(interval)) == 0
+    pieces = near.groupBy(key, "start_s0", "n", "late").agg(
+        F.count("*").alias("rows"), F.count_if(on_grid & F.col("x").isNotNull()).alias("valid"), F.min("s").alias("first"), F.max("s").alias("last"), F.coalesce(F.max("step"), F.lit(0)).alias("inner")
+    )
+    pieces = pieces.withColumn("before", F.lag("last").over(Window.partitionBy(key).orderBy("first")))
+    final = F.col("n") + (lookback // unit - 2) + F.col("late").cast("int")
+    pieces = pieces.withColumn("end", F.explode(F.when(final >= F.col("n"), F.sequence("n", final)))).filter(F.pmod(F.col("end") * unit, F.lit(stride)) == 0)
+    pieces = pieces.withColumn("end_s", F.col("start_s0") + F.col("end") * unit)
+    across = F.when(F.col("before") >= F.col("end_s") - lookback + interval, F.col("first") - F.col("before"))
+    seen = pieces.groupBy(key, "end_s").agg(
+        F.sum("rows").alias("n_rows"), F.max(F.greatest("inner", across)).alias("max_gap"), F.sum("valid").alias("n_valid"), F.max((F.col("last") == F.col("end_s")).cast("int")).alias("ends")
     )
     out = wide.select(key, "start_s", "end_s").join(seen, [key, "end_s"], "left").fillna(0, ["n_rows", "max_gap", "n_valid", "ends"])
     reason = F.when(F.col("ends") == 0, "endpoint").when(F.col("n_rows") < coverage * length, "coverage").when(F.col("max_gap") > gap, "gap").when(F.col("n_valid") == 0, "valid").otherwise("keep")

@@ -138,3 +138,35 @@ def test_boundary_audit_and_guards(spark):
     with pytest.raises(ValueError):
         audit.require_dimension(df, "f", 2)
     audit.require_dimension(df.filter("f is not null"), "f", 2)
+
+
+def test_windows_equal_a_plain_version(spark):
+    """Odd readings, on and off the grid, repeated and missing, against every window looked at by itself."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    readings, events = [], []
+    for key in range(4):
+        start = 3600 * key + 17 * key
+        s = np.arange(start - 9000, start + 40000, 600)
+        s = s[rng.random(len(s)) < 0.9]
+        s = np.sort(np.concatenate([s, s[:3], rng.integers(start - 9000, start + 40000, 12)]))
+        readings += [(key, int(t), None if rng.random() < 0.2 else 1.0) for t in s]
+        events.append((key, start, start + 30000))
+    events.append((9, 0, 5000))
+    for stride, lookback, gap in ((3600, 7200, 1500), (1200, 3000, 900), (600, 600, 600)):
+        length = lookback // 600
+        got = series.judged_windows(spark.createDataFrame(readings, "k int, s long, x double"), spark.createDataFrame(events, "k int, start_s0 long, end_s0 long"), "k", length, 0.8, gap, 600, stride, lookback)
+        want = []
+        for key, start, stop in events:
+            for end in range(start, stop - 600 + 1, stride):
+                begin = end - lookback + 600
+                own = [(t, x) for k, t, x in readings if k == key and begin <= t <= end]
+                gaps = [b - a for (a, _), (b, _) in zip(own, own[1:], strict=False)]
+                valid = sum(x is not None and (end - t) % 600 == 0 for t, x in own)
+                most = max(gaps, default=0)
+                reason = "endpoint" if end not in [t for t, _ in own] else "coverage" if len(own) < 0.8 * length else "gap" if most > gap else "valid" if not valid else "keep"
+                want.append((key, end, begin, len(own), most, valid, reason))
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    with pytest.raises(ValueError):
+        series.judged_windows(got, got, "k", stride=700)
