@@ -68,6 +68,17 @@ def s6_events_without_file(spark, sf_dir):
     return files.without_file(events, files.event_files(spark, _event_folder(spark, sf_dir)))
 
 
+@query("s18_fetched_events", "SELECT DISTINCT user_id AS event_id, user_id % 3 <> 0 AS fetched, count(*) OVER (PARTITION BY user_id) AS rows FROM events WHERE user_id % 2 = 0")
+def s18_fetched_events(spark, sf_dir):
+    """A subset of events by id is the feature: every other event is fetched, and those that were fetched before are skipped."""
+    source, target = _event_folder(spark, sf_dir), files.shared_folder(spark)
+    even = files.event_files(spark, source).select("event_id").filter("event_id % 2 = 0")
+    files.fetch_events(spark, source, target, even.filter("event_id % 3 = 0"))
+    fetched = files.fetch_events(spark, source, target, even)
+    rows = files.read_positions(spark, target).groupBy("event_id").agg(F.count("*").alias("rows"))
+    return fetched.join(rows, "event_id").select("event_id", "fetched", "rows")
+
+
 @query("s7_parquet_round_trip", f"{READ} SELECT kind, count(*) AS rows, sum(x) AS total FROM readings GROUP BY kind", "total")
 def s7_parquet_round_trip(spark, sf_dir):
     path = files.shared_folder(spark)

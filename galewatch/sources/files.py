@@ -92,11 +92,38 @@ def event_files(spark: SparkSession, path: str) -> DataFrame:
 
 def write_event_files(df: DataFrame, event: str, order: Sequence, path: str) -> None:
     """One comma_<event>.csv for each event, with the other columns in an order: written by event, then named."""
-    spark, part = df.sparkSession, f"{path}-parts"
     rows = df.withColumn("_event", F.col(event)).repartition("_event").sortWithinPartitions("_event", *order).drop(event)
-    rows.write.partitionBy("_event").option("header", True).csv(part)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path
+    _named_files(df.sparkSession, rows.write.partitionBy("_event").option("header", True).csv, path)
+
+
+def fetch_events(spark: SparkSession, source: str, target: str, wanted: DataFrame | None = None) -> DataFrame:
+    """event_id, fetched of the wanted events (all, if None): files of one folder are copied to another, and present ones skipped.
+
+    Both folders may be in any store that Spark reaches. An event that the source has no file of is an error, and then
+    nothing is copied. Copies are made by executors, one file at a time, and appear whole.
+    """
+    there = event_files(spark, source)
+    if wanted is not None:
+        unknown = without_file(wanted.select("event_id").distinct(), there).orderBy("event_id").limit(10).collect()
+        if unknown:
+            raise ValueError(f"there are no files of events {[r['event_id'] for r in unknown]}, and maybe others")
+        there = there.join(wanted.select("event_id").distinct(), "event_id", "left_semi")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop(target))
+    present = event_files(spark, target).select("event_id", F.lit(True).alias("present"))
+    chosen = settled_rows(there.select("event_id").join(present, "event_id", "left").select("event_id", F.col("present").isNull().alias("fetched")))
+    lines = spark.read.option("pathGlobFilter", "comma_*.csv").text(source).select(F.monotonically_increasing_id().alias("n"), "value", event_of(F.col("_metadata.file_path")).alias("event_id"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.join(chosen.filter("fetched"), "event_id", "left_semi")
+    _named_files(spark, lines.repartition("event_id").sortWithinPartitions("event_id", "at", "n").select(F.col("event_id").alias("_event"), "value").write.partitionBy("_event").text, target)
+    return chosen
+
+
+def _named_files(spark: SparkSession, write, path: str) -> None:
+    """What write(folder) puts below _event=<n> becomes comma_<n>.csv of path."""
+    part = f"{path}-{uuid.uuid4().hex}"
+    write(part)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop(path))
     for found in fs.globStatus(hadoop(f"{part}/_event=*/part-*")):

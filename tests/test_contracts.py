@@ -56,6 +56,21 @@ def test_event_files(spark, tmp_path):
     assert sorted(r.event_id for r in files.event_files(spark, str(tmp_path / "events")).collect()) == [7, 8]
 
 
+def test_fetched_files_are_whole_and_present_ones_stay(spark, tmp_path):
+    df = spark.createDataFrame([(e, n, f"line {n}") for e in (1, 2, 3) for n in range(50)], "event long, s long, x string")
+    source, target = str(tmp_path / "source"), str(tmp_path / "target")
+    files.write_event_files(df, "event", ["s"], source)
+    ids = lambda *e: spark.createDataFrame([(i,) for i in e], "event_id long")
+    with pytest.raises(ValueError, match=r"\[7\]"):
+        files.fetch_events(spark, source, target, ids(1, 7))
+    assert [(r.event_id, r.fetched) for r in files.fetch_events(spark, source, target, ids(2, 2)).collect()] == [(2, True)]
+    (tmp_path / "target" / "comma_2.csv").write_text("s,x\n1,changed\n")
+    assert sorted((r.event_id, r.fetched) for r in files.fetch_events(spark, source, target).collect()) == [(1, True), (2, False), (3, True)]
+    for e in (1, 3):
+        assert (tmp_path / "target" / f"comma_{e}.csv").read_text() == (tmp_path / "source" / f"comma_{e}.csv").read_text()
+    assert "changed" in (tmp_path / "target" / "comma_2.csv").read_text()
+
+
 def test_calibration_guard(spark):
     cases = [
         ("A", False, False, False, None, None, None), ("A", True, False, False, None, None, "not allowed"), ("A", True, True, False, "A", "any", "not allowed"), ("A", True, True, True, "A", "any", None),
