@@ -46,15 +46,22 @@ def _character(name: Column) -> Column:
     return F.when(F.startswith(name, F.lit("#")), number).when(name != "", F.element_at(named, name))
 
 
-def _characters(c: Column) -> Column:
-    """Character references as their characters, each once: what is between two ampersands is looked at by itself."""
-    parts = F.split(c, "&", -1)
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once however often use mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    def decoded(part: Column) -> Column:
-        name = F.regexp_extract(part, REFERENCE, 1)
-        return F.coalesce(F.concat(_character(name), F.substring(part, F.length(name) + 2, F.length(part))), F.concat(F.lit("&"), part))
+def _decoded(part: Column) -> Column:
+    """What comes after an ampersand, with its reference as a character if there is one."""
+    plain = F.concat(F.lit("&"), part)
+    rest = lambda name: F.coalesce(F.concat(_character(name), F.substring(part, F.length(name) + 2, F.length(part))), plain)
+    return _once(F.regexp_extract(part, REFERENCE, 1), rest)
 
-    return F.when(F.contains(c, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)), decoded), ""))).otherwise(c)
+
+def _characters(c: Column) -> Column:
+    """Character references as their characters, each once: what is between two ampersands is looked at by itself."""
+    joined = lambda parts: F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)), _decoded), ""))
+    return _once(c, lambda text: F.when(F.contains(text, F.lit("&")), _once(F.split(text, "&", -1), joined)).otherwise(text))
 
 
 def plain_text(html: Column) -> Column:
