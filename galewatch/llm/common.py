@@ -57,3 +57,8 @@ def unused(name: str, *frames: DataFrame) -> str:
 def text_of(name: str = "text") -> Column:
     """A text column with null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def shared_numbers(values: list[int]) -> Column:
+    """An array of whole numbers as one constant of the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")

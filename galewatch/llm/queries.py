@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import centroids, url_filter, warc
 from .common import small_batches
 
 
@@ -86,6 +86,34 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+#: Vectors that a Python worker gets at once.
+VECTORS = 4096
+
+
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, VECTORS)
+    return centroids.with_inertia(centroids.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resampled
+
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), n=1)
+
+
+#: Fixed by the query's contract.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = url_filter.judge(pages, url_filter.outcomes_of(pages, labels), URL_RULES)
+    return out.withColumn("bound", F.round("bound", 6) + 0.0)
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_lm_score": op2_lm_score,
@@ -97,10 +125,15 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_centroids": op11_centroids,
+    "op12_resample": op12_resample,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE = {
     "op6_warc": warc.oracle(),
+    "op11_centroids": centroids.oracle(),
+    "op13_url_filter": url_filter.oracle(URL_RULES),
     "op10_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
