@@ -39,27 +39,73 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence, out: str) -> Dat
     return _same(parts, before, [*by, "_part"]).withColumn(out, (F.row_number().over(inner) - 1 + F.col("_before")).cast("long")).drop("_part", "_before", "_all")
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
-    """by, and the exact interpolated quantiles of value by name; nulls don't count, and groups without a value have no row.
+#: Groups of so many values at most are sorted as they are; of larger ones a sketch with this accuracy tells where to look.
+SMALL, ACCURACY = 10_000, 10_000
+#: How far beside a wanted share the sketch is asked, which is more than its error.
+BESIDE = 4 / ACCURACY
+
+
+def quantile_arrays(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], out: str = "q") -> DataFrame:
+    """by, out (the exact interpolated quantiles of value at ascending shares); nulls don't count, NaN is largest, and groups without a value have no row.
 
-    Equal values are counted before they are sorted, so a group's size doesn't matter, nor do a few frequent values.
+    Two scans and no sort of the whole: a mergeable sketch bounds each wanted place, and only values within bounds are told
+    apart and sorted; those between bounds are only counted. Were a bound wrong, a place would be found among the counted
+    ones, which is an error, not another result.
     """
-    counts = settled_rows(df.select(*by, F.col(value).cast("double").alias("_x")).filter("_x is not null").groupBy(*by, "_x").agg(F.count("*").alias("_c")))
-    parts, before = _ranges(counts, by, ["_x"], "_c")
-    rows = _same(parts, before, [*by, "_part"])
-    end = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_x")) + F.col("_before")
-    rows = rows.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c"))
-    places = {name: (F.col("_all") - 1) * q for name, q in wanted.items()}
-    at = lambda place: F.max(F.when((F.col("_start") <= place) & (place < F.col("_end")), F.col("_x")))
-    found = rows.groupBy(*by).agg(
-        *(c for name, p in places.items() for c in (at(F.floor(p)).alias(f"_{name}_low"), at(F.ceil(p)).alias(f"_{name}_high"), F.max(p - F.floor(p)).alias(f"_{name}_share")))
+    shares, by = [float(p) for p in shares], list(by)
+    if not shares or sorted(shares) != shares or shares[0] < 0 or shares[-1] > 1:
+        raise ValueError("shares must ascend from 0 to 1")
+    cells = told_apart(df, by, value, shares)
+    end = F.sum(F.col("_c") + F.col("_g")).over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")))
+    cells = cells.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c") - F.col("_g"))
+    place = lambda i: F.element_at(F.array(*map(F.lit, shares)), F.floor(i / 2).cast("int") + 1) * (F.col("_n") - 1)
+    rank = lambda i: F.when(i % 2 == 0, F.floor(place(i))).otherwise(F.ceil(place(i)))
+    hits = F.filter(F.sequence(F.lit(0), F.lit(2 * len(shares) - 1)), lambda i: (rank(i) >= F.col("_start")) & (rank(i) < F.col("_end")))
+    cells = cells.withColumn("_i", F.explode(hits))
+    exact = F.when(rank(F.col("_i")) < F.col("_start") + F.col("_c"), F.col("_v")).otherwise(F.raise_error(F.lit("a sketch's bound was wrong")).cast("double"))
+    found = cells.select(*by, "_n", F.struct("_i", exact.alias("v")).alias("_hit")).groupBy(*by, "_n").agg(F.sort_array(F.collect_list("_hit")).alias("_hits"))
+
+    def between(j):
+        low, high = (F.element_at("_hits", (2 * j + k).cast("int"))["v"] for k in (1, 2))
+        p = F.element_at(F.array(*map(F.lit, shares)), (j + 1).cast("int")) * (F.col("_n") - 1)
+        share = p - F.floor(p)
+        return F.when((share == 0) | (low == high), low).otherwise(low * (1 - share) + high * share)
+
+    return found.select(*by, F.transform(F.sequence(F.lit(0), F.lit(len(shares) - 1)), between).alias(out))
+
+
+def told_apart(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """by, _n (all values of the group), _v, _c, _g: how often each value within bounds of a wanted place is there, and how many lie between it and the next bound."""
+    rows = df.select(*by, F.col(value).cast("double").alias("_x")).filter("_x is not null")
+    below, above = ([min(1.0, max(0.0, p + d)) for p in shares] for d in (-BESIDE, BESIDE))
+    whole = F.nanvl("_x", F.lit(float("inf")))
+    seen = rows.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"), F.percentile_approx(whole, below, ACCURACY).alias("_low"), F.percentile_approx(whole, above, ACCURACY).alias("_high")
     )
+    few = F.col("_n") <= SMALL
+    seen = seen.select(*by, "_n", F.when(few, F.array("_least")).otherwise(F.col("_low")).alias("_low"), F.when(few, F.array("_most")).otherwise(F.transform("_high", lambda h: F.when(h < float("inf"), h).otherwise(F.col("_most")))).alias("_high"))
+    met = _joined(rows, seen, by)
+    # Bounds ascend: the last range that begins at or below a value is the one it may be in.
+    at = F.size(F.filter("_low", lambda k: k <= F.col("_x")))
+    met = met.withColumn("_at", at).withColumn("_top", F.when(F.col("_at") > 0, F.element_at("_high", F.greatest(F.lit(1), F.col("_at")))))
+    told = F.coalesce(F.col("_x") <= F.col("_top"), F.lit(False))
+    cells = met.select(*by, "_n", F.when(told, F.col("_x")).otherwise(F.col("_top")).alias("_v"), told.alias("_told"))
+    return cells.groupBy(*by, "_n", "_v").agg(F.count_if("_told").alias("_c"), F.count_if(~F.col("_told")).alias("_g"))
+
+
+def _joined(rows: DataFrame, one: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with the columns of their group's row in one; without by there is a single one."""
+    if not by:
+        return rows.crossJoin(F.broadcast(one))
+    other = one.select(*(F.col(n).alias(f"_of_{n}") for n in by), *(c for c in one.columns if c not in by))
+    return rows.join(other, [rows[n].eqNullSafe(other[f"_of_{n}"]) for n in by]).drop(*(f"_of_{n}" for n in by))
 
-    def between(name: str):
-        low, high, share = (F.col(f"_{name}_{k}") for k in ("low", "high", "share"))
-        return F.when((share == 0) | (low == high), low).otherwise(low * (1 - share) + high * share).alias(name)
 
-    return found.select(*by, *map(between, wanted))
+def quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """by, and the exact interpolated quantiles of value by name, as quantile_arrays."""
+    shares = sorted(set(wanted.values()))
+    found = quantile_arrays(df, by, value, shares, "_q")
+    return found.select(*by, *(F.col("_q")[shares.index(q)].alias(name) for name, q in wanted.items()))
 
 
 def with_quantiles(one: DataFrame, df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:

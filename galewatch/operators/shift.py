@@ -24,8 +24,10 @@ def binned_power_curve(df: DataFrame, wind: str, power: str, width: float = 0.5,
     """bin, wind_median, power_median, count of bins with enough rows; only finite rows with wind of zero or more."""
     rows = df.filter(finite(F.col(wind)) & finite(F.col(power)) & (F.col(wind) >= 0)).select(F.floor(F.col(wind) / width).alias("bin"), F.col(wind).alias("w"), F.col(power).alias("p"))
     out = rows.groupBy("bin").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
-    for name, c in (("wind_median", "w"), ("power_median", "p")):
-        out = with_quantiles(out, rows, ["bin"], c, {name: 0.5})
+    # Both medians at once, as two kinds of values.
+    long = rows.select("bin", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("double").alias("x")) for k in ("w", "p")))))
+    medians = quantiles(long, ["bin", "kind"], "x", {"m": 0.5}).groupBy("bin").agg(*(F.max(F.when(F.col("kind") == k, F.col("m"))).alias(name) for k, name in (("w", "wind_median"), ("p", "power_median"))))
+    out = out.join(medians, "bin")
     return out.select("bin", "wind_median", "power_median", "count")
 
 

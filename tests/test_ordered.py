@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galewatch.operators import audit, metrics, models, priority, shift
-from galewatch.operators.ordered import numbered, quantiles, with_quantiles
+from galewatch.operators.ordered import numbered, quantile_arrays, quantiles, told_apart, with_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -37,11 +37,27 @@ def test_quantiles_beside_other_columns(spark, values):
     assert quantiles(empty, ["g"], "x", {"median": 0.5}).collect() == []
 
 
-def test_no_task_sorts_a_whole_group(spark, values):
-    """The plan has neither an exact percentile over a group nor a window over a whole one."""
-    df = spark.createDataFrame(values, "g string, x double")
-    plan = quantiles(df, ["g"], "x", {"median": 0.5})._jdf.queryExecution().optimizedPlan().toString()
-    assert "percentile" not in plan.lower() and "_part" in plan
+def test_only_values_near_a_place_are_told_apart(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=60_000), [np.nan] * 3, [np.inf] * 40, [0.25] * 9_000])
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", float(i)) for i in range(50)], "g string, x double").repartition(7)
+    shares = [0.0, 0.01, 0.3, 0.5, 0.99, 1.0]
+    cells = told_apart(df, ["g"], "x", shares).filter("g = 'a'").agg(F.count("*"), F.sum(F.col("_c") + F.col("_g"))).first()
+    assert cells[0] < 1000 and cells[1] == len(x)
+    got = {r.g: r.q for r in quantile_arrays(df, ["g"], "x", shares).collect()}
+    ordered = np.sort(x)  # NaN last
+    want = [np.interp(p * (len(x) - 1), np.arange(len(x)), ordered) for p in shares[:-1]]
+    assert got["a"][:-1] == pytest.approx(want, rel=1e-12) and np.isnan(got["a"][-1])
+    assert got["b"] == pytest.approx(np.quantile(np.arange(50.0), shares))
+
+
+def test_many_shares_of_a_hot_value_and_of_one_value(spark):
+    x = [1.0] * 20_000 + [float(i % 700) for i in range(9_000)]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    shares = np.linspace(0, 1, 101).tolist()
+    assert quantile_arrays(df, [], "x", shares).first().q == pytest.approx(np.quantile(x, shares))
+    assert quantile_arrays(df.limit(1), [], "x", shares).first().q == [1.0] * 101
+    assert quantile_arrays(df.filter("false"), [], "x", shares).collect() == []
 
 
 def test_row_numbers(spark):
