@@ -1,4 +1,4 @@
-"""Models: logistic regression and boosted trees by the ML library; a recurrent network's inference in Arrow batches."""
+"""Models: weights and scores of classifiers; a recurrent network's inference in Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import numbered, with_quantiles
+from . import boosting
+from .boosting import Boosted
+from .logistic import Logistic, known, medians
+from .ordered import numbered
 
 
 def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
@@ -27,40 +30,12 @@ def positive_weight(df: DataFrame, label: str = "label") -> DataFrame:
 
 def median_imputed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing values as the column's exact median."""
-    one = df.sparkSession.range(1)
-    for c in columns:
-        one = with_quantiles(one, df, [], c, {f"_{c}": 0.5})
-    return df.crossJoin(F.broadcast(one.drop("id"))).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
+    return df.withColumns({c: known(c, m) for c, m in zip(columns, medians(df, columns), strict=True)})
 
 
-def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=list(columns), outputCol="_features").transform(df)
-
-
-def logistic_model(df: DataFrame, columns: Sequence[str], label: str = "label", c: float = 1.0, iterations: int = 200):
-    """Balanced, with an L2 penalty of 1 / (c * sum of weights)."""
-    from pyspark.ml.classification import LogisticRegression
-
-    weighted = balanced_weights(df, label)
-    total = weighted.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(featuresCol="_features", labelCol=label, weightCol="weight", elasticNetParam=0.0, regParam=1.0 / (c * total), standardization=False, maxIter=iterations, tol=1e-9).fit(_assembled(weighted, columns))
-
-
-def boosted_model(df: DataFrame, columns: Sequence[str], label: str = "label", rounds: int = 250, rate: float = 0.05, depth: int = 5, least: int = 20, seed: int = 42):
-    """Gradient-boosted trees, the nearest that the library has; balanced by weights."""
-    from pyspark.ml.classification import GBTClassifier
-
-    return GBTClassifier(featuresCol="_features", labelCol=label, weightCol="weight", stepSize=rate, maxIter=rounds, maxDepth=depth, minInstancesPerNode=least, seed=seed).fit(_assembled(balanced_weights(df, label), columns))
-
-
-def scored(model, df: DataFrame, columns: Sequence[str], threshold: float | None = None) -> DataFrame:
+def scored(model: Logistic | Boosted, df: DataFrame, threshold: float | None = None) -> DataFrame:
     """df with probability, and prediction (p >= threshold)."""
-    from pyspark.ml.functions import vector_to_array
-
-    out = model.transform(_assembled(df, columns)).withColumn("probability_", vector_to_array("probability")[1])
-    out = out.drop("_features", "rawPrediction", "probability", "prediction").withColumnRenamed("probability_", "probability")
+    out = df.withColumn("probability", model.probability()) if isinstance(model, Logistic) else boosting.with_probability(model, df)
     return out if threshold is None else out.withColumn("prediction", (F.col("probability") >= threshold).cast("int"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import physics, scalars
-from ..operators import audit, metrics, models, priority, scaling, series, shift, training
+from ..operators import audit, boosting, logistic, metrics, models, priority, scaling, series, shift, training
 from ..sources import files
 from .registry import query
 from .views import PHASES_SQL, PREDICTIONS_SQL, READINGS_SQL, farm, phases, predictions, readings, table
@@ -935,7 +935,7 @@ def q3_exact_shape(spark, sf_dir):
 COLUMNS = ["p", "n_chars"]
 
 
-def _quality(spark, sf_dir):
+def quality_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.log1p("n_chars").alias("n_chars"), (F.size(F.split("text", " ")) / F.greatest(F.lit(1.0), F.col("n_chars"))).alias("p"))
     return table(spark, sf_dir, "labels").join(d, "doc_id").select("doc_id", F.col("quality").alias("label"), *COLUMNS)
 
@@ -966,17 +966,21 @@ def m2_training(spark, sf_dir):
     return spark.createDataFrame(trained(spark, sf_dir).history, "epoch long, train_loss double, val_loss double")
 
 
-@query("m5_logistic", None)
+QUALITY_SQL = """rows AS (SELECT doc_id, quality AS label, ln(1 + n_chars) AS n_chars, len(string_split(text, ' ')) / greatest(1.0::DOUBLE, n_chars) AS p FROM labels JOIN documents USING (doc_id))"""
+LOGISTIC_SQL = f"WITH {QUALITY_SQL}, {logistic.solution_sql('rows', COLUMNS)}, odds AS (SELECT doc_id, label, 1 / (1 + exp(-(b0 * (coalesce(p, q0) - m0) / d0 + b1 * (coalesce(n_chars, q1) - m1) / d1 + b2))) AS probability FROM rows, solved)"
+
+
+@query("m5_logistic", f"{LOGISTIC_SQL} SELECT doc_id, label, probability, (probability >= 0.5)::INTEGER AS prediction FROM odds", "probability")
 def m5_logistic(spark, sf_dir):
-    rows = _quality(spark, sf_dir)
-    model = models.logistic_model(models.median_imputed(rows, COLUMNS), COLUMNS)
-    return models.scored(model, rows, COLUMNS, 0.5).select("doc_id", "label", "probability", "prediction")
+    rows = quality_rows(spark, sf_dir)
+    return models.scored(logistic.fit(rows, COLUMNS), rows, 0.5).select("doc_id", "label", "probability", "prediction")
 
 
 @query("m6_boosted", None)
 def m6_boosted(spark, sf_dir):
-    rows = _quality(spark, sf_dir)
-    return models.scored(models.boosted_model(rows, COLUMNS), rows, COLUMNS, 0.5).select("doc_id", "label", "probability", "prediction")
+    """All rounds of boosting; the model is the same on any number of executors, and is tested against a plain version."""
+    rows = quality_rows(spark, sf_dir)
+    return models.scored(boosting.fit(rows, COLUMNS), rows, 0.5).select("doc_id", "label", "probability", "prediction")
 
 
 @query("m7_frozen_threshold", f"""{WITH}, t AS (SELECT g.probability AS threshold, 2.0::DOUBLE * count(*) FILTER (p.label = 1 AND p.probability >= g.probability) / (count(*) FILTER (p.probability >= g.probability) + count(*) FILTER (p.label = 1)) AS f1

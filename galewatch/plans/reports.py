@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import physics, scalars
-from ..operators import audit, metrics, models, priority, scaling, series, training
+from ..operators import audit, logistic, metrics, models, priority, scaling, series, training
 from ..sources import files
-from .catalog import EVENTS_SQL, GRID, GRID_SQL, RATES_SQL, READ, TAU, WITH, event_bounds, most_f1_sql, sequences, trained
+from .catalog import COLUMNS, EVENTS_SQL, GRID, GRID_SQL, LOGISTIC_SQL, RATES_SQL, READ, TAU, WITH, event_bounds, most_f1_sql, quality_rows, sequences, trained
 from .registry import query
 from .views import farm, predictions, readings, table
 
@@ -59,14 +59,13 @@ def s14_markdown_report(spark, sf_dir):
     return spark.createDataFrame([(line,) for line in files.markdown(t).split("\n")], "line string")
 
 
-@query("s17_model_round_trip", None)
+@query("s17_model_round_trip", f"{LOGISTIC_SQL} SELECT 'logistic' AS model, doc_id, probability FROM odds", "probability")
 def s17_model_round_trip(spark, sf_dir):
-    from pyspark.ml.classification import LogisticRegressionModel
-
-    rows = predictions(spark, sf_dir).select("event_id", "window_end", "label", F.col("probability").alias("p"))
-    path = files.shared_folder(spark)
-    models.logistic_model(rows, ["p"]).write().overwrite().save(path)
-    return models.scored(LogisticRegressionModel.load(path), rows, ["p"], 0.5).select("event_id", "window_end", "label", "probability", "prediction")
+    """A model saved as JSON, loaded, and applied."""
+    rows, path = quality_rows(spark, sf_dir), files.shared_folder(spark)
+    files.save_text(spark, logistic.fit(rows, COLUMNS).dumps(), path)
+    model = logistic.Logistic.loads(files.load_text(spark, path))
+    return models.scored(model, rows).select(F.lit("logistic").alias("model"), "doc_id", "probability")
 
 
 @query("p2_renamed_sensors", "SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity AS quantity, l_tax AS tax FROM lineitem", "quantity tax")

@@ -274,3 +274,15 @@ def load_splits(spark: SparkSession, path: str) -> DataFrame:
     text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     found = json.loads(text)["assignments"]
     return spark.createDataFrame(sorted(found.items()), "asset_id string, split string")
+
+
+def save_text(spark: SparkSession, text: str, path: str) -> None:
+    """One text, such as a model, in a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
+def load_text(spark: SparkSession, path: str) -> str:
+    found = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{path} must hold one text")
+    return found[0][0].removesuffix("\n")

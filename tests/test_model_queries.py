@@ -3,19 +3,19 @@
 import inspect
 
 import __spark_entry__ as entry
-from galewatch.operators import models
+from galewatch.operators import boosting
 from galewatch.plans.views import predictions
 
 
 def test_boosting_has_its_default_rounds(spark, monkeypatch):
-    train, seen = models.boosted_model, []
+    train, seen = boosting.fit, []
     default = inspect.signature(train).parameters["rounds"].default
 
     def quick(rows, columns, rounds=default, **more):
         seen.append(rounds)
         return train(rows, columns, rounds=2, **more)
 
-    monkeypatch.setattr(models, "boosted_model", quick)
+    monkeypatch.setattr(boosting, "fit", quick)
     assert entry.queries()["m6_boosted"](spark, "/root/testdata/sf0.001").count() > 0
     assert seen == [default] and default == 250
 

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from galewatch.operators import boosting, logistic
 from galewatch.operators import models as M
+from galewatch.sources import files
 from galewatch.streaming import live
 
 
@@ -36,19 +38,16 @@ def test_classifiers(spark):
     assert full.filter("b is null").count() == 0
     weights = {r.label: r.w for r in M.balanced_weights(df).groupBy("label").agg(F.sum("weight").alias("w")).collect()}
     assert weights == {0: pytest.approx(100), 1: pytest.approx(100)}
-    for model in (M.logistic_model(full, ["a", "b"]), M.boosted_model(full, ["a", "b"], rounds=3)):
-        assert M.scored(model, full, ["a", "b"], 0.5).filter("prediction <> label").count() <= 2
+    for model in (logistic.fit(df, ["a", "b"]), boosting.fit(df, ["a", "b"], rounds=3)):
+        assert M.scored(model, df, 0.5).filter("prediction <> label").count() <= 2
     assert M.positive_weight(df).first()[0] == pytest.approx(140 / 60)
 
 
 def test_saved_model(spark, tmp_path):
-    from pyspark.ml.classification import LogisticRegressionModel
-
     df = spark.createDataFrame([(i % 2, float(i % 2 + i % 3)) for i in range(60)], "label int, a double")
-    model = M.logistic_model(df, ["a"])
-    model.write().save(str(tmp_path / "m"))
-    again = LogisticRegressionModel.load(str(tmp_path / "m"))
-    assert again.coefficients == model.coefficients
+    model = logistic.fit(df, ["a"])
+    files.save_text(spark, model.dumps(), str(tmp_path / "m"))
+    assert logistic.Logistic.loads(files.load_text(spark, str(tmp_path / "m"))) == model
 
 
 def test_asset_splits(spark):
