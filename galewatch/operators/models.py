@@ -40,38 +40,58 @@ def scored(model: Logistic | Boosted, df: DataFrame, threshold: float | None = N
 
 
 class RecurrentWeights:
-    """Layers of (input, state, input bias, state bias) with gates in the order reset, update, candidate; and a head."""
+    """Cells of (input, state, input bias, state bias) with gates in the order reset, update, candidate; and a head.
 
-    def __init__(self, layers: Sequence[tuple[np.ndarray, ...]], head: np.ndarray, bias: float):
-        self.layers, self.head, self.bias = layers, head, bias
+    A layer is one cell, or two where the network goes both ways: one over the steps as they are, one over them reversed,
+    with the states of both at a step side by side as the next layer's input.
+    """
+
+    def __init__(self, cells: Sequence[tuple[np.ndarray, ...]], head: np.ndarray, bias: float):
+        self.cells, self.head, self.bias = list(cells), head, bias
 
     @classmethod
-    def random(cls, features: int, hidden: int = 32, depth: int = 2, seed: int = 0) -> RecurrentWeights:
-        rng, layers, size = np.random.default_rng(seed), [], features
+    def random(cls, features: int, hidden: int = 32, depth: int = 2, seed: int = 0, both_ways: bool = False) -> RecurrentWeights:
+        rng, cells, size, ways = np.random.default_rng(seed), [], features, 1 + both_ways
+        s = hidden**-0.5
         for _ in range(depth):
-            s = hidden**-0.5
-            layers.append(tuple(rng.uniform(-s, s, shape).astype(np.float32) for shape in ((3 * hidden, size), (3 * hidden, hidden), (3 * hidden,), (3 * hidden,))))
-            size = hidden
-        return cls(layers, rng.uniform(-s, s, hidden).astype(np.float32), 0.0)
+            for _ in range(ways):
+                cells.append(tuple(rng.uniform(-s, s, shape).astype(np.float32) for shape in ((3 * hidden, size), (3 * hidden, hidden), (3 * hidden,), (3 * hidden,))))
+            size = hidden * ways
+        s = size**-0.5
+        return cls(cells, rng.uniform(-s, s, size).astype(np.float32), 0.0)
+
+    @property
+    def both_ways(self) -> bool:
+        return self.head.size == 2 * self.cells[0][1].shape[1]
+
+    def layers(self) -> list[list[tuple[np.ndarray, ...]]]:
+        """The cells of each layer."""
+        ways = 1 + self.both_ways
+        return [self.cells[i : i + ways] for i in range(0, len(self.cells), ways)]
 
     def parameters(self) -> int:
-        return sum(w.size for layer in self.layers for w in layer) + self.head.size + 1
+        return sum(w.size for cell in self.cells for w in cell) + self.head.size + 1
+
+
+def cell_states(cell: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """x: (sequences, steps, features). A cell's state after each step."""
+    wi, wh, bi, bh = cell
+    k = wh.shape[1]
+    h, out, taken = np.zeros((len(x), k), np.float32), np.empty((*x.shape[:2], k), np.float32), x @ wi.T + bi
+    for t in range(x.shape[1]):
+        g, i = h @ wh.T + bh, taken[:, t]
+        r, z = (1 / (1 + np.exp(-(i[:, a : a + k] + g[:, a : a + k]))) for a in (0, k))
+        n = np.tanh(i[:, 2 * k :] + r * g[:, 2 * k :])
+        h = n + z * (h - n)
+        out[:, t] = h
+    return out
 
 
 def recurrent_probabilities(weights: RecurrentWeights, x: np.ndarray) -> np.ndarray:
-    """x: (sequences, steps, features). The probability at each step."""
-    for wi, wh, bi, bh in weights.layers:
-        h = np.zeros((len(x), wh.shape[1]), np.float32)
-        out = np.empty((*x.shape[:2], wh.shape[1]), np.float32)
-        taken = x @ wi.T + bi
-        k = wh.shape[1]
-        for t in range(x.shape[1]):
-            g, i = h @ wh.T + bh, taken[:, t]
-            r, z = (1 / (1 + np.exp(-(i[:, a : a + k] + g[:, a : a + k]))) for a in (0, k))
-            n = np.tanh(i[:, 2 * k :] + r * g[:, 2 * k :])
-            h = n + z * (h - n)
-            out[:, t] = h
-        x = out
+    """x: (sequences, steps, features), all steps a sequence's own. The probability at each step."""
+    for layer in weights.layers():
+        ways = [cell_states(layer[0], x), *(cell_states(c, x[:, ::-1])[:, ::-1] for c in layer[1:])]
+        x = ways[0] if len(ways) == 1 else np.concatenate(ways, 2)
     return 1 / (1 + np.exp(-(x @ weights.head + weights.bias)))
 
 

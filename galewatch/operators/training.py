@@ -35,25 +35,49 @@ def masked_loss(logits: np.ndarray, y: np.ndarray, mask: np.ndarray, weight: flo
     return float(((weight * y * soft + (1 - y) * (soft + logits)) * mask).sum())
 
 
+def _forward(cell: tuple[np.ndarray, ...], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """A cell's states after each step (sequences, steps, size), and what its back-propagation needs."""
+    wi, wh, bi, bh = cell
+    k, (rows, steps) = wh.shape[1], x.shape[:2]
+    h = np.zeros((steps + 1, rows, k), x.dtype)
+    kept, took = [], x @ wi.T + bi
+    for t in range(steps):
+        g, i = h[t] @ wh.T + bh, took[:, t]
+        r, z = _sigmoid(i[:, :k] + g[:, :k]), _sigmoid(i[:, k : 2 * k] + g[:, k : 2 * k])
+        n = np.tanh(i[:, 2 * k :] + r * g[:, 2 * k :])
+        h[t + 1] = n + z * (h[t] - n)
+        kept.append((r, z, n, g[:, 2 * k :]))
+    return h[1:].transpose(1, 0, 2), h, kept
+
+
+def _backward(cell: tuple[np.ndarray, ...], x: np.ndarray, h: np.ndarray, kept: list, down: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Gradients of the cell's four parts, and of its input, from those of its states."""
+    wi, wh, _, _ = cell
+    k, steps = wh.shape[1], x.shape[1]
+    dwh, dbh, dtook, back = np.zeros_like(wh), np.zeros(3 * k, x.dtype), np.zeros((*x.shape[:2], 3 * k), x.dtype), np.zeros_like(h[0])
+    for t in reversed(range(steps)):
+        r, z, n, g = kept[t]
+        here = back + down[:, t]
+        dn = here * (1 - z) * (1 - n * n)
+        dr, dz = dn * g * r * (1 - r), here * (h[t] - n) * z * (1 - z)
+        dtook[:, t] = np.concatenate([dr, dz, dn], 1)
+        state = np.concatenate([dr, dz, dn * r], 1)
+        dwh += state.T @ h[t]
+        dbh += state.sum(0)
+        back = here * z + state @ wh
+    flat = dtook.reshape(-1, 3 * k)
+    return [flat.T @ x.reshape(-1, x.shape[2]), dwh, flat.sum(0), dbh], dtook @ wi
+
+
 def gradients(w: RecurrentWeights, x: np.ndarray, y: np.ndarray, mask: np.ndarray, weight: float, dropout: float = 0.0, rng: np.random.Generator | None = None) -> tuple[float, list[np.ndarray]]:
     """Mean masked loss of a batch (sequences, steps, features), and gradients in the order of flat()."""
-    inputs, states, gates, drops = [], [], [], []
-    for wi, wh, bi, bh in w.layers:
-        k, (rows, steps) = wh.shape[1], x.shape[:2]
-        h = np.zeros((steps + 1, rows, k), x.dtype)
-        kept, took = [], x @ wi.T + bi
-        for t in range(steps):
-            g, i = h[t] @ wh.T + bh, took[:, t]
-            r, z = _sigmoid(i[:, :k] + g[:, :k]), _sigmoid(i[:, k : 2 * k] + g[:, k : 2 * k])
-            n = np.tanh(i[:, 2 * k :] + r * g[:, 2 * k :])
-            h[t + 1] = n + z * (h[t] - n)
-            kept.append((r, z, n, g[:, 2 * k :]))
-        inputs.append(x)
-        states.append(h)
-        gates.append(kept)
-        x = h[1:].transpose(1, 0, 2)
+    saved = []
+    for layer in w.layers():
+        # The second cell of a layer goes over the steps in reverse.
+        runs = [(cell, x[:, :: 1 - 2 * i], *_forward(cell, x[:, :: 1 - 2 * i])) for i, cell in enumerate(layer)]
+        x = np.concatenate([run[2][:, :: 1 - 2 * i] for i, run in enumerate(runs)], 2)
         drop = np.ones_like(x) if not dropout else (rng.random(x.shape) >= dropout).astype(x.dtype) / (1 - dropout)
-        drops.append(drop)
+        saved.append((runs, drop))
         x = x * drop
     logits = x @ w.head + w.bias
     count = max(1.0, float(mask.sum()))
@@ -62,28 +86,19 @@ def gradients(w: RecurrentWeights, x: np.ndarray, y: np.ndarray, mask: np.ndarra
     d = (p * (1 + (weight - 1) * y) - weight * y) * mask / count
     out = [np.einsum("bt,btk->k", d, x), np.array(d.sum())]
     down = d[..., None] * w.head
-    for (wi, wh, _, _), x, h, kept, drop in zip(reversed(w.layers), reversed(inputs), reversed(states), reversed(gates), reversed(drops), strict=True):
-        down = down * drop
-        k, steps = wh.shape[1], x.shape[1]
-        dwh, dbh, dtook, back = np.zeros_like(wh), np.zeros(3 * k, x.dtype), np.zeros((*x.shape[:2], 3 * k), x.dtype), np.zeros_like(h[0])
-        for t in reversed(range(steps)):
-            r, z, n, g = kept[t]
-            here = back + down[:, t]
-            dn = here * (1 - z) * (1 - n * n)
-            dr, dz = dn * g * r * (1 - r), here * (h[t] - n) * z * (1 - z)
-            dtook[:, t] = np.concatenate([dr, dz, dn], 1)
-            state = np.concatenate([dr, dz, dn * r], 1)
-            dwh += state.T @ h[t]
-            dbh += state.sum(0)
-            back = here * z + state @ wh
-        flat = dtook.reshape(-1, 3 * k)
-        out = [flat.T @ x.reshape(-1, x.shape[2]), dwh, flat.sum(0), dbh, *out]
-        down = dtook @ wi
+    for runs, drop in reversed(saved):
+        down, above, parts = down * drop, 0.0, []
+        for i, (cell, x, _, h, kept) in enumerate(runs):
+            k, turn = cell[1].shape[1], slice(None, None, 1 - 2 * i)
+            own, dx = _backward(cell, x, h, kept, down[:, turn, i * k : (i + 1) * k])
+            parts += own
+            above = above + dx[:, turn]
+        out, down = [*parts, *out], above
     return loss, out
 
 
 def flat(w: RecurrentWeights) -> list[np.ndarray]:
-    return [p for layer in w.layers for p in layer] + [w.head, np.array(w.bias, np.float32)]
+    return [p for cell in w.cells for p in cell] + [w.head, np.array(w.bias, np.float32)]
 
 
 def of_flat(parts: Sequence[np.ndarray]) -> RecurrentWeights:
@@ -198,18 +213,19 @@ def masked_positive_weight(df: DataFrame) -> float:
 
 def train_recurrent(
     train: DataFrame, val: DataFrame, features: int, hidden: int = 32, depth: int = 2, dropout: float = 0.3, rate: float = 1e-3, epochs: int = 20, batch_size: int = 32, accumulate: int = 1,
-    patience: int = 5, seed: int = 42, state: State | None = None, shard: int = SHARD, keep=None,
+    patience: int = 5, seed: int = 42, state: State | None = None, shard: int = SHARD, keep=None, both_ways: bool = False,
 ) -> State:
     """The state after training, of which best are the weights with the least loss on val.
 
     Rows are sequences: features array<array<float>>, labels and mask array<int>. Steps with a mask of 0 count nowhere.
     Training ends after `epochs`, or `patience` epochs without a lower loss on val. It goes on from state where one is
-    given; keep(state) is called after each epoch, as to save it. A gradient is the mean of `accumulate` batches'.
+    given; keep(state) is called after each epoch, as to save it. A gradient is the mean of `accumulate` batches'. With
+    both_ways the network also goes over the steps in reverse, which needs whole sequences: such scores aren't causal.
     """
     for name, value in (("rate", rate), ("epochs", epochs), ("batch_size", batch_size), ("accumulate", accumulate), ("patience", patience), ("shard", shard)):
         require_positive(value, name)
     weight = masked_positive_weight(train)
-    state = state or State.new(RecurrentWeights.random(features, hidden, depth, seed))
+    state = state or State.new(RecurrentWeights.random(features, hidden, depth, seed, both_ways))
     columns = [F.col("features").cast("array<array<float>>").alias("features"), F.col("labels").cast("array<int>").alias("labels"), F.col("mask").cast("array<int>").alias("mask")]
     key = F.xxhash64(*columns)
     shards = max(1, -(-train.count() // shard))

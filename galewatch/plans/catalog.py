@@ -948,9 +948,9 @@ def sequences(spark, sf_dir):
     return e.select("vec_id", steps.alias("features"), F.array_repeat(yes, 8).alias("labels"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: (t != F.col("vec_id") % 8).cast("int")).alias("mask"), F.when(F.col("vec_id") % 4 == 0, "val").otherwise("train").alias("part"))
 
 
-def trained(spark, sf_dir):
+def trained(spark, sf_dir, **how):
     s = sequences(spark, sf_dir)
-    return training.train_recurrent(s.filter("part = 'train'"), s.filter("part = 'val'"), 8, epochs=4)
+    return training.train_recurrent(s.filter("part = 'train'"), s.filter("part = 'val'"), 8, **how)
 
 
 @query("m1_recurrent_scores", None)
@@ -960,6 +960,13 @@ def m1_recurrent_scores(spark, sf_dir):
     return out.select("vec_id", F.posexplode("probabilities").alias("timestep_idx", "probability"))
 
 
+@query("m1_both_ways", None)
+def m1_both_ways(spark, sf_dir):
+    """Probabilities of a network that goes over the steps in both directions."""
+    out = models.recurrent_scores(sequences(spark, sf_dir), training.of_flat(trained(spark, sf_dir, both_ways=True).best))
+    return out.select("vec_id", F.posexplode("probabilities").alias("timestep_idx", "probability"))
+
+
 @query("m2_training", None)
 def m2_training(spark, sf_dir):
     """The losses of each epoch."""

@@ -18,7 +18,7 @@ def test_recurrent_scores_equal_a_plain_cell(spark):
     sig = lambda a: 1 / (1 + np.exp(-a))
     for i in (0, 1):
         seq = x[i].astype(float)
-        for wi, wh, bi, bh in w.layers:
+        for wi, wh, bi, bh in w.cells:
             h, out = np.zeros(4), []
             for t in seq:
                 a, b = wi @ t + bi, wh @ h + bh

@@ -5,19 +5,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from galewatch.operators import training as T
-from galewatch.operators.models import RecurrentWeights
+from galewatch.operators.models import RecurrentWeights, cell_states, recurrent_probabilities
 
 
-def weights(features=3, hidden=4, depth=2, seed=1):
-    w = RecurrentWeights.random(features, hidden, depth, seed)
+def weights(features=3, hidden=4, depth=2, seed=1, both_ways=False):
+    w = RecurrentWeights.random(features, hidden, depth, seed, both_ways)
     return T.of_flat([p.astype(np.float64) for p in T.flat(w)])
 
 
-def test_gradients_equal_differences():
+@pytest.mark.parametrize("both_ways", [False, True])
+def test_gradients_equal_differences(both_ways):
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(5, 6, 3)), (rng.random((5, 6)) < 0.4).astype(float)
     mask = (rng.random((5, 6)) < 0.8).astype(float)
-    parts = [p.copy() for p in T.flat(weights())]
+    parts = [p.copy() for p in T.flat(weights(both_ways=both_ways))]
+    assert len(parts) == (18 if both_ways else 10)
     _, grads = T.gradients(T.of_flat(parts), x, y, mask, 3.0)
     loss = lambda: T.gradients(T.of_flat(parts), x, y, mask, 3.0)[0]
     for p, g in zip(parts[:-1], grads[:-1], strict=True):
@@ -62,6 +64,29 @@ def test_training_learns(sequences):
     assert np.allclose(again.history, state.history, rtol=1e-2)
 
 
+def test_both_ways_are_a_plain_run_over_reversed_steps():
+    w = weights(both_ways=True)
+    x = np.random.default_rng(3).normal(size=(2, 5, 3))
+    one, two = (RecurrentWeights([c], np.eye(4)[0], 0.0) for c in w.cells[:2])
+    assert w.both_ways and not one.both_ways and len(w.layers()) == 2
+    states = np.concatenate([cell_states(w.cells[0], x), cell_states(w.cells[1], x[:, ::-1])[:, ::-1]], 2)
+    assert np.allclose(states[:, 0, :4], cell_states(w.cells[0], x[:, :1])[:, 0]) and np.allclose(states[:, -1, 4:], cell_states(w.cells[1], x[:, -1:])[:, 0])
+    top = np.concatenate([cell_states(w.cells[2], states), cell_states(w.cells[3], states[:, ::-1])[:, ::-1]], 2)
+    assert np.allclose(recurrent_probabilities(w, x), 1 / (1 + np.exp(-(top @ w.head + w.bias))), atol=1e-6)
+    assert recurrent_probabilities(two, x).shape == (2, 5)
+
+
+def test_what_comes_later_is_learned_both_ways_alone(sequences):
+    """The label of a step is whether the sum of the features after it is positive."""
+    later = F.transform(F.col("features"), lambda _, t: (F.aggregate(F.slice("features", t + 2, 8), F.lit(0.0).cast("float"), lambda s, f: s + f[0].cast("float")) > 0).cast("int"))
+    rows = sequences.withColumn("features", F.col("features").cast("array<array<float>>")).withColumn("labels", later)
+    train, val = rows.filter("i < 320"), rows.filter("i >= 320")
+    one, two = (T.train_recurrent(train, val, 2, hidden=8, rate=1e-2, dropout=0.1, epochs=12, both_ways=b) for b in (False, True))
+    assert two.best_loss < 0.75 * one.best_loss and len(two.best) == 18
+    again = T.State.loads(two.dumps())
+    assert T.of_flat(again.best).both_ways
+
+
 def test_shards_are_averaged(sequences):
     train, val = sequences.filter("i < 320"), sequences.filter("i >= 320")
     state = T.train_recurrent(train, val, 2, hidden=8, epochs=8, rate=1e-2, dropout=0.0, shard=80)
