@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import same_word
 from .ordered import with_quantiles
-from .series import runs
+from .scans import placed, runs, steps
 
 
 def melted(df: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
@@ -34,13 +34,12 @@ def channel_audit(df: DataFrame, channels: list[str], sample: int | None = None,
 
 def systematic(df: DataFrame, by: str, order: str, count: int) -> DataFrame:
     """_picked: every step-th finite row of each group in order, up to count, where step is a count-th of the group."""
-    from pyspark.sql import Window
-
     fine = F.coalesce(~F.isnan("x") & (F.abs("x") < float("inf")), F.lit(False))
-    n = F.row_number().over(Window.partitionBy(by, fine).orderBy(order)) - 1
-    total = F.count("*").over(Window.partitionBy(by, fine))
-    step = F.greatest(F.lit(1), F.floor(total / count))
-    return df.withColumns({"_n": n, "_step": step}).withColumn("_picked", fine & (F.pmod("_n", "_step") == 0) & (F.col("_n") / F.col("_step") < count)).drop("_n", "_step")
+    rows = placed(df.withColumn("_fine", fine), [by, "_fine"], [order], out="_n")
+    total = rows.groupBy(F.col(by).alias("_by"), F.col("_fine").alias("_too")).agg(F.count("*").alias("_total"))
+    met = rows.join(total, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_fine") == F.col("_too")))
+    step = F.greatest(F.lit(1), F.floor(F.col("_total") / count))
+    return met.withColumn("_picked", F.col("_fine") & (F.pmod(F.col("_n"), step) == 0) & (F.col("_n") / step < count)).select(*df.columns, "_picked")
 
 
 def longest_zero_runs(df: DataFrame, by: str, order: str, value: str) -> DataFrame:

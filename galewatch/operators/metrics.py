@@ -202,8 +202,8 @@ def lead_time(df: DataFrame, threshold: float, min_consecutive: int = 1, search_
     by_time = [F.desc("hours_to_fault"), *order]
     above, near = F.col("probability") > threshold, F.col("hours_to_fault") <= HORIZON_HOURS
     numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy(*by_time)) - 1)
-    first = runs(rows, key, by_time, above).filter(F.col("size") >= min_consecutive).groupBy(*key).agg(F.min("first").alias("alarm"))
-    inner = runs(rows.filter(near), key, by_time, above).filter(F.col("size") >= min_consecutive).select(*key).distinct().withColumn("inside", F.lit(True))
+    first = runs(rows, key, by_time, above, None).filter(F.col("size") >= min_consecutive).groupBy(*key).agg(F.min("first").alias("alarm"))
+    inner = runs(rows.filter(near), key, by_time, above, None).filter(F.col("size") >= min_consecutive).select(*key).distinct().withColumn("inside", F.lit(True))
     per = numbered.groupBy(*key).agg(
         F.count("*").alias("n_windows"), F.max("probability").alias("max_probability"), F.max(F.when(near, F.col("probability"))).alias("max_probability_in_horizon")
     )
@@ -231,7 +231,7 @@ def false_alarm_rate(df: DataFrame, threshold: float, min_consecutive: int = 1,
     normal = df.filter(F.col("hours_to_fault").isNull())
     above = F.col("probability") > threshold
     per = normal.groupBy(*key).agg(F.count("*").alias("w"), F.count_if(above).alias("a"))
-    episodes = runs(normal, key, list(order), above).filter(F.col("size") >= min_consecutive).groupBy(*key).agg(F.count("*").alias("e"))
+    episodes = runs(normal, key, list(order), above, None).filter(F.col("size") >= min_consecutive).groupBy(*key).agg(F.count("*").alias("e"))
     per = per.join(episodes, key, "left").fillna(0, ["e"])
     windows, alarms, found, alarmed = F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("e"), F.lit(0)), F.count_if(F.col("e") > 0)
     return per.agg(

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_seconds, from_epoch
+from . import scans
 from .ordered import numbered
+from .scans import filled, runs  # noqa: F401  part of this module's operators
 
 #: Fixed values of the temporal contract, in seconds and rows.
 INTERVAL, LOOKBACK, HORIZON_HOURS, STRIDE, LENGTH, COVERAGE, GAP = 600, 86400, 48.0, 3600, 144, 0.95, 1800
@@ -68,28 +70,9 @@ def grid(windows: DataFrame, key: str, readings: DataFrame, interval: int = INTE
     return steps.join(readings.select(key, "s", "x"), [key, "s"], "left")
 
 
-def filled(df: DataFrame, keys: list[str], order: str, value: str, limit: int | None = 2) -> DataFrame:
-    """value forward- and then backward-filled over at most limit rows (None: any number), within keys."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    back = Window.unboundedPreceding if limit is None else -limit
-    ahead = Window.unboundedFollowing if limit is None else limit
-    forward = df.withColumn(value, F.last(value, True).over(w.rowsBetween(back, 0)))
-    return forward.withColumn(value, F.first(value, True).over(w.rowsBetween(0, ahead)))
-
-
-def runs(df: DataFrame, keys: list[str], order: list, flag: Column) -> DataFrame:
-    """One row per run of rows with the flag: keys, first (its number from 0), size. A null flag breaks a run."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    on = F.coalesce(flag, F.lit(False))
-    numbered = df.withColumn("_n", F.row_number().over(w)).withColumn("_on", on)
-    lit = numbered.filter("_on").withColumn("_run", F.col("_n") - F.row_number().over(Window.partitionBy(*keys).orderBy("_n")))
-    return lit.groupBy(*keys, "_run").agg((F.min("_n") - 1).alias("first"), F.count("*").alias("size")).drop("_run")
-
-
 def trailing_mean(df: DataFrame, keys: list[str], order: str, value: str, horizon_hours: float = 6.0, timestep_hours: float = 1 / 6, out: str = "smoothed") -> DataFrame:
     """The mean of the last round(horizon / timestep) rows, fewer at the start. Rows, not time; causal."""
-    rows = max(int(round(horizon_hours / timestep_hours)), 1)
-    return df.withColumn(out, F.avg(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(rows - 1), 0)))
+    return scans.trailing_mean(df, keys, order, value, max(int(round(horizon_hours / timestep_hours)), 1), out)
 
 
 def horizon_label(anomaly: Column, hours: Column, horizon: float = HORIZON_HOURS) -> Column:
