@@ -64,6 +64,39 @@ def judged_windows(readings: DataFrame, events: DataFrame, key: str, length: int
     return out.select(key, "end_s", "start_s", "n_rows", "max_gap", "n_valid", reason.alias("reason"))
 
 
+def window_features(readings: DataFrame, events: DataFrame, windows: DataFrame, key: str, interval: int = INTERVAL, stride: int = STRIDE, lookback: int = LOOKBACK) -> DataFrame:
+    """(key, end_s, n, mean, std, min, max, last, change) of the readings' x in each window that has some.
+
+    readings: key, s, x; events: key, start_s0, end_s0; windows: key, end_s. std is the population's, change is last less
+    first; missing values don't count, and of readings at one second the lesser value is first. As in judged_windows,
+    readings are summed up by pieces of time, and pieces are merged by window: two for each unit of the lookback at most.
+    """
+    unit = gcd(stride, lookback)
+    near = readings.select(key, "s", F.col("x").cast("double").alias("x")).filter("x is not null and not isnan(x)").join(events.select(key, "start_s0", "end_s0"), key).filter(F.col("s").between(F.col("start_s0") - lookback, F.col("end_s0")))
+    near = near.withColumn("n", F.ceil((F.col("s") - F.col("start_s0")) / unit))
+    near = near.withColumn("late", F.col("s") - F.col("start_s0") - (F.col("n") - 1) * unit >= interval)
+    at = F.struct("s", "x")
+    pieces = near.groupBy(key, "start_s0", "n", "late").agg(
+        F.struct(F.count("*").cast("double").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("*")).alias("m2"), F.min("x").alias("low"), F.max("x").alias("high"), F.min(at).alias("first"), F.max(at).alias("last")).alias("piece")
+    )
+    final = F.col("n") + (lookback // unit - 2) + F.col("late").cast("int")
+    pieces = pieces.withColumn("end", F.explode(F.when(final >= F.col("n"), F.sequence("n", final)))).filter(F.pmod(F.col("end") * unit, F.lit(stride)) == 0)
+    pieces = pieces.select(key, (F.col("start_s0") + F.col("end") * unit).alias("end_s"), "piece")
+    merged = pieces.join(windows.select(key, "end_s"), [key, "end_s"], "left_semi").groupBy(key, "end_s").agg(F.sort_array(F.collect_list(F.struct(F.col("piece.first.s").alias("s"), "piece"))).alias("all"))
+
+    def merge(a, row):
+        b = row["piece"]
+        total, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(
+            total.alias("n"), (a["mean"] + apart * b["n"] / total).alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / total).alias("m2"),
+            F.least(a["low"], b["low"]).alias("low"), F.greatest(a["high"], b["high"]).alias("high"), F.least(a["first"], b["first"]).alias("first"), F.greatest(a["last"], b["last"]).alias("last"),
+        )
+
+    found = merged.withColumn("f", F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0]["piece"], merge))
+    f = F.col("f")
+    return found.select(key, "end_s", f["n"].cast("long").alias("n"), f["mean"].alias("mean"), F.sqrt(f["m2"] / f["n"]).alias("std"), f["low"].alias("min"), f["high"].alias("max"), f["last"]["x"].alias("last"), (f["last"]["x"] - f["first"]["x"]).alias("change"))
+
+
 def grid(windows: DataFrame, key: str, readings: DataFrame, interval: int = INTERVAL) -> DataFrame:
     """(key, end_s, timestep_idx, s, x): each window's dense steps, with readings where there are any."""
     steps = windows.select(key, "end_s", F.posexplode(F.sequence("start_s", "end_s", F.lit(interval).cast("long"))).alias("timestep_idx", "s"))

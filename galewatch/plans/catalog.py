@@ -409,11 +409,11 @@ def wn12_labels(spark, sf_dir):
     return predictions(spark, sf_dir).select("event_id", "window_end", "hours_to_fault", "label")
 
 
-@query("wn13_window_features", f"""{WINDOWS_SQL} SELECT i.asset_id, i.end_s, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, max(x) AS max FROM (SELECT w.asset_id, w.end_s, r.x FROM judged w JOIN readings r ON w.reason = 'keep' AND w.asset_id = r.asset_id AND r.s BETWEEN w.end_s - 85800 AND w.end_s) i GROUP BY 1, 2""", "mean std min max")
+@query("wn13_window_features", f"""{WINDOWS_SQL} SELECT i.asset_id, i.end_s, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, max(x) AS max, first(x ORDER BY s DESC, x DESC) AS last, first(x ORDER BY s DESC, x DESC) - first(x ORDER BY s, x) AS change
+FROM (SELECT w.asset_id, w.end_s, r.s, r.x FROM judged w JOIN readings r ON w.reason = 'keep' AND w.asset_id = r.asset_id AND r.s BETWEEN w.end_s - 85800 AND w.end_s) i GROUP BY 1, 2""", "mean std min max last change")
 def wn13_window_features(spark, sf_dir):
-    kept = _judged(spark, sf_dir).filter("reason = 'keep'").select("asset_id", "end_s", "start_s", F.explode(F.sequence(F.floor(F.col("start_s") / 3600), F.floor(F.col("end_s") / 3600))).alias("hour"))
-    rows = kept.join(readings(spark, sf_dir).withColumn("hour", F.floor(F.col("s") / 3600)), ["asset_id", "hour"]).filter("s between start_s and end_s")
-    return rows.groupBy("asset_id", "end_s").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    kept = _judged(spark, sf_dir).filter("reason = 'keep'")
+    return series.window_features(readings(spark, sf_dir), event_bounds(spark, sf_dir), kept, "asset_id")
 
 
 # Aggregates

@@ -107,3 +107,13 @@ def test_median_of_a_missing_column(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "i int, a double")
     assert [r.a for r in models.median_imputed(df, ["a"]).collect()] == [None, None]
     assert audit.validity(df, "a").first().asDict() == {"valid_fraction": 0.0, "min": None, "median": None, "max": None}
+
+
+@pytest.mark.parametrize("knots", [[(0.0, 1.0), (1e-9, 5.0), (1e6, 2.0), (2e6, 2.5)], [(float(i) + (i * 7 % 10) / 11, (i * 31 % 17) / 3) for i in range(400)], [(3.0, 1.0), (3.0, 4.0)], [(-5.5, 2.0), (8.25, -1.0)]])
+def test_lookup_by_cells_equals_numpy(spark, knots):
+    rng = np.random.default_rng(6)
+    xs, ys = zip(*sorted({x: max(b for a, b in knots if a == x) for x, _ in knots}.items()), strict=True)
+    v = [*rng.uniform(xs[0] - 2, xs[-1] + 2, 500).tolist(), *xs, *np.nextafter(xs, np.inf).tolist(), *np.nextafter(xs, -np.inf).tolist(), 1e-10, np.inf, -np.inf]
+    table = spark.createDataFrame([*knots, (None, 1.0), (1.0, None), (float("nan"), 3.0)], "x double, y double")
+    out = shift.interpolate(spark.createDataFrame([(float(a),) for a in v], "v double"), table, "v", "x", "y").collect()
+    assert [r.expected for r in out] == pytest.approx(np.interp([r.v for r in out], xs, ys).tolist(), rel=1e-12)

@@ -1,5 +1,8 @@
 """Windows, fills, runs and labels, at their boundaries."""
 
+import random
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +173,24 @@ def test_windows_equal_a_plain_version(spark):
         assert sorted(map(tuple, got.collect())) == sorted(want)
     with pytest.raises(ValueError):
         series.judged_windows(got, got, "k", stride=700)
+
+
+def test_window_features_from_pieces(spark):
+    rng = random.Random(7)
+    rows = [(k, rng.randint(-90_000, 200_000), rng.choice([None, float("nan"), 1e9 + rng.random(), 1e9 - 3])) for k in "aab" for _ in range(900)]
+    events = [("a", 1200, 150_000), ("b", 0, 90_000)]
+    df, ev = spark.createDataFrame(rows, "k string, s long, x double"), spark.createDataFrame(events, "k string, start_s0 long, end_s0 long")
+    wide = series.candidates(ev)
+    got = {(r.k, r.end_s): r for r in series.window_features(df, ev, wide, "k").collect()}
+    checked = 0
+    for k, start, end in events:
+        for e in range(start, end - 599, 3600):
+            own = sorted((s, x) for j, s, x in rows if j == k and e - 85_800 <= s <= e and x is not None and x == x)
+            if not own:
+                assert (k, e) not in got
+                continue
+            x, r = np.array([v for _, v in own]), got[k, e]
+            assert (r.n, r.min, r.max, r.last, r.change) == (len(x), x.min(), x.max(), own[-1][1], own[-1][1] - own[0][1])
+            assert r["mean"] == pytest.approx(x.mean(), rel=1e-14) and r.std == pytest.approx(x.std(), rel=1e-7)
+            checked += 1
+    assert checked == len(got) > 60
