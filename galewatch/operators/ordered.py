@@ -80,10 +80,10 @@ def told_apart(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[fl
     below, above = ([min(1.0, max(0.0, p + d)) for p in shares] for d in (-BESIDE, BESIDE))
     whole = F.nanvl("_x", F.lit(float("inf")))
     seen = rows.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"), F.percentile_approx(whole, below, ACCURACY).alias("_low"), F.percentile_approx(whole, above, ACCURACY).alias("_high")
+        F.count("*").alias("_n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"), F.percentile_approx(whole, [*below, *above], ACCURACY).alias("_near")
     )
-    few = F.col("_n") <= SMALL
-    seen = seen.select(*by, "_n", F.when(few, F.array("_least")).otherwise(F.col("_low")).alias("_low"), F.when(few, F.array("_most")).otherwise(F.transform("_high", lambda h: F.when(h < float("inf"), h).otherwise(F.col("_most")))).alias("_high"))
+    few, k = F.col("_n") <= SMALL, F.lit(len(shares))
+    seen = seen.select(*by, "_n", F.when(few, F.array("_least")).otherwise(F.slice("_near", 1, k)).alias("_low"), F.when(few, F.array("_most")).otherwise(F.transform(F.slice("_near", k + 1, k), lambda h: F.when(h < float("inf"), h).otherwise(F.col("_most")))).alias("_high"))
     met = _joined(rows, seen, by)
     # Bounds ascend: the last range that begins at or below a value is the one it may be in.
     at = F.size(F.filter("_low", lambda k: k <= F.col("_x")))
