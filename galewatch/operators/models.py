@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,32 +116,51 @@ def recurrent_scores(df: DataFrame, weights: RecurrentWeights, features: str = "
     return df.withColumn("probabilities", score(features))
 
 
-#: Assets that the split search takes.
-MOST_ASSETS = 100_000
+#: Assets that the split search takes, which every task holds; and trials of a task.
+MOST_ASSETS, TRIALS_A_TASK = 100_000, 500
 
 
-def asset_splits(df: DataFrame, counts: dict[str, int], trials: int = 20000, seed: int = 42) -> dict[str, str]:
-    """Assets to splits of given numbers of assets, so that splits are alike in rows and positive share.
+def trial_order(seed: int, trial: int, assets: int) -> np.ndarray:
+    """The permutation of a trial, by its number alone: any task can make any of them."""
+    return np.random.default_rng([seed, trial]).permutation(assets)
 
-    df: asset_id, rows, positives, one row an asset, of which the driver holds MOST_ASSETS at most. The first of the
-    trials' permutations with the least score wins; a split without positives or negatives costs 1000.
+
+def trial_cost(order: np.ndarray, rows: np.ndarray, positives: np.ndarray, edges: np.ndarray) -> float:
+    """How far splits, cut from the order at edges, are from their share of rows and from the positive share of all; 1000 for each without positives or without negatives."""
+    n, yes = (np.diff(np.r_[0, np.cumsum(v[order])][edges]) for v in (rows, positives))
+    off = np.abs(n / rows.sum() - np.diff(edges) / len(rows)) + np.abs(yes / np.maximum(n, 1) - positives.sum() / rows.sum())
+    return float(off.sum() + 1000 * ((yes == 0) + (yes == n)).sum())
+
+
+def asset_splits(df: DataFrame, counts: dict[str, int], trials: int = 20000, seed: int = 42) -> DataFrame:
+    """asset_id, split: splits of given numbers of assets that are alike in rows and positive share.
+
+    df: asset_id, rows, positives, one row an asset, MOST_ASSETS at most. Trials are dealt to tasks; the least cost wins,
+    of equal ones the first trial, as in a plain loop. Assets are in the order of their ids before they are permuted.
     """
-    pdf: pd.DataFrame = df.orderBy("asset_id").limit(MOST_ASSETS + 1).toPandas()
-    if len(pdf) > MOST_ASSETS:
+    spark = df.sparkSession
+    assets = df.select("asset_id", F.col("rows").cast("double").alias("rows"), F.col("positives").cast("double").alias("positives")).orderBy("asset_id").limit(MOST_ASSETS + 1).toArrow()
+    if assets.num_rows > MOST_ASSETS:
         raise ValueError(f"the split search takes {MOST_ASSETS} assets at most")
-    if sum(counts.values()) != len(pdf):
+    if sum(counts.values()) != assets.num_rows:
         raise ValueError("counts must add up to the number of assets")
-    rng, rows, yes = np.random.default_rng(seed), pdf["rows"].to_numpy(float), pdf["positives"].to_numpy(float)
-    share, best, order = yes.sum() / rows.sum(), np.inf, None
     edges = np.cumsum([0, *counts.values()])
-    for _ in range(trials):
-        p, cost = rng.permutation(len(pdf)), 0.0
-        for a, b in zip(edges, edges[1:], strict=False):
-            part, n, y = p[a:b], rows[p[a:b]].sum(), yes[p[a:b]].sum()
-            cost += abs(n / rows.sum() - len(part) / len(pdf)) + abs(y / n - share) + 1000 * ((y == 0) + (y == n))
-        if cost < best:
-            best, order = cost, p
-    return {pdf["asset_id"][i]: name for (name, _), a, b in zip(counts.items(), edges, edges[1:], strict=False) for i in order[a:b]}
+    shared = spark.sparkContext.broadcast(tuple(assets.column(c).to_numpy() for c in ("rows", "positives")))
+
+    def search(batches):
+        rows, positives = shared.value
+        best = None
+        for batch in batches:
+            for trial in batch.column("id").to_pylist():
+                found = (trial_cost(trial_order(seed, trial, len(rows)), rows, positives, edges), trial)
+                best = found if best is None or found < best else best
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]])], names=["cost", "trial"])
+
+    best = spark.range(0, trials, 1, max(1, -(-trials // TRIALS_A_TASK))).mapInArrow(search, "cost double, trial long").agg(F.min(F.struct("cost", "trial")).alias("best")).first()["best"]
+    order, names, ids = trial_order(seed, best["trial"], assets.num_rows), list(counts), assets.column("asset_id").to_pylist()
+    split = np.repeat(np.arange(len(names)), list(counts.values()))
+    return spark.createDataFrame([(ids[i], names[k]) for i, k in zip(order.tolist(), split.tolist(), strict=True)], df.select("asset_id").schema.add("split", "string"))
 
 
 def numbered_sequences(df: DataFrame, by: str = "split", order: Sequence[str] = ("event_id", "end_s")) -> DataFrame:

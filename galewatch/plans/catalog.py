@@ -14,7 +14,7 @@ from .registry import query
 from .views import PHASES_SQL, PREDICTIONS_SQL, READINGS_SQL, farm, phases, predictions, readings, table
 
 TAU = 0.1
-GRID = [0.02, 0.05, 0.1, 0.2, 0.3]
+GRID = metrics.thresholds(*metrics.COST_GRID)
 GRID_SQL = "(VALUES " + ", ".join(f"({t}::DOUBLE)" for t in GRID) + ") g(threshold)"
 WITH = f"WITH {PREDICTIONS_SQL}"
 READ = f"WITH {READINGS_SQL}"
@@ -230,12 +230,12 @@ def event_bounds(spark, sf_dir):
     return r.groupBy("asset_id").agg(start.alias("start_s0"), (start + 259200).alias("end_s0"))
 
 
-@query("j1_dense_grid", f"""{EVENTS_SQL}, w AS (SELECT asset_id, unnest(generate_series(start_s0, end_s0 - 600, 43200)) AS end_s FROM ev),
+@query("j1_dense_grid", f"""{EVENTS_SQL}, w AS (SELECT asset_id, unnest(generate_series(start_s0, end_s0 - 600, 3600)) AS end_s FROM ev),
 g AS (SELECT asset_id, end_s, unnest(generate_series(end_s - 85800, end_s, 600)) AS s FROM w), r AS (SELECT asset_id, s // 600 * 600 AS s, max(x) AS x FROM readings GROUP BY 1, 2)
 SELECT g.asset_id, g.end_s, ((g.s - g.end_s + 85800) // 600)::INTEGER AS timestep_idx, g.s, r.x FROM g LEFT JOIN r ON g.asset_id = r.asset_id AND g.s = r.s""", "x")
 def j1_dense_grid(spark, sf_dir):
     r = readings(spark, sf_dir).groupBy("asset_id", (F.floor(F.col("s") / 600) * 600).alias("s")).agg(F.max("x").alias("x"))
-    return series.grid(series.candidates(event_bounds(spark, sf_dir), stride=43200), "asset_id", r).select("asset_id", "end_s", "timestep_idx", "s", "x")
+    return series.grid(series.candidates(event_bounds(spark, sf_dir)), "asset_id", r).select("asset_id", "end_s", "timestep_idx", "s", "x")
 
 
 @query("j2_endpoint_semi", f"{EVENTS_SQL}, w AS (SELECT asset_id, unnest(generate_series(start_s0, end_s0 - 600, 3600)) AS end_s FROM ev) SELECT asset_id, end_s FROM w WHERE (asset_id, end_s) IN (SELECT (asset_id, s // 3600 * 3600) FROM readings)")
@@ -644,13 +644,16 @@ def a25_false_alarms(spark, sf_dir):
     return metrics.false_alarm_rate(predictions(spark, sf_dir), 0.02, 2)
 
 
+OPERATING = metrics.thresholds(0.05, 0.95, 19)
+
+
 def _operating_sql(tau: float) -> str:
     return f"SELECT {tau}::DOUBLE AS threshold, 1::INTEGER AS min_consecutive, n_fault_events, detection_rate, median_lead_time_hours, mean_lead_time_hours, window_alarm_rate, episodes_per_1000h, event_alarm_rate FROM (WITH {lead_sql(tau, 1)} SELECT {LEAD_SUMMARY_SQL} FROM lead), (WITH {alarms_sql(tau, 1)} SELECT * FROM alarms)"
 
 
-@query("a26_operating_points", f"{WITH} " + " UNION ALL ".join(f"({_operating_sql(t)})" for t in (0.05, 0.2)), "threshold detection_rate median_lead_time_hours mean_lead_time_hours window_alarm_rate episodes_per_1000h event_alarm_rate")
+@query("a26_operating_points", f"{WITH} " + " UNION ALL ".join(f"({_operating_sql(t)})" for t in OPERATING), "threshold detection_rate median_lead_time_hours mean_lead_time_hours window_alarm_rate episodes_per_1000h event_alarm_rate")
 def a26_operating_points(spark, sf_dir):
-    return metrics.operating_points(predictions(spark, sf_dir), (0.05, 0.2))
+    return metrics.operating_points(predictions(spark, sf_dir), OPERATING)
 
 
 @query("a27_breakdown", f"{WITH}, b AS (SELECT farm, probability, label FROM pred UNION ALL SELECT 'ALL', probability, label FROM pred), {RANK_SQL.format(by='farm', source='b')}, c AS (SELECT farm, {counts_sql()} FROM b GROUP BY farm) SELECT farm, n, n_positive, n_positive / n AS positive_rate, roc_auc, pr_auc, {RATES_SQL} FROM ranked JOIN c USING (farm)", "positive_rate roc_auc pr_auc precision recall f1")
@@ -1001,7 +1004,7 @@ def m7_frozen_threshold(spark, sf_dir):
 
 @query("o8_asset_splits", None)
 def o8_asset_splits(spark, sf_dir):
+    """All trials over all assets; the winner is that of a plain loop over the trials."""
     per = predictions(spark, sf_dir).groupBy("asset_id").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"))
     n = per.count()
-    found = models.asset_splits(per, {"train": n - 2 * (n // 5), "val": n // 5, "test": n // 5})
-    return spark.createDataFrame(sorted(found.items()), "asset_id string, split string")
+    return models.asset_splits(per, {"train": n - 2 * (n // 5), "val": n // 5, "test": n // 5})

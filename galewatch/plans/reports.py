@@ -176,7 +176,7 @@ def f5_finite(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.finite(x).alias("ok"))
 
 
-METADATA_SQL = f"""{EVENTS_SQL}, an AS (SELECT asset_id, count(*) FILTER (kind = 'error') > 0 AS anomaly FROM readings GROUP BY 1), w AS (SELECT asset_id, end_s0, unnest(generate_series(start_s0, end_s0 - 600, 43200)) AS end_s FROM ev),
+METADATA_SQL = f"""{EVENTS_SQL}, an AS (SELECT asset_id, count(*) FILTER (kind = 'error') > 0 AS anomaly FROM readings GROUP BY 1), w AS (SELECT asset_id, end_s0, unnest(generate_series(start_s0, end_s0 - 600, 3600)) AS end_s FROM ev),
 q AS (SELECT *, CASE WHEN asset_id::BIGINT % 4 = 0 THEN 'val' ELSE 'train' END AS split, row_number() OVER (PARTITION BY asset_id::BIGINT % 4 = 0 ORDER BY asset_id::BIGINT, end_s) - 1 AS sequence_idx FROM w),
 g AS (SELECT *, unnest(range(144))::INTEGER AS timestep_idx FROM q), t AS (SELECT *, end_s - 85800 + timestep_idx * 600 AS s FROM g), r AS (SELECT DISTINCT asset_id, s // 600 * 600 AS s FROM readings),
 m AS (SELECT t.*, anomaly, r.s IS NOT NULL AS seen FROM t JOIN an USING (asset_id) LEFT JOIN r ON t.asset_id = r.asset_id AND t.s = r.s)
@@ -186,11 +186,11 @@ CASE WHEN anomaly THEN make_timestamp(end_s0 * 1000000) END AS fault_time, CASE
 
 @query("f10_metadata", METADATA_SQL, "hours_to_fault")
 def f10_metadata(spark, sf_dir):
-    """Steps of a window each 12 hours of every asset's event; assets with an error are anomalies."""
+    """Steps of a window each hour of every asset's event; assets with an error are anomalies."""
     r, events = readings(spark, sf_dir), event_bounds(spark, sf_dir)
     anomaly = r.groupBy("asset_id").agg((F.count_if(F.col("kind") == "error") > 0).alias("anomaly"))
     seen = r.select("asset_id", (F.floor(F.col("s") / 600) * 600).alias("s")).distinct().withColumn("x", F.lit(1))
-    steps = series.grid(series.candidates(events, stride=43200), "asset_id", seen)
+    steps = series.grid(series.candidates(events), "asset_id", seen)
     n = F.col("asset_id").cast("long")
     return series.timestep_metadata(steps, events.join(anomaly, "asset_id"), "asset_id", farm(n), F.when(n % 4 == 0, "val").otherwise("train"), n, F.col("x").isNotNull())
 
@@ -323,4 +323,4 @@ def m9_parameters(spark, sf_dir):
 @query("a36_latency", None)
 def a36_latency(spark, sf_dir):
     """Milliseconds of inference over sequences of 144 steps of ten features, here on the driver."""
-    return spark.createDataFrame(training.latency(models.RecurrentWeights.random(10), 144, 10, repeats=5, warm=1), "batch int, median_ms double, min_ms double, max_ms double, ms_per_sequence double")
+    return spark.createDataFrame(training.latency(models.RecurrentWeights.random(10), 144, 10), "batch int, median_ms double, min_ms double, max_ms double, ms_per_sequence double")

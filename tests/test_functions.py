@@ -14,8 +14,8 @@ def values(spark, rows, schema, **columns):
 
 
 def test_wrap_to_180(spark):
-    got = values(spark, [(float(x),) for x in (-540, -181, -180, 179, 180, 181, 540)], "x double", y=S.wrap_to_180(F.col("x")))
-    assert [r[0] for r in got] == [-180, 179, -180, 179, -180, -179, -180]
+    got = values(spark, [(float(x),) for x in (-725, -200.5, -90, 0, 95.25, 270, 1000)], "x double", y=S.wrap_to_180(F.col("x")))
+    assert [r[0] for r in got] == [-5, 159.5, -90, 0, 95.25, -90, -80]
 
 
 def test_column_resolution():
@@ -26,8 +26,8 @@ def test_column_resolution():
 
 
 def test_imbalance_and_power_factor(spark):
-    got = values(spark, [(9.0, 10.0, 11.0), (4.0, 4.0, 4.0), (220.0, 230.0, 240.0), (1.0, None, 1.0)], "a double, b double, c double", y=P.phase_imbalance(F.col("a"), F.col("b"), F.col("c")))
-    assert [r[0] for r in got] == [pytest.approx(1 / (10 + 1e-6)), 0, pytest.approx(10 / (230 + 1e-6)), None]
+    got = values(spark, [(2.0, 5.0, 8.0), (7.5, 7.5, 7.5), (-30.0, -42.0, -48.0), (None, 3.0, 1.0)], "a double, b double, c double", y=P.phase_imbalance(F.col("a"), F.col("b"), F.col("c")))
+    assert [r[0] for r in got] == [pytest.approx(3 / (5 + 1e-6)), 0, pytest.approx(10 / (40 + 1e-6)), None]
     got = values(spark, [(-3.0, 4.0), (0.0, 0.0)], "p double, q double", y=P.power_factor(F.col("p"), F.col("q")))
     assert [r[0] for r in got] == [pytest.approx(0.6), None]
 

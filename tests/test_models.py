@@ -51,10 +51,21 @@ def test_saved_model(spark, tmp_path):
 
 
 def test_asset_splits(spark):
-    df = spark.createDataFrame([(f"a{i}", 10 + i, i % 4) for i in range(10)], "asset_id string, rows long, positives long")
-    one = M.asset_splits(df, {"train": 6, "val": 2, "test": 2}, 300)
-    assert one == M.asset_splits(df, {"train": 6, "val": 2, "test": 2}, 300)
-    assert sorted(one.values()).count("train") == 6 and one.keys() == {f"a{i}" for i in range(10)}
+    df = spark.createDataFrame([(f"a{i}", 10 + i * i % 7, i % 4) for i in range(10)], "asset_id string, rows long, positives long").repartition(3)
+    counts, pdf = {"train": 6, "val": 2, "test": 2}, df.orderBy("asset_id").toPandas()
+    # A plain loop over the trials.
+    best, rows, yes = None, pdf["rows"].to_numpy(float), pdf["positives"].to_numpy(float)
+    for trial in range(1200):
+        order = M.trial_order(42, trial, 10)
+        cost = 0.0
+        for part in (order[:6], order[6:8], order[8:]):
+            n, y = rows[part].sum(), yes[part].sum()
+            cost += abs(n / rows.sum() - len(part) / 10) + abs(y / n - yes.sum() / rows.sum()) + 1000 * ((y == 0) + (y == n))
+        if best is None or cost < best[0] - 1e-12:
+            best = (cost, order)
+    want = {pdf["asset_id"][i]: name for name, part in (("train", best[1][:6]), ("val", best[1][6:8]), ("test", best[1][8:])) for i in part}
+    found = M.asset_splits(df, counts, 1200)
+    assert found.columns == ["asset_id", "split"] and {r.asset_id: r.split for r in found.collect()} == want
     with pytest.raises(ValueError):
         M.asset_splits(df, {"train": 6})
 
