@@ -270,3 +270,30 @@ def latency(weights: RecurrentWeights, steps: int, features: int, batches: Seque
                 took.append(1e3 * (time.perf_counter() - began))
         out.append((batch, statistics.median(took), min(took), max(took), statistics.median(took) / batch))
     return out
+
+
+def table_latency(df: DataFrame, weights: RecurrentWeights, batches: Sequence[int] = (1, 64), repeats: int = 50) -> DataFrame:
+    """batch, median_ms, min_ms, max_ms, ms_per_sequence, timed: inference over df's sequences (features), timed in the tasks that hold them.
+
+    Of every Arrow batch that a task gets, the first sequences are timed as one batch of each size, `repeats` times after a
+    tenth as many to warm up; where there are fewer, the batch is smaller, and its row says so.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(weights)
+
+    def run(found):
+        for batch in found:
+            x = [r for r in batch.column("features").to_pylist() if r]
+            for size in batches:
+                some = [r for r in x[:size] if len(r) == len(x[0])]
+                if not some:
+                    continue
+                data, took = np.array(some, np.float32), []
+                for i in range(repeats + max(1, repeats // 10)):
+                    began = time.perf_counter()
+                    recurrent_probabilities(shared.value, data)
+                    took.append(1e3 * (time.perf_counter() - began))
+                took = took[-repeats:]
+                yield pa.RecordBatch.from_arrays([pa.array([len(some)] * repeats, pa.int32()), pa.array(took)], names=["batch", "ms"])
+
+    rows = df.select(F.col("features").cast("array<array<float>>").alias("features")).mapInArrow(run, "batch int, ms double")
+    return rows.groupBy("batch").agg(F.median("ms").alias("median_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), (F.median("ms") / F.first("batch")).alias("ms_per_sequence"), F.count("*").alias("timed"))

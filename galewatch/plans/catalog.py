@@ -119,12 +119,14 @@ def s13_csv_sink(spark, sf_dir):
     return files.read_csv(spark, path).select("kind", F.col("rows").cast("long").alias("rows"))
 
 
-@query("s15_json_lines_append", "SELECT n::BIGINT AS epoch, n * 2.0::DOUBLE AS loss FROM range(3) t(n)")
+@query("s15_json_lines_append", f"{READ} SELECT kind, month(ts) AS month, count(*) AS rows, sum(x) AS total FROM readings GROUP BY 1, 2", "total")
 def s15_json_lines_append(spark, sf_dir):
-    path = files.shared_folder(spark)
-    for i in range(3):
-        files.append_json_lines(spark.createDataFrame([(i, i * 2.0)], "epoch long, loss double"), path)
-    return files.read_json(spark, path, "epoch long, loss double")
+    """Each kind's months, appended to one log kind by kind."""
+    path, months = files.shared_folder(spark), readings(spark, sf_dir).groupBy("kind", F.month("ts").alias("month")).agg(F.count("*").alias("rows"), F.sum("x").alias("total"))
+    for kind in ("click", "error", "purchase", "signup", "view"):
+        files.append_json_lines(months.filter(F.col("kind") == kind), path)
+    files.append_json_lines(months.filter(~F.col("kind").isin("click", "error", "purchase", "signup", "view")), path)
+    return files.read_json(spark, path, "kind string, month int, rows long, total double")
 
 
 @query("s19_fingerprint", "SELECT item_id, sha256(text || chr(10)) AS sha256, strlen(text)::BIGINT + 1 AS length FROM benchmark")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import physics, scalars
 from ..operators import audit, logistic, metrics, models, priority, scaling, series, training
-from ..sources import files
+from ..sources import files, tensors
 from .catalog import COLUMNS, EVENTS_SQL, GRID, GRID_SQL, LOGISTIC_SQL, RATES_SQL, READ, TAU, WITH, event_bounds, most_f1_sql, quality_rows, sequences, trained
-from .registry import query
+from .registry import ORACLE, query
 from .views import farm, predictions, readings, table
 
 
@@ -20,21 +20,14 @@ def s4_plain_csv(spark, sf_dir):
     return spark.read.schema("asset_id string, s long, x double").option("header", True).csv(path)
 
 
-@query("s8_numpy_tensor", "SELECT n::BIGINT AS row, sum(n * 6 + i)::DOUBLE AS total, count(*) AS width FROM range(50) t(n), range(6) u(i) GROUP BY n", "total")
+@query("s8_numpy_tensor", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, list_sum(embedding::DOUBLE[]) AS total, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last FROM embeddings", "total first last")
 def s8_numpy_tensor(spark, sf_dir):
-    """A .npy tensor of 50 x 3 x 2, written where executors see it, and read as rows."""
-    import io
-
-    import numpy as np
-
-    path, raw = files.shared_folder(spark), io.BytesIO()
-    np.save(raw, np.arange(300, dtype=np.float32).reshape(50, 3, 2))
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/x.npy")
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
-    out.write(bytearray(raw.getvalue()))
-    out.close()
-    return files.read_numpy(spark, path).select("row", F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("total"), F.size("x").cast("long").alias("width"))
+    """The embeddings as a tensor of 8 x 8 a row, in the order of their ids, written as parts and read back by ranges."""
+    path = files.shared_folder(spark)
+    rows = table(spark, sf_dir, "embeddings").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    tensors.write_tensor(rows, "embedding", path, (8, 8))
+    total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
+    return tensors.read_tensor(spark, path).select("row", total.alias("total"), F.col("x")[0].alias("first"), F.col("x")[63].alias("last"))
 
 
 def contract_text() -> str:
@@ -45,12 +38,30 @@ def contract_text() -> str:
     return yaml.safe_dump({"version": "physical-v1", "features": list(physics.FEATURES), "sites": sites})
 
 
-@query("s10_contract", "SELECT unnest(['A', 'B', 'C']) AS site, unnest([17, 21, 36])::BIGINT AS sensors")
-def s10_contract(spark, sf_dir):
+SITE_SQL = "CASE user_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END"
+#: Readings of the sensors that events stand for, by site and number.
+SENSORS_SQL = f"seen AS (SELECT {SITE_SQL} AS site, 'sensor_' || (user_id % 200) AS sensor, count(*) AS readings, avg(value) AS mean FROM events GROUP BY 1, 2)"
+
+
+def sensor_readings(spark, sf_dir):
+    n = F.col("user_id")
+    return table(spark, sf_dir, "events").groupBy(farm(n).alias("site"), F.concat(F.lit("sensor_"), (n % 200).cast("string")).alias("sensor")).agg(F.count("*").alias("readings"), F.avg("value").alias("mean"))
+
+
+def _contract(spark) -> dict:
+    """The built-in contract, written as YAML and read again."""
     path = files.shared_folder(spark)
     spark.createDataFrame([(contract_text(),)], "value string").coalesce(1).write.text(path)
-    sites = physics.load_sites(files.load_yaml(spark, path))
-    return spark.createDataFrame([(k, len(s.sensors())) for k, s in sites.items()], "site string, sensors long")
+    return files.load_yaml(spark, path)
+
+
+@query("s10_contract", f"WITH {SENSORS_SQL}, required AS ({{REQUIRED}}) SELECT r.site, count(*) AS sensors, count(readings) AS with_readings, coalesce(sum(readings), 0)::BIGINT AS readings FROM required r LEFT JOIN seen s ON r.site = s.site AND r.sensor = s.sensor GROUP BY r.site")
+def s10_contract(spark, sf_dir):
+    """How much of each site's contract the events cover."""
+    sites = physics.load_sites(_contract(spark))
+    asked = spark.createDataFrame([(k, s) for k, site in sites.items() for s in site.sensors()], "site string, sensor string")
+    met = asked.join(sensor_readings(spark, sf_dir), ["site", "sensor"], "left")
+    return met.groupBy("site").agg(F.count("*").alias("sensors"), F.count("readings").alias("with_readings"), F.coalesce(F.sum("readings"), F.lit(0)).alias("readings"))
 
 
 @query("s14_markdown_report", f"{WITH}, t AS (SELECT farm, count(*) AS rows FROM pred GROUP BY farm) SELECT '| ' || farm || ' | ' || rows || ' |' AS line FROM t UNION ALL SELECT '| farm | rows |' UNION ALL SELECT '| --- | --- |'")
@@ -86,13 +97,15 @@ REQUIRED_SQL = " UNION ALL ".join((
 ))
 
 
-@query("p4_required_sensors", REQUIRED_SQL)
+ORACLE["s10_contract"] = ORACLE["s10_contract"].replace("{REQUIRED}", REQUIRED_SQL)
+
+
+@query("p4_required_sensors", f"WITH {SENSORS_SQL}, required AS ({REQUIRED_SQL}) SELECT r.site, r.sensor, coalesce(readings, 0) AS readings, mean FROM required r LEFT JOIN seen s ON r.site = s.site AND r.sensor = s.sensor", "mean")
 def p4_required_sensors(spark, sf_dir):
-    """All sensors of each site in the contract, as it is read from YAML."""
-    path = files.shared_folder(spark)
-    spark.createDataFrame([(contract_text(),)], "value string").coalesce(1).write.text(path)
-    sites = files.load_yaml(spark, path)["sites"]
-    return spark.createDataFrame([(k, s) for k, site in sites.items() for s in physics.required_sensors({"site": [site]})], "site string, sensor string")
+    """The readings of every sensor that the contract names somewhere."""
+    sites = _contract(spark)["sites"]
+    asked = spark.createDataFrame([(k, s) for k, site in sites.items() for s in physics.required_sensors({"site": [site]})], "site string, sensor string")
+    return asked.join(sensor_readings(spark, sf_dir), ["site", "sensor"], "left").select("site", "sensor", F.coalesce("readings", F.lit(0)).alias("readings"), "mean")
 
 
 @query("p3_legacy_columns", "SELECT event_id, value * 1431 AS total, 54::BIGINT AS sensors FROM events", "total")
@@ -109,11 +122,12 @@ def p3_legacy_columns(spark, sf_dir):
 FEATURES_SQL = "[" + ", ".join(f"'{f}'" for f in physics.FEATURES) + ", 'power_residual']"
 
 
-@query("p5_feature_order", f"SELECT (i - 1)::INTEGER AS feature_index, ({FEATURES_SQL})[i] AS feature FROM range(1, 12) t(i)")
+@query("p5_feature_order", f"SELECT (i - 1)::INTEGER AS feature_index, ({FEATURES_SQL})[i] AS feature, avg(embedding[i]::DOUBLE) AS mean FROM embeddings, range(1, 12) t(i) GROUP BY i", "mean")
 def p5_feature_order(spark, sf_dir):
-    path = files.shared_folder(spark)
-    spark.createDataFrame([(contract_text(),)], "value string").coalesce(1).write.text(path)
-    return spark.createDataFrame([(physics.feature_order(True, files.load_yaml(spark, path)),)], "f array<string>").select(F.posexplode("f").alias("feature_index", "feature"))
+    """Means of a tensor's features, named in the contract's order."""
+    names = spark.createDataFrame(list(enumerate(physics.feature_order(True, _contract(spark)))), "feature_index int, feature string")
+    means = scaling.long_tensor(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding").groupBy("feature_index").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    return means.join(F.broadcast(names), "feature_index").select("feature_index", "feature", "mean")
 
 
 def _listed(*numbers: int) -> str:
@@ -136,9 +150,12 @@ MANIFEST = (
 MANIFEST_SQL = ", ".join(f"({i}, '{physics.FEATURES[i]}', '{site}', '{sources}')" for i, row in enumerate(MANIFEST) for site, sources in zip("ABC", row, strict=True))
 
 
-@query("p17_manifest", f"SELECT * FROM (VALUES {MANIFEST_SQL}) m(feature_index, feature, site, sources)")
+@query("p17_manifest", f"SELECT m.*, c.readings, c.assets FROM (VALUES {MANIFEST_SQL}) m(feature_index, feature, site, sources) JOIN (SELECT {SITE_SQL} AS site, count(*) AS readings, count(DISTINCT user_id) AS assets FROM events GROUP BY 1) c ON m.site = c.site")
 def p17_manifest(spark, sf_dir):
-    return spark.createDataFrame(physics.manifest(physics.SITES), "feature_index int, feature string, site string, sources string")
+    """Each feature's sources at each site, with the site's readings and assets."""
+    m = spark.createDataFrame(physics.manifest(physics.SITES), "feature_index int, feature string, site string, sources string")
+    sites = table(spark, sf_dir, "events").groupBy(farm(F.col("user_id")).alias("site")).agg(F.count("*").alias("readings"), F.count_distinct("user_id").alias("assets"))
+    return sites.join(F.broadcast(m), "site").select("feature_index", "feature", "site", "sources", "readings", "assets")
 
 
 @query("p18_renamed_probability", f"{WITH} SELECT event_id, window_end, probability FROM pred", "probability")
@@ -307,20 +324,22 @@ def m8_frozen_threshold(spark, sf_dir):
     return c.select("farm", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("rows"), F.lit(tau).alias("threshold"), "precision", "recall", "f1")
 
 
-@query("m8_frozen_scaler", "WITH sc AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events WHERE user_id % 3 = 2) SELECT event_id, (value - m) / s AS z FROM events, sc WHERE user_id % 3 <> 2", "z")
-def m8_frozen_scaler(spark, sf_dir):
+@query("f7_frozen_scaler", "WITH sc AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events WHERE user_id % 3 = 2) SELECT event_id, (value - m) / s AS z FROM events, sc WHERE user_id % 3 <> 2", "z")
+def f7_frozen_scaler(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.lit(0).alias("feature_index"), F.col("value").alias("x"))
     fitted = e.filter("user_id % 3 = 2").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).withColumn("feature_index", F.lit(0))
     return scaling.apply_scaler(e.filter("user_id % 3 <> 2"), fitted).select("event_id", "z")
 
 
-@query("m9_parameters", "SELECT h::INTEGER AS hidden, (3 * h * (10 + h + 2) + 3 * h * (h + h + 2) + h + 1)::BIGINT AS parameters FROM (VALUES (8), (32)) t(h)")
+@query("m9_parameters", "SELECT len(embedding)::INTEGER AS features, h::INTEGER AS hidden, (3 * h * (len(embedding) + h + 2) + 3 * h * (h + h + 2) + h + 1)::BIGINT AS parameters, count(*) AS sequences FROM embeddings, (VALUES (8), (32)) t(h) GROUP BY 1, 2, 3")
 def m9_parameters(spark, sf_dir):
-    """How many numbers the network of two layers over the ten features has."""
-    return spark.createDataFrame([(h, models.RecurrentWeights.random(10, h).parameters()) for h in (8, 32)], "hidden int, parameters long")
+    """How many numbers networks of two layers have, for each number of features that the table's rows have."""
+    sizes = table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").alias("features")).agg(F.count("*").alias("sequences"))
+    rows = [(r["features"], h, models.RecurrentWeights.random(r["features"], h).parameters(), r["sequences"]) for r in sizes.limit(100).collect() for h in (8, 32)]
+    return spark.createDataFrame(rows, "features int, hidden int, parameters long, sequences long")
 
 
 @query("a36_latency", None)
 def a36_latency(spark, sf_dir):
-    """Milliseconds of inference over sequences of 144 steps of ten features, here on the driver."""
-    return spark.createDataFrame(training.latency(models.RecurrentWeights.random(10), 144, 10), "batch int, median_ms double, min_ms double, max_ms double, ms_per_sequence double")
+    """Milliseconds of inference over the table's sequences, by size of batch, where the rows are: 50 repeats of each batch."""
+    return training.table_latency(sequences(spark, sf_dir), models.RecurrentWeights.random(8))
