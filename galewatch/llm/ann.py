@@ -34,8 +34,8 @@ COPIES, BOUNDARY = 4, 1.12
 #: Lists read at least, the share of neighbours that the ratio has to cover, and the sampled queries whose neighbours are looked at.
 READ_LEAST, COVER, TRIED = 8, 0.97, 256
 CHUNK = 4096
-#: Scores are the same where they are equal to so many places.
-PLACES = 14
+#: Candidates whose scores in doubles are so near to the k-th best are scored again with more digits.
+NEARLY = 1e-12
 
 
 @dataclass
@@ -224,26 +224,35 @@ def _dealt(broadcast, deal):
     return run
 
 
+def exact_cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The cosines of q and the rows of x, worked out with more digits than a double has and then rounded to one, so that parallel vectors have the same."""
+    scaled = lambda v: v.astype(np.longdouble) / np.abs(v).max(-1, keepdims=True)
+    q, x = scaled(q), scaled(x)
+    return np.clip(((x * q).sum(1) / np.sqrt((x * x).sum(1) * (q * q).sum())).astype(np.float64), -1.0, 1.0)
+
+
 def _scored(k: int):
     """From rows sorted by list and chunk, candidates before queries: each query's best candidates there."""
 
-    def best(q: pa.RecordBatch, ids: list, x: np.ndarray) -> pa.RecordBatch:
-        score = np.round(_normalized(_matrix(q.column("vec"))) @ x.T, PLACES)
+    def best(q: pa.RecordBatch, ids: list, plain: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        asked = _matrix(q.column("vec"))
+        score = _normalized(asked) @ x.T
         least = np.array([i[0] for i in ids])
         own = q.column("key").to_pylist()
         out = {"query": [], "score": [], "ids": []}
         for i, s in enumerate(score):
             some = np.arange(len(s))
             if len(s) > k:
-                some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-            for j in some[np.lexsort((least[some], -s[some]))][:k].tolist():
+                some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - NEARLY)
+            exact = exact_cosines(asked[i], plain[some])
+            for j in np.lexsort((least[some], -exact))[:k].tolist():
                 out["query"].append(own[i])
-                out["score"].append(float(s[j]))
-                out["ids"].append(ids[j])
+                out["score"].append(float(exact[j]))
+                out["ids"].append(ids[some[j]])
         return pa.RecordBatch.from_arrays([pa.array(out["query"], pa.int64()), pa.array(out["score"], pa.float64()), pa.array(out["ids"], pa.list_(pa.int64()))], names=list(out))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        last, ids, rows, x = None, [], [], None
+        last, ids, rows, plain, x = None, [], [], None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -258,8 +267,9 @@ def _scored(k: int):
                     rows.append(_matrix(part.column("vec")))
                 elif rows:
                     if x is None:
-                        x = _normalized(np.concatenate(rows))
-                    yield best(part, ids, x)
+                        plain = np.concatenate(rows)
+                        x = _normalized(plain)
+                    yield best(part, ids, plain, x)
 
     return run
 
@@ -278,7 +288,8 @@ def nearest(table: DataFrame, queries: str = "vec_id % 50 = 0", k: int = 5, vec_
     queries is a condition on vec_id. Candidates are all rows with another id than the query's and of its dimension. Null
     ids and vectors, zero ones and ones with a null or non-finite component take no part. Vectors of another dimension
     than most are compared with all of theirs. Rows repeated with id and vector count once. An empty table gives no rows;
-    fewer than k candidates are all given. Scores are rounded to PLACES, so that parallel vectors tie. Vectors of any
+    fewer than k candidates are all given. Scores are the cosines to a double's last digits, and those of parallel vectors are the same. An
+    id with several vectors is asked with each of them and gets one list, of the best over all. Vectors of any
     length fit; the centroids' sample has about VALUES numbers, and what is broadcast a SAMPLE-th of them. Other columns
     aren't read, whatever their names.
     """

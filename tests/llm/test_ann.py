@@ -1,6 +1,7 @@
 """Answers against brute force."""
 
 import numpy as np
+import pytest
 
 from galewatch.llm import ann
 
@@ -71,3 +72,25 @@ def test_graph_finds_the_nearest_centroids():
     assert (ids[:, 0] == best).mean() > 0.95 and (np.diff(far, axis=1) >= 0).all()
     sizes = np.bincount(c.search(x, 1)[0][:, 0], minlength=len(c.at))
     assert sizes.max() < 8 * sizes.mean()
+
+
+def test_scores_are_told_apart_to_the_last_digits(spark):
+    """Cosines a few 1e-15 below one keep their order, and scaled copies tie, to the smaller id."""
+    rows = [(50, [1.0, 0.0]), (1, [1.0, 9e-8]), (2, [3.0, 0.0]), (3, [1.0, 1e-7]), (4, [0.1, 0.0]), (5, [1.0, 0.3])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [2, 4, 1, 3, 5]
+    assert [r.score for r in got] == pytest.approx([1.0, 1.0, 0.999999999999996, 0.9999999999999951, 1 / 1.09**0.5], abs=2e-16)
+
+
+def test_parallel_vectors_tie(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=16)
+    rows = [(100 - i, (v * s).tolist()) for i, s in enumerate([1.0, 1 / 3, 7.7, 1e-9, 123.456, 0.1])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id = 100", k=5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [95, 96, 97, 98, 99] and {r.score for r in got} == {1.0}
+
+
+def test_an_id_with_two_vectors_gets_one_list(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.2, 1.0]), (3, [-1.0, -1.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(50, 1, 1), (50, 2, 2)]
