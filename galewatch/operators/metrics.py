@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import with_quantiles
+from .ordered import with_group, with_quantiles
 from .series import HORIZON_HOURS, runs
 
 REQUIRED = ("event_id", "asset_id", "hours_to_fault", "label", "probability")
@@ -71,25 +71,27 @@ def by_score(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by, "probability").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
 
 
-#: Parts that scores within [0, 1] are cut into for running sums.
-PARTS = 4096
+#: Parts that scores are cut into for running sums, and the accuracy of the sketch that tells where.
+PARTS, CUT_ACCURACY = 256, 10_000
 
 
 def running(rows: DataFrame, by: Sequence[str], sums: dict[str, str], descending: bool = False) -> DataFrame:
-    """rows with running sums (new name -> column) by probability, within by.
+    """rows (one a score) with running sums (new name -> column) by probability, within by.
 
-    Sums run within parts of the scores, and parts' totals, at most PARTS for each of by, are summed apart, so that no
-    task gets all scores.
+    Scores are cut where a mergeable sketch sees equal shares of them, so that parts are alike in rows however scores
+    cluster. Sums run within parts, and parts' totals, PARTS + 1 at most for each of by, are summed apart: no task gets
+    all scores.
     """
-    part = F.floor(F.col("probability") * PARTS).cast("int").alias("_part")
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("probability", [i / PARTS for i in range(1, PARTS)], CUT_ACCURACY).alias("_cuts"))
+    rows = with_group(rows, cuts, by)
+    rows = rows.withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("probability")))).drop("_cuts")
     way = F.desc if descending else F.asc
     inner = Window.partitionBy(*by, "_part").orderBy(way("probability"))
     outer = (Window.partitionBy(*by) if by else Window).orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select("*", part)
     totals = rows.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
     before = totals.select(*by, "_part", *(F.coalesce(F.sum(f"_{n}").over(outer), F.lit(0)).alias(f"_{n}") for n in sums))
-    out = rows.join(before, [*by, "_part"])
-    return out.select(*rows.columns[:-1], *((F.sum(c).over(inner) + F.col(f"_{n}")).alias(n) for n, c in sums.items()))
+    out = with_group(rows, before, [*by, "_part"])
+    return out.select(*(c for c in rows.columns if c != "_part"), *((F.sum(c).over(inner) + F.col(f"_{n}")).alias(n) for n, c in sums.items()))
 
 
 def ranking(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

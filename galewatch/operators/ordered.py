@@ -84,7 +84,7 @@ def told_apart(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[fl
     )
     few, k = F.col("_n") <= SMALL, F.lit(len(shares))
     seen = seen.select(*by, "_n", F.when(few, F.array("_least")).otherwise(F.slice("_near", 1, k)).alias("_low"), F.when(few, F.array("_most")).otherwise(F.transform(F.slice("_near", k + 1, k), lambda h: F.when(h < float("inf"), h).otherwise(F.col("_most")))).alias("_high"))
-    met = _joined(rows, seen, by)
+    met = with_group(rows, seen, by)
     # Bounds ascend: the last range that begins at or below a value is the one it may be in.
     at = F.size(F.filter("_low", lambda k: k <= F.col("_x")))
     met = met.withColumn("_at", at).withColumn("_top", F.when(F.col("_at") > 0, F.element_at("_high", F.greatest(F.lit(1), F.col("_at")))))
@@ -93,7 +93,7 @@ def told_apart(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[fl
     return cells.groupBy(*by, "_n", "_v").agg(F.count_if("_told").alias("_c"), F.count_if(~F.col("_told")).alias("_g"))
 
 
-def _joined(rows: DataFrame, one: DataFrame, by: Sequence[str]) -> DataFrame:
+def with_group(rows: DataFrame, one: DataFrame, by: Sequence[str]) -> DataFrame:
     """rows with the columns of their group's row in one; without by there is a single one."""
     if not by:
         return rows.crossJoin(F.broadcast(one))
