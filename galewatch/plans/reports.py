@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import physics, scalars
 from ..operators import audit, logistic, metrics, models, priority, scaling, series, training
 from ..sources import files, tensors
+from ..streaming import stateful
 from .catalog import COLUMNS, EVENTS_SQL, GRID, GRID_SQL, LOGISTIC_SQL, RATES_SQL, READ, TAU, WITH, event_bounds, most_f1_sql, quality_rows, sequences, trained
 from .registry import ORACLE, query
 from .views import farm, predictions, readings, table
@@ -343,3 +344,20 @@ def m9_parameters(spark, sf_dir):
 def a36_latency(spark, sf_dir):
     """Milliseconds of inference over the table's sequences, by size of batch, where the rows are: 50 repeats of each batch."""
     return training.table_latency(sequences(spark, sf_dir), models.RecurrentWeights.random(8))
+
+
+LIVE_SQL = f"""{READ}, o AS (SELECT asset_id, ts, x, row_number() OVER w AS n, avg(x) OVER (w ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) AS smoothed, x > 40 AS above,
+    row_number() OVER w - row_number() OVER (PARTITION BY asset_id, x > 40 ORDER BY ts, x) AS island FROM readings WINDOW w AS (PARTITION BY asset_id ORDER BY ts, x)),
+wm AS (SELECT (epoch_ms(max(ts)) - 1800000) * 1000 AS passed FROM readings)
+SELECT asset_id, ts, x, smoothed, CASE WHEN above THEN row_number() OVER (PARTITION BY asset_id, above, island ORDER BY n) ELSE 0 END AS run, above AND row_number() OVER (PARTITION BY asset_id, above, island ORDER BY n) = 2 AS alarm FROM o QUALIFY epoch_us(ts) <= (SELECT passed FROM wm)"""
+
+
+@query("x1_live_scan", LIVE_SQL, "x smoothed", 9)
+def x1_live_scan(spark, sf_dir):
+    """Events replayed as a stream: trailing means, open runs and episodes, of all that the watermark (half an hour behind the last event) has passed."""
+    path = f"{sf_dir}/events.parquet"
+    kind = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(kind).parquet(path.replace("events.parquet", "events*.parquet"))
+    live = stateful.live_scan(stream.select(F.col("user_id").cast("string").alias("asset_id"), "ts", F.col("value").alias("x")), threshold=40, least=2)
+    out = stateful.replayed(live, files.shared_folder(spark), files.shared_folder(spark))
+    return out.select("asset_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "x", "smoothed", "run", "alarm")
