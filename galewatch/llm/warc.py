@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 # Tags that end a line of text.
 BLOCKS = "p|div|br|hr|li|ul|ol|dl|dt|dd|tr|td|th|table|h1|h2|h3|h4|h5|h6|nav|main|article|section|header|footer|aside|blockquote|pre|title|figure|form|body|head|html"
-#: (pattern, replacement), in order, from markup to text. What isn't closed runs to the end, so no pattern starts twice at one place.
+#: (pattern, replacement), in order, from markup to text. What isn't closed runs to the end or to the next <, so no character is looked at from many starts.
 STEPS = (
-    (r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)", ""),
-    (r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)", ""),
+    (r"(?is)<script\b.*?(?:</script\s*>|\z)", ""),
+    (r"(?is)<style\b.*?(?:</style\s*>|\z)", ""),
     (r"(?s)<!--.*?(?:-->|\z)", ""),
     (rf"(?i)</?({BLOCKS})\b[^<>]*>", "\n"),
     (r"<[^<>]*>", ""),
@@ -26,7 +26,8 @@ STEPS = (
 REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 NAMED = {name: " " if point == 160 else chr(point) for name, point in sorted(name2codepoint.items())} | {"apos": "'"}
 SPACES = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"))
-TITLE, LANGUAGE, LINK = r"(?is)<title[^>]*>(.*?)</title", r'(?i)<html\b[^>]*\blang="([^"]*)"', r"(?i)<a\s[^>]*href="
+#: A tag ends before the next <, and a title's text does.
+TITLE, LANGUAGE, LINK = r"(?i)<title[^<>]*>([^<]*)", r'(?i)<html\b[^<>]*\blang="([^"<>]*)"', r"(?i)<a\s[^<>]*href="
 VERSION, SOFTWARE = "WARC/1.1", "galewatch derivatives"
 
 
@@ -86,7 +87,8 @@ def derivatives(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
 
     A null page or address is empty, and gives records like any other; a null id stays null and counts as empty text in
     identifiers. Repeated rows give equal records. Other columns aren't read, whatever their names. An empty table gives
-    no rows. A page of any length is converted whole, in time that grows with its length.
+    no rows. A page of any length is converted whole, in time that grows with its length, unclosed tags or not: a script or
+    style without an end runs to the page's end, any other tag, and a title, to the next <.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("target_uri"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("target_uri")

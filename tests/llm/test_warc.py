@@ -1,6 +1,7 @@
 """Records against ones written by hand, and odd pages."""
 
 import hashlib
+import time
 import uuid
 
 import pytest
@@ -69,3 +70,27 @@ def test_serialized(spark):
     assert (fields["WARC-Refers-To"], fields["WARC-Record-ID"], fields["WARC-Target-URI"]) == (r.refers_to, r.record_id, "http://a/1")
     assert fields["WARC-Block-Digest"] == sha("x") and fields["WARC-Source-Payload-Digest"] == sha("<p>x")
     assert fields["WARC-Source-HTTP"] == "HTTP/1.1 200 OK; Content-Type: text/html; charset=utf-8; Content-Length: 4"
+
+
+def test_long_pages_of_unclosed_tags_take_no_longer(spark):
+    """A million characters of each kind, within a second of a plain page of that length (and of it twice, as machines vary)."""
+
+    def took(html):
+        pages = spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string")
+        best = float("inf")
+        for _ in range(2):
+            began = time.perf_counter()
+            warc.derivatives(pages).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    size = 1_000_000
+    plain = took("<p>some words</p> " * (size // 18))
+    for tag in ("<title>", "<a ", "<html ", "<html lang=", "<script ", "<style ", "<!-- ", "</script ", "<", "<p ", "&#"):
+        assert took(tag * (size // len(tag))) < 2 * plain + 1, tag
+
+
+def test_unclosed_tags(spark):
+    pages = spark.createDataFrame([(1, "u", '<html lang="de" x><title>A &amp; b<p>text <a href=x>l</a><script src=y>no</script > end<style>no')], "page_id long, url string, html string")
+    got = {r.record_type: r.content for r in warc.derivatives(pages).collect()}
+    assert "title: A & b\r\nlanguage: de\r\noutlinks: 1\r\n" in got["metadata"] and got["conversion"] == "A & b\ntext l end"
