@@ -23,6 +23,8 @@ UNKNOWN = "und"
 SEGMENT, WARM, AT_ONCE = 256, 16, 4096
 #: Labelled rows learned from, at most, for each language and in all, and the characters taken of each, at a hashed place.
 SAMPLE, TOTAL, CROP = 1500, 300_000, 128
+#: Languages at most: the network has an output for each, and its weights are in the memory of every task.
+LANGUAGES = 1000
 HIDDEN, STEPS, BATCH, SPAN, RATE = 8, 240, 192, 64, 0.02
 #: A document is rejected whose best language's probability is less than this above chance, as a share of what it could be:
 #: with four languages, one that has no language for half of its positions.
@@ -189,7 +191,9 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, parts: int, per_l
     """(text part, language) of labelled rows outside fold 0: those with the least hashes, and of each a part at a hashed place."""
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & (fold("i", parts) != 0)).withColumn("h", F.xxhash64("i", F.lit("sample")))
-    counts = rows.groupBy("l").count().collect()
+    counts = rows.groupBy("l").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"there may be {LANGUAGES} languages at most")
     if not counts:
         return []
     per_language = min(per_language, max(1, TOTAL // len(counts)))
@@ -213,7 +217,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     Learns from rows with a language whose id's checksum has a remainder other than 0 by parts; at most per_language
     rows of each language, and TOTAL // languages if that is less, chosen by hash: a bound on what the driver holds, that
-    leaves no language out. Predictions use whole texts alone, of any length. A null text or one without a letter is
+    leaves no language out; more than LANGUAGES of them are an error. Predictions use whole texts alone, of any length. A null text or one without a letter is
     `und` with score 0, and rejected; so is a text whose best language is less than `least` above chance. Without
     labelled rows every text is `und`. No shuffle but the sample's. Repeated rows give repeated results; an empty table
     gives no rows; other columns aren't read, whatever their names.

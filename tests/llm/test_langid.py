@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from galewatch.llm import langid
 
@@ -55,3 +56,53 @@ def test_texts_without_letters_and_tables_without_labels(spark, odd_documents, n
     assert rows[100].reject and rows[100].score == 0 and rows[3].lang_pred in ("de", "en")
     assert {r.lang_pred for r in langid.identify(odd_documents.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
     assert langid.identify(no_documents.selectExpr("*", "text AS lang")).collect() == []
+
+
+def plain_probabilities(net, text):
+    """The mean over bytes, one byte after the other, of both directions' states: each segment begins some bytes before and after."""
+    sig = lambda a: 1 / (1 + np.exp(-a))
+    k, total = net.u.shape[1], np.zeros(len(net.languages))
+
+    def states(way, some):
+        h, out = np.zeros(k), []
+        for byte in some:
+            took, added = net.x[way][byte].astype(float), h @ net.u[way]
+            z, r = sig(took[:k] + added[:k]), sig(took[k : 2 * k] + added[k : 2 * k])
+            new = np.tanh(took[2 * k :] + r * added[2 * k :])
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    for left in range(0, len(text), langid.SEGMENT):
+        right = min(len(text), left + langid.SEGMENT)
+        begin, end = max(0, left - langid.WARM), min(len(text), left + langid.SEGMENT + langid.WARM)
+        ahead = states(0, text[begin:right])[left - begin :]
+        back = states(1, text[left:end][::-1])[::-1][: right - left]
+        for f, b in zip(ahead, back, strict=True):
+            e = np.exp(f @ net.v[0] + b @ net.v[1] + net.c)
+            total += e / e.sum()
+    return total / len(text)
+
+
+def test_predictions_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labelled = langid.sample(docs, "doc_id", "text", "lang", 5)
+    net = langid.train([t for t, _ in labelled], [n for _, n in labelled])
+    rows = {r.doc_id: r for r in langid.identify(docs).collect()}
+    checked = 0
+    for d in docs.collect():
+        r = rows[d.doc_id]
+        if d.text is None or not any(map(str.isalpha, d.text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif len(d.text) < 4000:
+            p = plain_probabilities(net, d.text.encode())
+            assert net.languages[int(p.argmax())] == r.lang_pred and abs(p.max() - r.score) < 1e-4
+            checked += 1
+    assert checked > 100
+
+
+def test_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "some text", f"l{i % 3}") for i in range(1, 30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages at most"):
+        langid.identify(docs)
