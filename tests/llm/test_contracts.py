@@ -112,7 +112,7 @@ def test_pieces_come_from_the_agenda(spark, monkeypatch):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     found = con.execute(queries.ORACLE[name])
     columns = sorted(d[0] for d in found.description)
