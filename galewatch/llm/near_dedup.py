@@ -9,10 +9,11 @@ without a shingle take the register of another by fixed probing. Bands of four r
    with the least share of them is a bucket's centre, as edited copies have more of them than what they are copies of.
 3. In each band's bucket every node is paired with the centre: as many pairs as nodes. A pair is estimated from its registers, with the chance that unequal minima share a register taken off, and pairs
    that may link are confirmed on full shingle sets. Links give components by alternating large and small stars.
-4. Only buckets of three or more nodes with more than one component may hold a further link. There each node outside
-   the main component is held against all nodes of other components, in chunks of bounded size: by their registers,
-   and exactly by their differences from the centre, which are short for edited copies. Nodes that are connected
-   already are never compared, so a group of copies is not expanded into pairs.
+4. Only buckets of three or more nodes with more than one component may hold a further link. In one of at most CHUNK
+   nodes each node outside the main component is held against all nodes of other components: by their registers, and
+   exactly by their differences from the centre, which are short for edited copies. The nodes of larger ones are
+   looked up by an index of their least shared shingles, which no link escapes, so look-alikes that share too little
+   never meet. Nodes that are connected already are never compared, so a group of copies is not expanded into pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ BANDS = REGISTERS // ROWS
 BITS = 64 - 7
 #: How far below the threshold an estimate may be: about eight standard deviations, so that estimates lose as few links as bands do.
 MARGIN = 0.25
-#: Nodes of a bucket in one chunk, and from which on its nodes' own shingles are counted; and pairs with one centre that are compared together.
+#: Most nodes of a bucket that are compared in one task; nodes of a bucket from which on its nodes' own shingles are counted; pairs with one centre that are compared together.
 CHUNK, LARGE, SPLIT = 1024, 8, 256
 WIDTH, PERCENT = 5, 80
 SKETCH = "doc_id long, n_shingles long, digest binary, sketch binary"
@@ -204,7 +205,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, te
 def _listed(batches):
     for batch in batches:
         x = [np.frombuffer(b, np.int64) for b in batch.column("x").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(x, pa.list_(pa.int64()))], names=["id", "x"])
+        rest = [c for c in batch.schema.names if c != "x"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(x, pa.list_(pa.int64()))], names=[*rest, "x"])
 
 
 def own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -245,6 +247,31 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
 
 
+def indexed_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n, m) of different components among nodes (id, comp), with every pair that links.
+
+    Shingles are put into one order: first those that one component has alone, then the others, rarest first. The first
+    shingle that two linked sets share stands early in both, as what follows it holds all they share. So a set is found
+    by its first shingles alone, and a smaller one by still fewer, as the union is at least as large as the larger set.
+    What is left from there on bounds what a pair shares. Long lists of a shingle are dealt in chunks.
+    """
+    each = sets.join(nodes.select("id", "comp").distinct(), "id").select("id", "comp", "x").mapInArrow(_listed, "id long, comp long, x array<long>")
+    each = each.select("id", "comp", F.size("x").cast("long").alias("n"), F.explode("x").alias("h"))
+    common = each.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q").select("h", "c")
+    found = each.join(common, "h").groupBy("id").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "h"))).alias("x"))
+    # Places from which on a set holds at least what it has to share: with any set, and with one that is no smaller.
+    found = found.withColumns({"own": F.col("n") - F.size("x"), "last": F.expr(f"n - (n * {percent} + 99) div 100"), "least": F.expr(f"n - (n * {2 * percent} + {99 + percent}) div {100 + percent}")})
+    rows = found.filter("own <= last").select("id", "comp", "n", "own", "least", F.posexplode(F.slice("x", F.lit(1), (F.col("last") - F.col("own") + 1).cast("int"))).alias("pos", "x"))
+    rows = settled(rows.select(F.col("x.h").alias("h"), "id", "comp", "n", (F.col("n") - F.col("own") - F.col("pos")).alias("left"), (F.col("own") + F.col("pos") <= F.col("least")).alias("early")))
+    lists = rows.groupBy("h").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count_if("early").alias("c")).filter("p <> q and c > 0")
+    rows = settled(rows.join(lists.select("h", F.ceil(F.col("c") / CHUNK).alias("chunks")), "h"))
+    one = rows.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.col("id").alias("a"), "comp", "n", "left")
+    two = rows.filter("early").select("h", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("m"), F.col("left").alias("left_b"))
+    smaller = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("b") < F.col("a")))
+    enough = (100 + percent) * F.least("left", "left_b") >= percent * (F.col("n") + F.col("m"))
+    return one.join(two, ["h", "chunk"]).filter((F.col("comp") != F.col("comp_b")) & smaller & enough).select("a", "b", "n", "m").distinct()
+
+
 class _Differences:
     """Sets of hashes of many nodes; counts what each has in common with one of them."""
 
@@ -263,7 +290,7 @@ class _Differences:
 
 
 def _crossing(percent: int):
-    """From rows sorted by key and chunk: pairs of different components, of which one is outside the main component.
+    """From rows sorted by key: pairs of different components, of which one is outside the main component.
 
     Two nodes whose differences from the bucket's centre are known are compared exactly by them, and given only if they
     link (sure). Others are given if their registers say that they may link.
@@ -272,7 +299,7 @@ def _crossing(percent: int):
     def group(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
         s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
-        i, n, comp, other, chunk = (t.column(c).to_numpy() for c in ("id", "n", "comp", "other", "chunk"))
+        i, n, comp, other = (t.column(c).to_numpy() for c in ("id", "n", "comp", "other"))
         band = t.column("band")[0].as_py()
         shared = n - t.column("u").fill_null(0).to_numpy() if t.column("u").null_count == 0 else n
         lacks, adds = (t.column(c).to_pylist() for c in ("lacks", "adds"))
@@ -280,9 +307,8 @@ def _crossing(percent: int):
         lacks, adds = _Differences(lacks), _Differences(adds)
         a, b, sure = [], [], []
         for x in np.flatnonzero(other):
-            # Two nodes outside the main component are in every chunk; the first chunk pairs them.
             most = np.minimum(np.minimum(shared, shared[x]), np.minimum(n, n[x]))
-            able = (comp != comp[x]) & (100 * most >= percent * (n + n[x] - most)) & (~other | ((chunk == 0) & (i > i[x])))
+            able = (comp != comp[x]) & (100 * most >= percent * (n + n[x] - most)) & (~other | (i > i[x]))
             able = np.flatnonzero(able)
             if able.size:
                 able = able[estimate(s[able], s[x], n[able], n[x]) >= percent / 100 - MARGIN]
@@ -308,10 +334,10 @@ def _crossing(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, chunk = batch.column("key").to_numpy(), batch.column("chunk").to_numpy()
-            edge = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), batch.num_rows]
+            key = batch.column("key").to_numpy()
+            edge = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), batch.num_rows]
             for x, y in zip(edge, edge[1:], strict=False):
-                now = (key[x], chunk[x])
+                now = key[x]
                 if held and now != last:
                     if (out := group(held)) is not None:
                         yield out
@@ -348,25 +374,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     centres = settled(rows.groupBy("key").agg(F.first("c").alias("c"), F.min(rank).alias("centre")).select("key", "c", "centre.b", "centre.m", "centre.w"))
     star = _band_rows(nodes, "u").join(centres, "key").filter((F.col("id") != F.col("b")) & _may_link(percent)).select(F.col("id").alias("a"), "n", "b", "m").distinct()
     one, two = (nodes.groupBy(F.col("id").alias(x)).agg(F.first("sketch").alias(f"s{x}")) for x in "ab")
-    pairs = settled(star.join(one, "a").join(two, "b").select("a", "b", "n", "m", "sa", "sb").mapInArrow(_sketch_filter(percent), "a long, b long"))
-    stars = compared(pairs, sets, percent)
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        return settled(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "sa", "sb").mapInArrow(_sketch_filter(percent), "a long, b long"))
+
+    stars = compared(estimated(star), sets, percent)
     links = stars.filter("linked").select("a", "b")
     found = settled(components(links))
 
     named = nodes.join(found, "id", "left").select("id", "n", "u", "sketch", F.coalesce("component", "id").alias("comp"))
     busy = centres.filter("c > 2").join(found.withColumnRenamed("id", "b"), "b", "left").select("key", "c", "b", F.coalesce("component", "b").alias("main"))
     mixed = _band_rows(named, "comp").join(busy, "key").groupBy("key").agg(F.first("c").alias("c"), F.first("main").alias("main"), F.first("b").alias("b"), F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q")
-    mixed = settled(mixed.select("key", "b", "main", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")))
+    mixed = settled(mixed.select("key", "b", "main", (F.col("c") > CHUNK).alias("large")))
     if not mixed.isEmpty():
-        mine = F.array(F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
-        dealt = _band_rows(named, "u", "comp", "sketch").join(mixed, "key").withColumn("other", F.col("comp") != F.col("main"))
+        dealt = _band_rows(named, "u", "comp", "sketch").join(mixed.filter("not large"), "key").withColumn("other", F.col("comp") != F.col("main"))
         dealt = dealt.join(stars.select(F.col("a").alias("id"), "b", "lacks", "adds"), ["id", "b"], "left")
         own = F.when(F.col("id") == F.col("b"), F.lit(b""))
         dealt = dealt.withColumns({"lacks": F.coalesce("lacks", own), "adds": F.coalesce("adds", own)})
-        dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(mine)))
-        dealt = dealt.select("key", "chunk", "band", "id", "n", "u", "comp", "other", "sketch", "lacks", "adds").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-        more = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-        more = settled(dealt.mapInArrow(_crossing(percent), "a long, b long, sure boolean").select(*more, "sure").distinct())
+        dealt = dealt.select("key", "band", "id", "n", "u", "comp", "other", "sketch", "lacks", "adds").repartition("key").sortWithinPartitions("key")
+        more = dealt.mapInArrow(_crossing(percent), "a long, b long, sure boolean")
+        large = mixed.filter("large").select("key")
+        if not large.isEmpty():
+            wanted = _band_rows(named, "comp").join(large, "key", "left_semi").select("id", "comp").distinct()
+            more = more.union(estimated(indexed_pairs(wanted, sets, percent)).withColumn("sure", F.lit(False)))
+        more = settled(more.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure")))
         if not more.isEmpty():
             also = compared(more.filter("not sure").select("a", "b"), sets, percent).filter("linked")
             links = links.union(more.filter("sure").select("a", "b")).union(also.select("a", "b"))

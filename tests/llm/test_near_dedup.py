@@ -61,6 +61,47 @@ def test_components_equal_brute_force(spark, monkeypatch, width, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85])
+def test_index_holds_every_link(spark, percent):
+    """All pairs of different components that link are among the index's pairs; others are few."""
+    from pyspark.sql import types as T
+
+    rng, sets = np.random.default_rng(percent), {}
+    pool = rng.integers(1, 2**62, 3000).astype(np.uint64)
+    for family in range(8):
+        base = rng.choice(pool, rng.integers(3, 120), replace=False)
+        for _ in range(12):
+            own = np.concatenate([rng.choice(base, max(1, int(len(base) * rng.uniform(0.8, 1))), replace=False), rng.choice(pool, rng.integers(0, 12))])
+            sets[len(sets) + 1] = np.unique(own)
+    comp = {i: min(i, (i - 1) // 3 * 3 + 1) for i in sets}
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("x", T.BinaryType())])
+    frame = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], schema)
+    got = N.indexed_pairs(spark.createDataFrame(list(comp.items()), "id long, comp long"), frame, percent).collect()
+    want = set()
+    for i, j in combinations(sets, 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if comp[i] != comp[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            want.add((i, j))
+    pairs = {tuple(sorted((r.a, r.b))) for r in got}
+    assert want and want <= pairs and len(pairs) == len(got)
+    assert all(comp[i] != comp[j] for i, j in pairs) and all((r.n, r.m) == (len(sets[r.a]), len(sets[r.b])) for r in got)
+
+
+def test_look_alikes_never_meet(spark, monkeypatch):
+    """A template with own words: too little in common for a link, large buckets, and no pairs at all."""
+    monkeypatch.setattr(N, "CHUNK", 64)
+    rng = random.Random(2)
+    rows = [(i, " ".join([f"t{k}" for k in range(88)] + [f"own{i}x{k}" for k in range(12)])) for i in range(1, 1601)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = N.sketches(docs, 1, "doc_id", "text").collect()
+    nodes = spark.createDataFrame([(r.doc_id, r.digest) for r in seen], "id long, digest binary")
+    sets = N.shingle_sets(docs, nodes, 1, "doc_id", "text")
+    assert N.indexed_pairs(nodes.select("id", nodes.id.alias("comp")), sets, 80).isEmpty()
+    got = N.near_duplicates(docs, width=1, percent=80).collect()
+    assert all(r.kept and r.n_shingles == 100 for r in got) and len(got) == 1600
+
+
 def test_table_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()], 3, 85)
