@@ -19,6 +19,8 @@ STEPS, BATCH, RATE = 2000, 96, 0.02
 #: Windows of a step, and its rate, where a model goes on learning.
 MANY, GENTLE = 384, 0.01
 AT_ONCE = 1024
+#: Logits are held within these bounds while a model learns, so that exponents stay in single precision.
+FAR = 40
 #: Bytes of a piece, and what they may be.
 LENGTHS = (2, 3, 4)
 LETTERS = bytes(range(97, 123)) + b"\xc3" + bytes(range(0xA0, 0xC0)) + b"'-.,"
@@ -112,36 +114,35 @@ def new_model(pieces: Pieces, counts: np.ndarray, seed: int = 3) -> Model:
 
 
 _distance = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
-_causal = np.where(_distance >= 0, 0, -np.inf).astype(np.float32)
 
 
 def _forward(m: Model, seen: np.ndarray, pad: int):
     x = m.e[seen]
-    q, k, v = (x.reshape(-1, WIDTH) @ w for w in (m.q, m.k, m.v))
+    q, k, v = (x.reshape(-1, WIDTH) @ w for w in (m.q * np.float32(WIDTH**-0.5), m.k, m.v))
     q, k, v = (y.reshape(x.shape) for y in (q, k, v))
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= WIDTH**-0.5
-    a += m.d[np.maximum(_distance, 0)] + _causal
+    np.exp(np.clip(a, -FAR, FAR, out=a), out=a)
+    a *= np.where(_distance >= 0, np.exp(np.clip(m.d, -FAR, FAR))[np.maximum(_distance, 0)], 0)
     hidden = seen == pad
-    if hidden.any():
-        a = np.where(hidden[:, None, :] & (_distance != 0), np.float32(-np.inf), a)
-    a -= a.max(2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
+    some = np.flatnonzero(hidden.any(1))
+    if some.size:
+        a[some] *= ~hidden[some][:, None, :] | (_distance == 0)
+    a /= np.einsum("bij->bi", a)[..., None]
     h = x + np.matmul(a, v)
-    z = h.reshape(-1, WIDTH) @ m.u + m.b
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z = h.reshape(-1, WIDTH) @ m.u
+    z += m.b
+    np.exp(np.clip(z, -FAR, FAR, out=z), out=z)
+    z /= np.einsum("ij->i", z)[:, None]
     return x, q, k, v, a, h, z.reshape(*seen.shape, TABLES)
 
 
 def _summed(of: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
     """(count, width): the sum of the rows of each number."""
-    order = np.argsort(of, kind="stable")
-    names, first = np.unique(of[order], return_index=True)
+    order = np.argsort(of.astype(np.uint16) if count <= 65536 else of, kind="stable")
+    names = of[order]
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
     out = np.zeros((count, rows.shape[1]), rows.dtype)
-    out[names] = np.add.reduceat(rows[order], first, 0)
+    out[names[first]] = np.add.reduceat(rows[order], first, 0)
     return out
 
 
@@ -149,25 +150,27 @@ def gradients(m: Model, seen: np.ndarray, want: np.ndarray, pieces: Pieces) -> t
     """Mean loss in nats over want (where it isn't padding), and gradients in the order of Model.parts."""
     x, q, k, v, a, h, mix = _forward(m, seen, pieces.pad)
     tables = m.tables()
-    real = want != pieces.pad
+    mix, goal = mix.reshape(-1, TABLES), want.ravel()
+    real = goal != pieces.pad
     count = max(1, int(real.sum()))
-    joint = mix * tables.T[want]
-    p = joint.sum(2)
-    loss = -float(np.log(np.maximum(p, 1e-30))[real].sum()) / count
-    share = joint / np.maximum(p, 1e-30)[..., None]
-    weight = (real / np.float32(count))[..., None]
-    dz = (mix - share) * weight
-    share = share * weight
-    dt = tables * share.sum((0, 1))[:, None]
-    dt -= _summed(want.ravel(), share.reshape(-1, TABLES), pieces.size).T
-    du, db = h.reshape(-1, WIDTH).T @ dz.reshape(-1, TABLES), dz.sum((0, 1))
-    dh = dz @ m.u.T
-    da = np.matmul(dh, v.transpose(0, 2, 1))
+    share = mix * np.ascontiguousarray(tables.T)[goal]
+    p = np.maximum(np.einsum("ij->i", share), 1e-30)
+    loss = -float(np.log(p)[real].sum()) / count
+    weight = real / np.float32(count)
+    share *= (weight / p)[:, None]
+    dz = mix * weight[:, None]
+    dz -= share
+    dt = tables * share.sum(0)[:, None]
+    dt -= _summed(goal, share, pieces.size).T
+    du, db = h.reshape(-1, WIDTH).T @ dz, dz.sum(0)
+    dh = (dz @ m.u.T).reshape(x.shape)
+    ds = np.matmul(dh, v.transpose(0, 2, 1))
     dv = np.matmul(a.transpose(0, 2, 1), dh)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
+    ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+    ds *= a
     dd = np.bincount(np.maximum(_distance, 0).ravel(), ds.sum(0).ravel(), WINDOW)[:WINDOW]
-    ds = ds * WIDTH**-0.5
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
+    # q is scaled already, so k's gradient needs no scale of its own.
+    dq, dk = np.matmul(ds, k) * np.float32(WIDTH**-0.5), np.matmul(ds.transpose(0, 2, 1), q)
     flat = x.reshape(-1, WIDTH)
     own = [flat.T @ y.reshape(-1, WIDTH) for y in (dq, dk, dv)]
     dx = dh + dq @ m.q.T + dk @ m.k.T + dv @ m.v.T
@@ -175,15 +178,16 @@ def gradients(m: Model, seen: np.ndarray, want: np.ndarray, pieces: Pieces) -> t
     return loss, [de, *own, dd.astype(np.float32), du, db, dt]
 
 
-def windows(begin: np.ndarray, size: np.ndarray, fresh: int = WINDOW - CONTEXT) -> tuple[np.ndarray, np.ndarray]:
+def windows(begin: np.ndarray, size: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
     """(windows, WINDOW) places in the flat array of all sequences, and which are inside the window's own sequence.
 
-    Each window scores its last `fresh` places; together they cover every place once.
+    The first `context` places of a window are those of its neighbour; the others cover every place once.
     """
+    fresh = WINDOW - context
     parts = -(-size // fresh)
     owner = np.repeat(np.arange(len(size)), parts)
     first = (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * fresh
-    place = first[:, None] + np.arange(-CONTEXT, fresh)
+    place = first[:, None] + np.arange(-context, fresh)
     inside = (place >= 0) & (place < size[owner][:, None])
     return np.where(inside, place + begin[owner][:, None], 0), inside
 
@@ -250,7 +254,7 @@ def sequences(pieces: Pieces, words: list[list[bytes]]) -> tuple[np.ndarray, ...
 def _descend(pieces: Pieces, m: Model, texts: tuple[np.ndarray, ...], picks: list[np.ndarray], rate: float) -> Model:
     """Adam, a step for each of picks (numbers of windows), at a rate that falls to zero over the second half."""
     seen, want, begin, length, _ = texts
-    place, inside = windows(begin, length)
+    place, inside = windows(begin, length, 0)
     parts = m.parts()
     one, two = [np.zeros_like(w) for w in parts], [np.zeros_like(w) for w in parts]
     for step, pick in enumerate(picks, 1):
@@ -258,14 +262,22 @@ def _descend(pieces: Pieces, m: Model, texts: tuple[np.ndarray, ...], picks: lis
         _, grads = gradients(m, np.where(ok, seen[at], pieces.pad), np.where(ok, want[at], pieces.pad), pieces)
         now = rate * min(1, 2 * (1 - step / (len(picks) + 1)))
         for w, g, a, b in zip(parts, grads, one, two, strict=True):
-            a += 0.1 * (g - a)
-            b += 0.01 * (g * g - b)
-            w -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+            a *= 0.9
+            a += 0.1 * g
+            g *= g
+            b *= 0.99
+            b += g * 0.01
+            np.sqrt(b, out=g)
+            g += 1e-8
+            np.divide(a, g, out=g)
+            g *= now * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step)
+            w -= g
     return m
 
 
-def window_count(texts: tuple[np.ndarray, ...], fresh: int = WINDOW - CONTEXT) -> int:
-    return int((-(-texts[3] // fresh)).sum())
+def window_count(texts: tuple[np.ndarray, ...]) -> int:
+    """Windows without context, which are learned from: every token is in one."""
+    return int((-(-texts[3] // WINDOW)).sum())
 
 
 def train(pieces: Pieces, words: list[list[bytes]], steps: int = STEPS, seed: int = 3) -> Model:

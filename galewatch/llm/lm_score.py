@@ -11,10 +11,10 @@ documents:
 
 Words are told apart by 64-bit hashes. A frequent word costs each block one entry, whatever its count.
 
-The attention model learns from the whole texts of a share of training documents, chosen by hash, so what it sees grows
-with the corpus. They are dealt into shards of about BLOCK bytes. It starts on the first shard; then every shard goes on
-from there by one pass over its own texts, and the results are averaged by their numbers of windows. Parameters are
-averaged on executors, in parts; one model of fixed size reaches the driver.
+The attention model learns from the whole texts of all training documents. They are dealt into shards of about BLOCK
+bytes. It starts with steps on the first shard; then every shard goes on from there by one pass over all of its own
+texts, and the results are averaged by their numbers of windows. Parameters are averaged on executors, in parts; one
+model of fixed size reaches the driver.
 """
 
 from __future__ import annotations
@@ -33,13 +33,12 @@ from .near_dedup import _words
 
 #: Bytes of text in a block, and for each bucket of word hashes.
 BLOCK, BUCKET = 8_000_000, 40_000_000
-#: The attention model learns from one SHARE-th of the training texts' bytes, and from LEAST bytes if that is more.
-SHARE, LEAST = 16, 8_000_000
-#: Parts of a model's parameters that are averaged apart.
-PARTS = 64
+#: Parts of a model's parameters that are averaged apart, and shards that one task averages of a part.
+PARTS, GROUP = 64, 1000
 #: What counts are discounted by, and the share of spelling apart from that: the best of a few on a split of training rows.
 DISCOUNT, SPELLED = 0.75, 0.8
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+MEANS = "part long, shard long, weight long, values binary"
 SENT = "bucket long, block long, hashes binary, counts binary, tokens long, types long"
 _names = [c.split()[0] for c in SENT.split(", ")]
 
@@ -105,8 +104,7 @@ def _totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _words_of_batches(batches: Iterator[pa.RecordBatch]) -> list[list[bytes]]:
-    """Words of all texts; very long words are cut, as their inner bytes teach little."""
-    return [[w[:64] for w in words_of(t)] for batch in batches for t in batch.column("text").to_pylist()]
+    return [words_of(t) for batch in batches for t in batch.column("text").to_pylist()]
 
 
 def _started(pieces: attention.Pieces):
@@ -137,31 +135,36 @@ def _refined(pieces: attention.Pieces, start):
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weighted means of each part."""
-    sums: dict[int, list] = {}
+    """The weighted means of each part and group of shards, with their weights."""
+    sums: dict[tuple[int, int], list] = {}
     for batch in batches:
         for row in batch.to_pylist():
             x = row["weight"] * np.frombuffer(row["values"], np.float32).astype(np.float64)
-            own = sums.setdefault(row["part"], [0, 0])
+            own = sums.setdefault((row["part"], row["shard"] // GROUP), [0, 0])
             own[0], own[1] = own[0] + x, own[1] + row["weight"]
-    for part, (x, weight) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([(x / weight).astype(np.float32).tobytes()], pa.binary())], names=["part", "values"])
+    for (part, group), (x, weight) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([group], pa.int64()), pa.array([weight], pa.int64()), pa.array([(x / weight).astype(np.float32).tobytes()], pa.binary())], names=["part", "shard", "weight", "values"])
 
 
 def fitted(learned: DataFrame, size: int, pieces: attention.Pieces, block: int = BLOCK) -> attention.Model:
     """The attention model of training rows (doc_id, text) with `size` bytes of text in all."""
-    share = min(1.0, max(1 / SHARE, LEAST / max(1, size)))
-    shards = max(1, -(-int(size * share) // block))
-    rows = learned.withColumn("h", F.xxhash64("doc_id", F.lit("sample"))).filter(F.col("h") / F.lit(2.0**64) + 0.5 < share)
-    rows = settled(rows.select("h", "text", F.pmod(F.xxhash64("h", F.lit("shard")), F.lit(shards)).alias("shard")))
+    shards = max(1, -(-size // block))
+    h = F.xxhash64("doc_id", "text")
+    rows = learned.select(h.alias("h"), "text", F.pmod(F.xxhash64(h, F.lit("shard")), F.lit(shards)).alias("shard"))
     first = rows.filter("shard = 0").repartition(1).sortWithinPartitions("h", "text").mapInArrow(_started(pieces), "model binary").collect()
     if not first:
         return attention.train(pieces, [])
     start = np.frombuffer(first[0][0], np.float32)
     shared = learned.sparkSession.sparkContext.broadcast(start)
     dealt = rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("h", "text")
-    parts = dealt.mapInArrow(_refined(pieces, shared), "part long, shard long, weight long, values binary")
-    means = parts.repartitionById(PARTS, F.col("part").cast("int")).sortWithinPartitions("part", "shard").mapInArrow(_averaged, "part long, values binary").collect()
+    means = dealt.mapInArrow(_refined(pieces, shared), MEANS)
+    # Means of means, by groups of shards, until one of each part is left.
+    while shards > 0:
+        groups = -(-shards // GROUP)
+        at = (F.col("part") * groups + F.floor(F.col("shard") / GROUP)).cast("int")
+        means = means.repartitionById(PARTS * groups, at).sortWithinPartitions("part", "shard").mapInArrow(_averaged, MEANS)
+        shards = groups if groups > 1 else 0
+    means = means.collect()
     if not means:
         return attention.Model.of_vector(start, pieces)
     return attention.Model.of_vector(np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(means, key=lambda r: r["part"])]), pieces)
@@ -250,9 +253,8 @@ def score_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", te
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are lower-cased words and one end a text. Rows whose id's checksum has the remainder `held` by `parts` are
-    held out; all others are counted, and the attention model learns from the whole texts of a share of them (see
-    fitted). Null texts are empty, a null id counts as empty text in the checksum, repeated rows count as often as they
-    come. Where nothing is left to learn from, counts are zero and the untrained model scores. Texts of any length are
+    held out; all others are counted, and the attention model learns from the whole texts of all of them. Null texts are
+    empty, a null id counts as empty text in the checksum, repeated rows count as often as they come. Where nothing is left to learn from, counts are zero and the untrained model scores. Texts of any length are
     scored whole. An empty table gives no rows. Other columns aren't read, whatever their names. vocabulary is a tiktoken
     rank file on the driver.
     """

@@ -5,7 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from galewatch.llm import attention, lm_score
 from galewatch.llm.queries import vocabulary
@@ -161,6 +163,34 @@ def test_fitting_does_not_depend_on_partitions(spark):
     assert all(np.isfinite(w).all() for w in model.parts())
 
 
+def test_every_text_is_learned_from(spark):
+    """As many windows as all texts have, whatever the shards; a word of any length is spelled whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = [lm_score.words_of(r.text or "") for r in docs.collect()] + [[b"a" * 5000]]
+    pieces = attention.Pieces(vocabulary(RANKS))
+    whole = attention.window_count(attention.sequences(pieces, texts))
+    place, inside = attention.windows(*attention.sequences(pieces, texts)[2:4], 0)
+    assert sorted(place[inside].tolist()) == list(range(len(attention.sequences(pieces, texts)[0]))) and len(place) == whole
+    docs = docs.unionByName(spark.createDataFrame([(None, "a" * 5000)], docs.schema))
+    start = spark.sparkContext.broadcast(attention.new_model(pieces, np.ones(pieces.size)).vector())
+    dealt = docs.selectExpr("pmod(xxhash64(doc_id, text), 5) shard", "text").repartitionById(5, F.col("shard").cast("int"))
+    rows = dealt.mapInArrow(lm_score._refined(pieces, start), lm_score.MEANS).filter("part = 0").collect()
+    assert sum(r.weight for r in rows) == whole
+
+
+def test_means_of_means(monkeypatch, pieces):
+    rows = [{"part": 0, "shard": i, "weight": i + 1, "values": np.full(3, i, np.float32).tobytes()} for i in range(7)]
+
+    def level(rows):
+        return [r for b in lm_score._averaged(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+
+    monkeypatch.setattr(lm_score, "GROUP", 3)
+    once = level(rows)
+    assert [(r["shard"], r["weight"]) for r in once] == [(0, 6), (1, 15), (2, 7)]
+    (last,) = level(once)
+    assert last["weight"] == 28 and np.allclose(np.frombuffer(last["values"], np.float32), sum(i * (i + 1) for i in range(7)) / 28)
+
+
 def test_parameters_on_end(pieces):
     m = attention.new_model(pieces, np.ones(pieces.size))
     again = attention.Model.of_vector(m.vector(), pieces)
