@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,21 @@ def settled(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def swept(spark: SparkSession):
+    """Frames built and run inside drop their shuffles' files as soon as they have been collected or written.
+
+    For results that aren't run a second time. The setting is put back at the end.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """name, with underscores before it until no frame has such a column."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import settled, text_of
+from .common import settled, swept, text_of
 from .langid import fold
 from .near_dedup import _words
 
@@ -264,13 +264,15 @@ def score_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", te
     size, learned, documents = rows.agg(F.sum(length), F.sum(F.when(~F.col("held_out"), length)), F.count_if(~F.col("held_out"))).first()
     blocks, buckets = max(1, -(-(size or 0) // block)), max(1, -(-(size or 0) // bucket))
     pieces = attention.Pieces(vocabulary)
-    model = fitted(rows.filter(~F.col("held_out")).select("doc_id", "text"), learned or 0, pieces, block)
+    with swept(spark):
+        model = fitted(rows.filter(~F.col("held_out")).select("doc_id", "text"), learned or 0, pieces, block)
     broadcast = spark.sparkContext.broadcast((model, pieces))
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     at = lambda name: F.col(name).cast("int")
     counts = dealt.select("block", (~F.col("held_out")).cast("int").alias("learn"), "text").repartitionById(blocks, at("block")).mapInArrow(_counted(buckets), SENT)
-    counts = settled(counts.repartitionById(buckets, at("bucket")).mapInArrow(_totalled, SENT), "lz4")
+    with swept(spark):
+        counts = settled(counts.repartitionById(buckets, at("bucket")).mapInArrow(_totalled, SENT), "lz4")
     tokens, types = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     nothing = {c: F.lit(None).cast(t) for c, t in (("doc_id", "long"), ("held_out", "boolean"), ("text", "string"), ("hashes", "binary"), ("counts", "binary"))}
     order = ["block", "role", *nothing]

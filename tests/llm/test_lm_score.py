@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galewatch.llm import attention, lm_score
+from galewatch.llm.common import swept
 from galewatch.llm.queries import vocabulary
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -178,6 +179,15 @@ def test_every_text_is_learned_from(spark):
     assert sum(r.weight for r in rows) == whole
 
 
+def test_the_setting_for_shuffles_is_put_back(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), swept(spark):
+        assert spark.conf.get(name) == "true"
+        1 / 0  # noqa: B018
+    assert spark.conf.get(name) == before
+
+
 def test_means_of_means(monkeypatch, pieces):
     rows = [{"part": 0, "shard": i, "weight": i + 1, "values": np.full(3, i, np.float32).tobytes()} for i in range(7)]
 
