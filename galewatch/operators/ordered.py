@@ -8,17 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import settled_rows
 
 
-def _ranges(df: DataFrame, by: Sequence[str], order: Sequence, size: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """df in ranges (_part), and by, _part, _before, _all: rows, or the sum of size, before the range and in the group."""
+def _ranges(df: DataFrame, by: Sequence[str], order: Sequence, size: str | Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """df in ranges (_part), and by, _part, _before, _all: rows, the sum of size, or an aggregate of a range's rows, before the range and in the group."""
     parts = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_part", F.spark_partition_id())
     parts = settled_rows(parts)
-    sizes = parts.groupBy(*by, "_part").agg((F.count("*") if size is None else F.sum(size)).alias("_size"))
+    sizes = parts.groupBy(*by, "_part").agg((F.count("*") if size is None else F.sum(size) if isinstance(size, str) else size).alias("_size"))
     group = Window.partitionBy(*by)
     before = F.sum("_size").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     whole = F.sum("_size").over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -32,11 +32,17 @@ def _same(one: DataFrame, two: DataFrame, names: Sequence[str]) -> DataFrame:
     return met.drop(*(f"_is_{n}" for n in names))
 
 
-def numbered(df: DataFrame, by: Sequence[str], order: Sequence, out: str) -> DataFrame:
-    """df with a row number from 0 within by, in an order (columns or expressions) that tells rows apart."""
-    parts, before = _ranges(df, by, order)
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence, out: str, ties: bool = False) -> DataFrame:
+    """df with a row number from 0 within by, in an order (columns or expressions) that tells rows apart; with ties, equal rows have one number, and order are names of columns without nulls."""
     inner = Window.partitionBy(*by, "_part").orderBy(*order)
-    return _same(parts, before, [*by, "_part"]).withColumn(out, (F.row_number().over(inner) - 1 + F.col("_before")).cast("long")).drop("_part", "_before", "_all")
+    if ties:
+        # A range has all rows that are equal in the order.
+        parts, before = _ranges(df, by, order, F.count_distinct(*order))
+        at = F.dense_rank().over(inner)
+    else:
+        parts, before = _ranges(df, by, order)
+        at = F.row_number().over(inner)
+    return _same(parts, before, [*by, "_part"]).withColumn(out, (at - 1 + F.col("_before")).cast("long")).drop("_part", "_before", "_all")
 
 
 #: Groups of so many values at most are sorted as they are; of larger ones a sketch with this accuracy tells where to look.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from .scans import filled, runs  # noqa: F401  part of this module's operators
 
 #: Fixed values of the temporal contract, in seconds and rows.
 INTERVAL, LOOKBACK, HORIZON_HOURS, STRIDE, LENGTH, COVERAGE, GAP = 600, 86400, 48.0, 3600, 144, 0.95, 1800
+DAY = 86400
 
 
 def first_per_time(df: DataFrame, keys: list[str], time: str, position: str) -> DataFrame:
@@ -97,10 +99,35 @@ def window_features(readings: DataFrame, events: DataFrame, windows: DataFrame,
     return found.select(key, "end_s", f["n"].cast("long").alias("n"), f["mean"].alias("mean"), F.sqrt(f["m2"] / f["n"]).alias("std"), f["low"].alias("min"), f["high"].alias("max"), f["last"]["x"].alias("last"), (f["last"]["x"] - f["first"]["x"]).alias("change"))
 
 
-def grid(windows: DataFrame, key: str, readings: DataFrame, interval: int = INTERVAL) -> DataFrame:
-    """(key, end_s, timestep_idx, s, x): each window's dense steps, with readings where there are any."""
-    steps = windows.select(key, "end_s", F.posexplode(F.sequence("start_s", "end_s", F.lit(interval).cast("long"))).alias("timestep_idx", "s"))
-    return steps.join(readings.select(key, "s", "x"), [key, "s"], "left")
+def grid(windows: DataFrame, key: str, readings: DataFrame, interval: int = INTERVAL, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, end_s, timestep_idx, s, x, and the windows' columns to keep): each window's dense steps, with readings where there are any.
+
+    A window meets readings by day, with the list of those of its own grid: a row for each second of an interval's multiple,
+    more only where several readings are of one second. Steps are made after that, so windows are shuffled and steps never are.
+    """
+    phase = lambda s: F.pmod(F.col(s), F.lit(interval))
+    lists = readings.select(key, "s", "x").groupBy(key, F.floor(F.col("s") / DAY).alias("_day"), phase("s").alias("_phase")).agg(F.collect_list(F.struct("s", "x")).alias("_seen"))
+    days = F.sequence(F.floor(F.col("start_s") / DAY), F.floor(F.col("end_s") / DAY))
+    pieces = windows.select(key, "end_s", "start_s", *keep, phase("start_s").alias("_phase"), F.explode(days).alias("_day"))
+    # Dealt out even where lists are broadcast: each row makes many.
+    met = pieces.repartition(key, "_day", "_phase").join(lists, [key, "_day", "_phase"], "left")
+    start, step = F.col("start_s"), F.lit(interval)
+    first = F.greatest(F.lit(0), F.ceil((F.col("_day") * DAY - start) / step)).cast("int")
+    last = F.floor((F.least(F.col("end_s"), (F.col("_day") + 1) * DAY - 1) - start) / step).cast("int")
+    met = met.withColumns({"_first": first, "_last": last}).filter("_first <= _last")
+    place = lambda s: ((s - start) / step).cast("int")
+    met = met.withColumn("_own", F.filter("_seen", lambda r: place(r["s"]).between(F.col("_first"), F.col("_last"))))
+    # Steps without a reading by their numbers; readings by theirs, from -1 down.
+    steps = F.sequence("_first", "_last")
+    rest = F.array_except(steps, F.transform("_own", lambda r: place(r["s"])))
+    both = F.concat(rest, F.transform("_own", lambda r, i: -1 - i))
+    # A column before it is exploded, so that the explosion is compiled.
+    met = met.withColumn("_all", F.when(F.size("_own") > 0, both).otherwise(steps))
+    out = met.select(key, "end_s", "start_s", *keep, "_own", F.explode("_all").alias("_at"))
+    out = out.withColumn("_read", F.when(F.col("_at") < 0, F.get("_own", -1 - F.col("_at"))))
+    number = F.when(F.col("_at") < 0, place(F.col("_read.s"))).otherwise(F.col("_at"))
+    out = out.withColumn("timestep_idx", number)
+    return out.select(key, "end_s", *keep, "timestep_idx", (start + F.col("timestep_idx") * step).alias("s"), F.col("_read.x").alias("x"))
 
 
 def trailing_mean(df: DataFrame, keys: list[str], order: str, value: str, horizon_hours: float = 6.0, timestep_hours: float = 1 / 6, out: str = "smoothed") -> DataFrame:
@@ -112,18 +139,31 @@ def horizon_label(anomaly: Column, hours: Column, horizon: float = HORIZON_HOURS
     return F.when(anomaly & (hours > 0) & (hours <= horizon), 1).otherwise(0)
 
 
-def timestep_metadata(steps: DataFrame, events: DataFrame, key: str, farm: Column, split: Column, event_id: Column, mask: Column, horizon: float = HORIZON_HOURS) -> DataFrame:
+def numbered_windows(windows: DataFrame, key: str, split: Column, event_id: Column) -> DataFrame:
+    """key, end_s, start_s, anomaly, end_s0, split, event_id, sequence_idx: windows numbered from 0 in each split, by event and window end.
+
+    windows: candidates() of events with anomaly. Those of one event and end, whatever their key, have one number.
+    """
+    rows = windows.select(key, "end_s", "start_s", "anomaly", "end_s0", split.alias("split"), event_id.cast("long").alias("event_id"))
+    return numbered(rows, ["split"], ["event_id", "end_s"], "sequence_idx", ties=True)
+
+
+def timestep_metadata(steps: DataFrame, events: DataFrame | None, key: str, farm: Column, split: Column, event_id: Column, mask: Column, horizon: float = HORIZON_HOURS) -> DataFrame:
     """One row a step of every sequence: farm, split, sequence_idx, timestep_idx, asset_id, event_id, window_end, event_end,
     fault_time, hours_to_fault, label, mask.
 
     steps: key, end_s, timestep_idx, s (grid()), and what mask needs; events: key, anomaly, end_s0. farm, split and
     event_id are expressions over both. The time of a fault, and the hours to it, are null for normal events. Sequences
     are numbered from 0 in each split, by event and window end.
+
+    Without events, steps are those of numbered_windows(), whose columns they kept: nothing is shuffled then.
     """
-    rows = steps.join(events.select(key, "anomaly", "end_s0"), key)
-    rows = rows.withColumns({"farm": F.upper(farm), "split": split, "event_id": event_id.cast("long"), "mask": mask.cast("int"), "event_end": from_epoch(F.col("end_s0")), "window_end": from_epoch(F.col("s"))})
-    order = numbered(rows.select("split", "event_id", "end_s").distinct(), ["split"], ["event_id", "end_s"], "sequence_idx")
-    rows = rows.join(order, ["split", "event_id", "end_s"])
+    rows = steps
+    if events is not None:
+        rows = steps.join(events.select(key, "anomaly", "end_s0"), key).withColumns({"split": split, "event_id": event_id.cast("long")})
+        order = numbered(rows.select("split", "event_id", "end_s").distinct(), ["split"], ["event_id", "end_s"], "sequence_idx")
+        rows = rows.join(order, ["split", "event_id", "end_s"])
+    rows = rows.withColumns({"farm": F.upper(farm), "mask": mask.cast("int"), "event_end": from_epoch(F.col("end_s0")), "window_end": from_epoch(F.col("s"))})
     hours = F.when(F.col("anomaly"), (F.col("end_s0") - F.col("s")) / 3600.0)
     return rows.select(
         "farm", "split", "sequence_idx", "timestep_idx", F.col(key).alias("asset_id"), "event_id", "window_end", "event_end", F.when(F.col("anomaly"), F.col("event_end")).alias("fault_time"),

@@ -205,12 +205,14 @@ CASE WHEN anomaly THEN make_timestamp(end_s0 * 1000000) END AS fault_time, CASE
 @query("f10_metadata", METADATA_SQL, "hours_to_fault")
 def f10_metadata(spark, sf_dir):
     """Steps of a window each hour of every asset's event; assets with an error are anomalies."""
-    r, events = readings(spark, sf_dir), event_bounds(spark, sf_dir)
+    r = readings(spark, sf_dir)
     anomaly = r.groupBy("asset_id").agg((F.count_if(F.col("kind") == "error") > 0).alias("anomaly"))
     seen = r.select("asset_id", (F.floor(F.col("s") / 600) * 600).alias("s")).distinct().withColumn("x", F.lit(1))
-    steps = series.grid(series.candidates(events), "asset_id", seen)
-    n = F.col("asset_id").cast("long")
-    return series.timestep_metadata(steps, events.join(anomaly, "asset_id"), "asset_id", farm(n), F.when(n % 4 == 0, "val").otherwise("train"), n, F.col("x").isNotNull())
+    n, windows = F.col("asset_id").cast("long"), series.candidates(event_bounds(spark, sf_dir).join(anomaly, "asset_id"))
+    split = F.when(n % 4 == 0, "val").otherwise("train")
+    windows = series.numbered_windows(windows, "asset_id", split, n)
+    steps = series.grid(windows, "asset_id", seen, keep=["anomaly", "end_s0", "split", "event_id", "sequence_idx"])
+    return series.timestep_metadata(steps, None, "asset_id", farm(n), split, n, F.col("x").isNotNull())
 
 
 @query("f12_required_times", "SELECT count(*) FILTER (event_id % 9 <> 0) AS valid, count(*) FILTER (event_id % 9 = 0) AS invalid FROM events")
