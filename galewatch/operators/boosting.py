@@ -12,12 +12,14 @@ takes about as many passes as it is deep, not one for each leaf.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ UNIT = 2**26
 RECENT = 16
 #: Bytes of histograms that come to the driver as tasks give them; beyond, they are summed and judged on executors.
 DIRECT = 64_000_000
+#: Rows of a block.
+BLOCK = 100_000
 LEAST_HESSIAN = 1e-3
 
 
@@ -139,45 +143,58 @@ def _summed(trees: Sequence[Tree], width: int):
     return run
 
 
-HISTOGRAMS = "node int, feature int, g array<long>, h array<long>, n array<long>"
+def _held(rows: DataFrame, width: int) -> RDD:
+    """rows as pickled blocks (w, y, raw, bins) that stay with the executors, so that a pass is one small job; a lost one is read again from the table."""
+
+    def run(batches):
+        many = 0
+        held: list[tuple] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column("w").to_numpy(), batch.column("y").to_numpy(), batch.column("raw").to_numpy(), _matrix(batch, width)))
+                many += batch.num_rows
+            if many >= BLOCK:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([np.concatenate(x) for x in zip(*held, strict=True)])], pa.binary())], names=["block"])
+                held, many = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([np.concatenate(x) for x in zip(*held, strict=True)])], pa.binary())], names=["block"])
+
+    return rows.mapInArrow(run, "block binary").rdd.map(lambda r: bytes(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _histograms(trees: Sequence[Tree], growing: Tree, wanted: Sequence[int], width: int):
-    """A task's rows -> histograms of the wanted leaves of the growing tree."""
+    """A task's blocks -> node, feature, and histograms of g, h and rows of the wanted leaves of the growing tree."""
     many = BINS + 1
 
-    def run(batches):
+    def run(blocks):
         slot = np.full(len(growing.feature), -1)
         slot[list(wanted)] = np.arange(len(wanted))
         size = len(wanted) * many
         sums = np.zeros((3, width, size), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins, raw = _matrix(batch, width), batch.column("raw").to_numpy().copy()
+        for block in blocks:
+            w, y, raw, bins = pickle.loads(block)
+            raw = raw.copy()
             for t in trees:
                 raw += np.array(t.value)[t.leaves(bins)]
             own = slot[growing.leaves(bins)]
             keep = own >= 0
-            y, w, p = batch.column("y").to_numpy()[keep], batch.column("w").to_numpy()[keep], 1 / (1 + np.exp(-raw[keep]))
+            y, w, p = y[keep], w[keep], 1 / (1 + np.exp(-raw[keep]))
             g, h = np.rint((p - y) * w * UNIT), np.rint(p * (1 - p) * w * UNIT)
             base = own[keep] * many
             for f in range(width):
                 at = base + bins[keep, f]
-                # Whole numbers below 2^53 in a batch: doubles add them exactly.
+                # Whole numbers below 2^53 in a block: doubles add them exactly.
                 for k, v in enumerate((g, h, None)):
                     sums[k, f] += np.bincount(at, v, size).astype(np.int64)
         g, h, n = sums.reshape(3, width, len(wanted), many)
-        rows = [(node, f, g[f, s], h[f, s], n[f, s]) for s, node in enumerate(wanted) for f in range(width) if n[f, s].any()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i < 2 else pa.list_(pa.int64())) for i in range(5)], names=["node", "feature", "g", "h", "n"])
+        for i, node in enumerate(wanted):
+            for f in range(width):
+                if n[f, i].any():
+                    yield node, f, g[f, i], h[f, i], n[f, i]
 
     return run
 
 
-SPLITS = "node int, feature int, gain double, at int, missing_left boolean, left_g long, left_h long, left_n long, g long, h long, n long"
-
-
 def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, least: int, l2: float) -> tuple | None:
     """(gain, at, missing_left, left sums of g, h, n) of the best split of one node by one feature, the first of equal ones; None where no split is allowed or gains."""
     whole = [int(v.sum()) for v in (g, h, n)]
@@ -200,8 +217,8 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, least: int, l2: floa
     return found
 
 
-def _judged(rows: Iterator[tuple], least: int, l2: float) -> list[tuple]:
-    """Histograms of (node, feature), in any order and several pieces each -> a row each as SPLITS; without a split the gain is 0."""
+def _judged(rows: Iterable[tuple], least: int, l2: float) -> list[tuple]:
+    """Histograms of (node, feature), in any order and several pieces each -> (node, feature, gain, at, missing_left, left sums of g, h, n, sums of g, h, n) of each; without a split the gain is 0."""
     met: dict[tuple[int, int], np.ndarray] = {}
     for node, feature, *sums in rows:
         own = np.array(sums)
@@ -213,40 +230,14 @@ def _judged(rows: Iterator[tuple], least: int, l2: float) -> list[tuple]:
     return out
 
 
-def _judged_in_task(least: int, l2: float):
-    """From rows sorted by node and feature."""
-
-    def run(batches):
-        held: list[tuple] = []
-
-        def give():
-            names = [c.split()[0] for c in SPLITS.split(", ")]
-            return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in _judged(iter(held), least, l2)], pa.schema([("node", pa.int32()), ("feature", pa.int32()), ("gain", pa.float64()), ("at", pa.int32()), ("missing_left", pa.bool_()), *((n, pa.int64()) for n in names[5:])]))
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("node", "feature", "g", "h", "n")]
-            for row in zip(*columns, strict=True):
-                if held and held[-1][:2] != row[:2]:
-                    yield give()
-                    held = []
-                held.append(row)
-                if len(held) == 64:
-                    held = [(*row[:2], *np.sum([r[2:] for r in held], 0))]
-        if held:
-            yield give()
-
-    return run
-
-
-def _pass(rows: DataFrame, parts: int, recent: Sequence[Tree], growing: Tree, wanted: Sequence[int], width: int, least: int, l2: float) -> dict[int, list[tuple]]:
+def _pass(held: RDD, recent: Sequence[Tree], growing: Tree, wanted: Sequence[int], width: int, least: int, l2: float) -> dict[int, list[tuple]]:
     """The splits of each wanted node, by feature."""
-    found = rows.mapInArrow(_histograms(recent, growing, wanted, width), HISTOGRAMS)
-    if parts * len(wanted) * width * (BINS + 1) * 24 <= DIRECT:
-        table = found.toArrow()
-        columns = [table.column("node").to_pylist(), table.column("feature").to_pylist(), *(table.column(c).combine_chunks().flatten().to_numpy().reshape(-1, BINS + 1) if table.num_rows else [] for c in ("g", "h", "n"))]
-        splits = _judged(zip(*columns, strict=True), least, l2)
+    found = held.mapPartitions(_histograms(recent, growing, wanted, width))
+    if held.getNumPartitions() * len(wanted) * width * (BINS + 1) * 24 <= DIRECT:
+        splits = _judged(found.collect(), least, l2)
     else:
-        splits = [tuple(r) for r in found.repartition("node", "feature").sortWithinPartitions("node", "feature").mapInArrow(_judged_in_task(least, l2), SPLITS).collect()]
+        sums = found.map(lambda r: (r[:2], np.array(r[2:]))).reduceByKey(np.add)
+        splits = sums.mapPartitions(lambda rows: _judged(((*k, *v) for k, v in rows), least, l2)).collect()
     out: dict[int, list[tuple]] = {}
     for s in sorted(splits):
         out.setdefault(s[0], []).append(s)
@@ -260,7 +251,7 @@ def _best(splits: Sequence[tuple]) -> tuple | None:
 
 
 def grow(ask, leaves: int, least: int, l2: float, rate: float) -> Tree | None:
-    """A tree, grown best first. ask(tree, nodes) gives each node's splits (as SPLITS), none for one without rows.
+    """A tree, grown best first. ask(tree, nodes) gives each node's splits (as _judged), none for one without rows.
 
     `known` has nodes' best splits, None where there is none. Those that may be opened next are put below their parents ahead of
     time, so that one question is about all of them.
@@ -336,17 +327,18 @@ def fit(df: DataFrame, columns: Sequence[str], label: str = "label", rounds: int
     model = Boosted(columns, edges_of(df, columns), 0.0)  # balanced classes: even odds
     values = df.select(F.col(label).cast("int").alias("y"), F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns)).alias("x"))
     rows, path = _written(values.mapInArrow(_binned(model, weights), ROWS), None)
-    parts = rows.rdd.getNumPartitions()
-    recent: list[Tree] = []
+    held, recent = _held(rows, len(columns)), []
     for _ in range(rounds):
-        tree = grow(lambda t, nodes: _pass(rows, parts, recent, t, nodes, len(columns), least, l2), leaves, least, l2, rate)  # noqa: B023
+        tree = grow(lambda t, nodes: _pass(held, recent, t, nodes, len(columns), least, l2), leaves, least, l2, rate)  # noqa: B023
         if tree is None:
             break
         model.trees.append(tree)
         recent.append(tree)
         if len(recent) == RECENT:
+            held.unpersist()
             rows, path = _written(rows.mapInArrow(_summed(recent, len(columns)), ROWS), path)
-            recent = []
+            held, recent = _held(rows, len(columns)), []
+    held.unpersist()
     _delete(spark, path)
     return model
 

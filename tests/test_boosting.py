@@ -125,3 +125,19 @@ def test_odd_tables(spark):
             B.fit(bad, ["a"])
     few = B.fit(df.orderBy("i").limit(30), ["a"], rounds=3, least=20)
     assert [len(t.feature) for t in few.trees] == [1, 1, 1]
+
+
+def test_a_pass_is_one_small_job(spark, monkeypatch):
+    """Rows stay with the executors between passes: no pass reads the table again, and none is planned anew."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 3))
+    df = frame(spark, x, (x[:, 0] * x[:, 1] > 0).astype(int), 3)
+    asked, planned, ask, plan = [], [], B._pass, B._held
+    monkeypatch.setattr(B, "_pass", lambda *a: asked.append(1) or ask(*a))
+    monkeypatch.setattr(B, "_held", lambda *a: planned.append(1) or plan(*a))
+    one = B.fit(df, ["a", "b", "c"], rounds=B.RECENT + 1, leaves=6)
+    assert len(planned) == 2 and len(asked) > 2 * B.RECENT
+    # The sums that are judged on executors give the same trees.
+    monkeypatch.setattr(B, "DIRECT", 0)
+    monkeypatch.setattr(B, "BLOCK", 100)
+    assert B.fit(df, ["a", "b", "c"], rounds=B.RECENT + 1, leaves=6).dumps() == one.dumps()
