@@ -47,6 +47,8 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence, out: str, ties:
 
 #: Groups of so many values at most are sorted as they are; of larger ones a sketch with this accuracy tells where to look.
 SMALL, ACCURACY = 10_000, 10_000
+#: Groups of more rows are met by broadcast: there is one of them at most in so many rows.
+LARGE = 1_000_000
 #: How far beside a wanted share the sketch is asked, which is more than its error.
 BESIDE = 4 / ACCURACY
 
@@ -90,7 +92,7 @@ def told_apart(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[fl
     )
     few, k = F.col("_n") <= SMALL, F.lit(len(shares))
     seen = seen.select(*by, "_n", F.when(few, F.array("_least")).otherwise(F.slice("_near", 1, k)).alias("_low"), F.when(few, F.array("_most")).otherwise(F.transform(F.slice("_near", k + 1, k), lambda h: F.when(h < float("inf"), h).otherwise(F.col("_most")))).alias("_high"))
-    met = with_group(rows, seen, by)
+    met = with_group(rows, seen, by, F.col("_n") > LARGE)
     # Bounds ascend: the last range that begins at or below a value is the one it may be in.
     at = F.size(F.filter("_low", lambda k: k <= F.col("_x")))
     met = met.withColumn("_at", at).withColumn("_top", F.when(F.col("_at") > 0, F.element_at("_high", F.greatest(F.lit(1), F.col("_at")))))
@@ -99,12 +101,20 @@ def told_apart(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[fl
     return cells.groupBy(*by, "_n", "_v").agg(F.count_if("_told").alias("_c"), F.count_if(~F.col("_told")).alias("_g"))
 
 
-def with_group(rows: DataFrame, one: DataFrame, by: Sequence[str]) -> DataFrame:
-    """rows with the columns of their group's row in one; without by there is a single one."""
+def with_group(rows: DataFrame, one: DataFrame, by: Sequence[str], large: Column | None = None) -> DataFrame:
+    """rows with the columns of their group's row in one; without by there is a single one.
+
+    large: a condition that few of one's rows meet, those of large groups. They are broadcast, so that no task gets all rows of a large group.
+    """
     if not by:
         return rows.crossJoin(F.broadcast(one))
     other = one.select(*(F.col(n).alias(f"_of_{n}") for n in by), *(c for c in one.columns if c not in by))
-    return rows.join(other, [rows[n].eqNullSafe(other[f"_of_{n}"]) for n in by]).drop(*(f"_of_{n}" for n in by))
+    same, names = [rows[n].eqNullSafe(other[f"_of_{n}"]) for n in by], [f"_of_{n}" for n in by]
+    if large is None:
+        return rows.join(other, same).drop(*names)
+    many = other.filter(large)
+    rest = rows.join(F.broadcast(many.select(*names)), same, "left_anti")
+    return rows.join(F.broadcast(many), same).drop(*names).unionByName(rest.join(other.filter(~large), same).drop(*names))
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:

@@ -1,7 +1,9 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from galewatch.operators import series
+from galewatch.operators import ordered, series
 from galewatch.operators.ordered import numbered
 
 
@@ -35,3 +37,20 @@ def test_equal_rows_have_one_number(spark):
         places = {p: n for n, p in enumerate(sorted({(r.a, r.b) for r in got if r.g == g}))}
         assert [r.n for r in got if r.g == g] == [places[r.a, r.b] for r in got if r.g == g]
     assert len(got) == 60
+
+
+def test_large_groups_are_met_by_broadcast(spark, monkeypatch):
+    """Also where no table is small enough to be broadcast unasked; a null group is one, too."""
+    monkeypatch.setattr(ordered, "SMALL", 20)
+    monkeypatch.setattr(ordered, "LARGE", 40)
+    df = spark.createDataFrame([(g, float(i * 7 % 53)) for g, n in (("a", 300), (None, 90), ("b", 30), ("c", 3)) for i in range(n)], "g string, x double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = ordered.quantile_arrays(df, ["g"], "x", [0.1, 0.5])
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString()
+        got = {r.g: r.q for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    for g, n in (("a", 300), (None, 90), ("b", 30), ("c", 3)):
+        assert got[g] == pytest.approx(np.quantile([i * 7 % 53 for i in range(n)], [0.1, 0.5]))
