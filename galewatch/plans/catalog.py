@@ -72,7 +72,7 @@ def s6_events_without_file(spark, sf_dir):
 def s18_fetched_events(spark, sf_dir):
     """A subset of events by id is the feature: every other event is fetched, and those that were fetched before are skipped."""
     source, target = _event_folder(spark, sf_dir), files.shared_folder(spark)
-    even = files.event_files(spark, source).select("event_id").filter("event_id % 2 = 0")
+    even = files.settled_rows(files.event_files(spark, source).select("event_id").filter("event_id % 2 = 0"))
     files.fetch_events(spark, source, target, even.filter("event_id % 3 = 0"))
     fetched = files.fetch_events(spark, source, target, even)
     rows = files.read_positions(spark, target).groupBy("event_id").agg(F.count("*").alias("rows"))

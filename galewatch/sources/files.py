@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
 import struct
 import uuid
 from collections.abc import Iterable, Sequence
@@ -51,14 +53,23 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
     return best
 
 
+def _csv(spark: SparkSession, path: str, delimiter: str | None) -> DataFrame:
+    """Text columns, with the names of one header. Left to find them, Spark's reader lists each file of a folder as a path of its own."""
+    reader = spark.read.options(header=True, sep=delimiter or detect_delimiter(spark, path))
+    first = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
+    if not first:
+        return reader.csv(path)
+    return reader.schema(reader.csv(spark.sparkContext.parallelize([first[0][0]], 1)).schema).csv(path)
+
+
 def csv_columns(spark: SparkSession, path: str, delimiter: str | None = None) -> list[str]:
     """The header's names; no data is read."""
-    return spark.read.options(header=True, sep=delimiter or detect_delimiter(spark, path)).csv(path).columns
+    return _csv(spark, path, delimiter).columns
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, delimiter: str | None = None) -> DataFrame:
     """Text columns; of a file with other columns too, the given ones are parsed alone."""
-    df = spark.read.options(header=True, sep=delimiter or detect_delimiter(spark, path)).csv(path)
+    df = _csv(spark, path, delimiter)
     if columns is None:
         return df
     if missing := [c for c in columns if c not in df.columns]:
@@ -71,11 +82,11 @@ def read_positions(spark: SparkSession, path: str, delimiter: str | None = None)
 
     Blocks of a file come in order of their start, and rows of a block in order of their ids, so large files may be split.
     """
-    df = spark.read.options(header=True, sep=delimiter or detect_delimiter(spark, path)).csv(path)
+    df = _csv(spark, path, delimiter)
     rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     order = Window.partitionBy("_file").orderBy("_block", "_id")
-    rows = rows.withColumn("row_pos", (F.row_number().over(order) - 1).cast("long")).withColumn("event_id", event_of(F.col("_file")))
-    return rows.filter(F.col("event_id").isNotNull()).drop("_file", "_block", "_id")
+    rows = rows.filter(event_of(F.col("_file")).isNotNull()).withColumn("row_pos", (F.row_number().over(order) - 1).cast("long"))
+    return rows.withColumn("event_id", event_of(F.col("_file"))).drop("_file", "_block", "_id")
 
 
 def event_of(name: Column) -> Column:
@@ -87,13 +98,20 @@ def event_of(name: Column) -> Column:
 def event_files(spark: SparkSession, path: str) -> DataFrame:
     """event_id, path of the event files of a folder; files with other names don't count."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "comma_*.csv").load(path).select("path")
+    # No contents are read, so few tasks do for many files.
+    files = files.coalesce(4 * spark.sparkContext.defaultParallelism)
     return files.select(event_of(F.col("path")).alias("event_id"), "path").filter("event_id is not null")
 
 
 def write_event_files(df: DataFrame, event: str, order: Sequence, path: str) -> None:
-    """One comma_<event>.csv for each event, with the other columns in an order: written by event, then named."""
-    rows = df.withColumn("_event", F.col(event)).repartition("_event").sortWithinPartitions("_event", *order).drop(event)
-    _named_files(df.sparkSession, rows.write.partitionBy("_event").option("header", True).csv, path)
+    """One comma_<event>.csv for each event that isn't null, with the other columns in an order, after a header."""
+    names = [c for c in df.columns if c != event]
+    rows = df.filter(F.col(event).isNotNull()).withColumn("_event", F.col(event).cast("long")).repartition("_event").sortWithinPartitions("_event", *order).drop(event)
+    if folder := _mounted(df.sparkSession, path):
+        head = df.sparkSession.range(1).select(F.to_csv(F.struct(*(F.lit(c).alias(c) for c in names)))).first()[0]
+        _event_lines(rows.select("_event", F.to_csv(F.struct(*names)).alias("value")), folder, head)
+    else:
+        _named_files(df.sparkSession, rows.write.partitionBy("_event").option("header", True).csv, path)
 
 
 def fetch_events(spark: SparkSession, source: str, target: str, wanted: DataFrame | None = None) -> DataFrame:
@@ -102,25 +120,86 @@ def fetch_events(spark: SparkSession, source: str, target: str, wanted: DataFram
     Both folders may be in any store that Spark reaches. An event that the source has no file of is an error, and then
     nothing is copied. Copies are made by executors, one file at a time, and appear whole.
     """
-    there = event_files(spark, source)
+    there = settled_rows(event_files(spark, source))
     if wanted is not None:
-        unknown = without_file(wanted.select("event_id").distinct(), there).orderBy("event_id").limit(10).collect()
+        wanted = settled_rows(wanted.select("event_id").distinct())
+        unknown = without_file(wanted, there).orderBy("event_id").limit(10).collect()
         if unknown:
             raise ValueError(f"there are no files of events {[r['event_id'] for r in unknown]}, and maybe others")
-        there = there.join(wanted.select("event_id").distinct(), "event_id", "left_semi")
+        there = there.join(wanted, "event_id", "left_semi")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop(target))
     present = event_files(spark, target).select("event_id", F.lit(True).alias("present"))
-    chosen = settled_rows(there.select("event_id").join(present, "event_id", "left").select("event_id", F.col("present").isNull().alias("fetched")))
+    chosen = settled_rows(there.join(present, "event_id", "left").select("event_id", "path", F.col("present").isNull().alias("fetched")))
+    folder = _mounted(spark, target)
+    if folder and _mounted(spark, source):
+        parts = 4 * spark.sparkContext.defaultParallelism
+        chosen.filter("fetched").repartition(parts, "path").select("path").mapInArrow(_copies(folder), "path string").write.format("noop").mode("overwrite").save()
+        return chosen.drop("path")
     lines = spark.read.option("pathGlobFilter", "comma_*.csv").text(source).select(F.monotonically_increasing_id().alias("n"), "value", event_of(F.col("_metadata.file_path")).alias("event_id"), F.col("_metadata.file_block_start").alias("at"))
     lines = lines.join(chosen.filter("fetched"), "event_id", "left_semi")
     _named_files(spark, lines.repartition("event_id").sortWithinPartitions("event_id", "at", "n").select(F.col("event_id").alias("_event"), "value").write.partitionBy("_event").text, target)
-    return chosen
+    return chosen.drop("path")
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder as all nodes have it mounted, if its store is files; None where only Spark reaches it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    uri = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop(path)).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _appear(part: str, folder: str, name: str) -> None:
+    """A whole file gets its name; a checksum that Hadoop left of an earlier one goes."""
+    if os.path.exists(f"{folder}/.{name}.crc"):
+        os.remove(f"{folder}/.{name}.crc")
+    os.replace(part, f"{folder}/{name}")
+
+
+def _copies(folder: str):
+    """Paths of mounted files -> each copied to the folder, under its name."""
+
+    def run(batches):
+        part = f"{folder}/_{uuid.uuid4().hex}"
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                shutil.copyfile(path.removeprefix("file:"), part)
+                _appear(part, folder, path.rsplit("/", 1)[1])
+        yield from ()
+
+    return run
+
+
+def _event_lines(lines: DataFrame, folder: str, head: str) -> None:
+    """Lines (_event, value), sorted and an event's in one partition, become comma_<event>.csv of a mounted folder, after a head.
+
+    Tasks write a file under a hidden name and then rename it. Spark's writer would make a folder for each event, and the
+    driver would commit and rename them one by one.
+    """
+
+    def run(batches):
+        now, out, part = None, None, f"{folder}/_{uuid.uuid4().hex}"
+        for batch in batches:
+            for event, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if event != now:
+                    if out:
+                        out.close()
+                        _appear(part, folder, f"comma_{now}.csv")
+                    now, out = event, open(part, "w", encoding="utf-8", newline="")
+                    out.write(head + "\n")
+                out.write(value + "\n")
+        if out:
+            out.close()
+            _appear(part, folder, f"comma_{now}.csv")
+        yield from ()
+
+    os.makedirs(folder, exist_ok=True)
+    lines.mapInArrow(run, "_event long").write.format("noop").mode("overwrite").save()
 
 
 def _named_files(spark: SparkSession, write, path: str) -> None:
-    """What write(folder) puts below _event=<n> becomes comma_<n>.csv of path."""
+    """What write(folder) puts below _event=<n> becomes comma_<n>.csv of path, in any store."""
     part = f"{path}-{uuid.uuid4().hex}"
     write(part)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
