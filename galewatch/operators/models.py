@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,24 +95,41 @@ def recurrent_probabilities(weights: RecurrentWeights, x: np.ndarray) -> np.ndar
     return 1 / (1 + np.exp(-(x @ weights.head + weights.bias)))
 
 
+#: Steps that the network goes over at once, of all sequences together; a single sequence may have more.
+AT_ONCE = 16_384
+
+
+def by_steps(x: pa.Array) -> list[tuple[int, np.ndarray]]:
+    """(steps, places) of sequences with as many steps; null and empty ones have no place."""
+    size = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return [(int(n), np.flatnonzero(size == n)) for n in np.unique(size) if n]
+
+
+def steps_of(x: pa.Array, at: np.ndarray, steps: int) -> np.ndarray:
+    """(sequences, steps, features) of those places, straight from Arrow's buffers."""
+    inner = x.take(pa.array(at)).flatten()
+    width = np.unique(inner.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False))
+    if len(width) != 1 or width[0] < 0:
+        raise ValueError("all steps must have as many features")
+    return inner.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(at), steps, int(width[0]))
+
+
 def recurrent_scores(df: DataFrame, weights: RecurrentWeights, features: str = "features") -> DataFrame:
     """df (a sequence a row, features array<array<float>>) with probabilities array<float>; the weights are broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("array<float>")
-    def score(x: pd.Series) -> pd.Series:
-        out = [None] * len(x)
-        by_size: dict[int, list[int]] = {}
-        for i, s in enumerate(x):
-            if s is not None and len(s):
-                by_size.setdefault(len(s), []).append(i)
-        for at in by_size.values():
-            p = recurrent_probabilities(shared.value, np.stack([np.stack(x[i]) for i in at]).astype(np.float32))
-            for i, row in zip(at, p, strict=True):
-                out[i] = row.tolist()
-        return pd.Series(out, dtype=object)
-
-    return df.withColumn("probabilities", score(features))
+    @F.arrow_udf("array<float>")
+    def score(x: pa.Array) -> pa.Array:
+        size = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size, dtype=np.int64)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.float32)
+        for n, at in by_steps(x):
+            for some in np.array_split(at, -(-len(at) * n // AT_ONCE)):
+                if len(some):
+                    out[(ends[some] - n)[:, None] + np.arange(n)] = recurrent_probabilities(shared.value, steps_of(x, some, n))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out), mask=pa.array(size == 0))
+
+    return df.withColumn("probabilities", score(F.col(features).cast("array<array<float>>")))
 
 
 #: Assets that the split search takes, which every task holds; and trials of a task.

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import require_positive
-from .models import RecurrentWeights, recurrent_probabilities
+from .models import AT_ONCE, RecurrentWeights, by_steps, recurrent_probabilities, steps_of
 
 #: Sequences of a shard, about; and parts of the weights that are averaged apart.
 SHARD = 20_000
@@ -141,11 +141,15 @@ class State:
 
 def _sequences(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, ...]]:
     """Arrays of features, labels and mask by number of steps; sequences without steps are left out."""
-    rows: dict[int, list] = {}
-    for x, y, m in zip(*(batch.column(c).to_pylist() for c in ("features", "labels", "mask")), strict=True):
-        if x:
-            rows.setdefault(len(x), []).append((x, y, m))
-    return {n: tuple(np.array([r[i] for r in own], np.float32) for i in range(3)) for n, own in rows.items()}
+    x, *others = (batch.column(c) for c in ("features", "labels", "mask"))
+    return {n: (steps_of(x, at, n), *(_numbers(c, at, n) for c in others)) for n, at in by_steps(x)}
+
+
+def _numbers(column: pa.Array, at: np.ndarray, steps: int) -> np.ndarray:
+    own = column.take(pa.array(at))
+    if (own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) != steps).any():
+        raise ValueError("labels and mask must have a number for each step")
+    return own.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(at), steps)
 
 
 def _joined(batches) -> dict[int, tuple[np.ndarray, ...]]:
@@ -194,9 +198,11 @@ def _losses(shared, weight: float):
         w = of_flat(State.loads(shared.value).parts)
         for batch in batches:
             loss, valid = 0.0, 0.0
-            for x, y, m in _sequences(batch).values():
-                p = np.clip(recurrent_probabilities(w, x).astype(np.float64), 1e-12, 1 - 1e-12)
-                loss, valid = loss + masked_loss(np.log(p / (1 - p)), y, m, weight), valid + float(m.sum())
+            for n, (x, y, m) in _sequences(batch).items():
+                for i in range(0, len(x), at_once := max(1, AT_ONCE // n)):
+                    own = slice(i, i + at_once)
+                    p = np.clip(recurrent_probabilities(w, x[own]).astype(np.float64), 1e-12, 1 - 1e-12)
+                    loss, valid = loss + masked_loss(np.log(p / (1 - p)), y[own], m[own], weight), valid + float(m[own].sum())
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([valid])], names=["loss", "valid"])
 
     return run
