@@ -19,6 +19,7 @@ model of fixed size reaches the driver.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,22 +64,25 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return names, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(names)).astype(np.int64)
 
 
+def _tallied(learned: Counter, other: set) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and training counts of words of training texts, and of those of other texts."""
+    return [(hashed(list(learned)), np.fromiter(learned.values(), float, len(learned))), (hashed(list(other)), np.zeros(len(other)))]
+
+
 def _counted(buckets: int):
     """Rows of (block, learn, text) -> each block's words and training counts, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held: dict[int, list] = {}
-        fresh: dict[int, int] = {}
+        held: dict[int, tuple[list, Counter, set]] = {}
         for batch in batches:
             for block, learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                h = hashed(words_of(text))
-                own = held.setdefault(block, [])
-                own.append((h, np.full(len(h), float(learn))))
-                fresh[block] = fresh.get(block, 0) + len(h)
-                if fresh[block] > 1_000_000:
-                    held[block], fresh[block] = [_merged(own)], 0
-        for block, own in held.items():
-            names, counts = _merged(own)
+                merged, learned, other = held.setdefault(block, ([], Counter(), set()))
+                (learned if learn else other).update(words_of(text))
+                if len(learned) + len(other) > 500_000:
+                    merged[:] = [_merged([*merged, *_tallied(learned, other)])]
+                    learned.clear(), other.clear()
+        for block, (merged, learned, other) in held.items():
+            names, counts = _merged([*merged, *_tallied(learned, other)])
             at = (names % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             touched, edge = np.unique(at[order], return_index=True)
@@ -174,14 +178,25 @@ class Scorer:
     """Scores of texts, given all counts that their words need."""
 
     def __init__(self, model: attention.Model, pieces: attention.Pieces):
-        self.model, self.pieces = model, pieces
+        self.model, self.pieces, self.splitter = model, pieces, attention.Splitter(pieces)
+        self.names, self.counts = None, np.zeros(1)
         self.tables = np.ascontiguousarray(model.tables().T)
         self.starting = self.tables[pieces.count : pieces.end + 1].sum(0)
 
-    def spelled(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Natural log probabilities of all words and ends, in order."""
+    def numbered(self, texts: list[list[bytes]], names: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """The splitter's numbers of all words and ends, in order; counts are those of each number."""
+        if names is not self.names or len(self.counts) > 400_000:
+            self.splitter.clear()
+            self.names, self.counts = names, np.zeros(1)
+        of, fresh = self.splitter.numbered(texts)
+        if fresh:
+            self.counts = np.concatenate([self.counts, total[np.searchsorted(names, hashed(fresh))]])
+        return of
+
+    def spelled(self, of: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of all words and ends, in order, given their numbers."""
         p = self.pieces
-        seen, want, begin, size, starts = attention.sequences(p, texts)
+        seen, want, begin, size, starts = self.splitter.sequences(of)
         logs, starting = attention.score(self.model, self.tables, self.starting, seen, want, begin, size, p.pad)
         ends = want == p.end
         first = np.flatnonzero(starts | ends)
@@ -194,16 +209,12 @@ class Scorer:
         """(n_tokens, n_known, train_tokens, base_score, score) of each text."""
         size = np.array([len(t) + 1 for t in texts])
         ends = np.cumsum(size) - 1
-        counts = np.zeros(int(size.sum()))
-        body = np.ones(len(counts), bool)
-        body[ends] = False
-        words = [w for t in texts for w in t]
-        if words:
-            counts[body] = total[np.searchsorted(names, hashed(words))]
+        of = self.numbered(texts, names, total)
+        counts = self.counts[of]
         counts[ends] = documents
         n, v = tokens + documents, types + (documents > 0)
         base = np.log10((counts + 1) / (n + (v + 1)))
-        spelled = np.exp(self.spelled(texts))
+        spelled = np.exp(self.spelled(of))
         if n:
             joined = np.maximum(counts - DISCOUNT, 0) / n + DISCOUNT * v / n * spelled
             score = np.log10(np.maximum((1 - SPELLED) * joined + SPELLED * spelled, 1e-300))

@@ -216,3 +216,48 @@ def test_parameters_on_end(pieces):
         return -attention.score(m, tables, tables.sum(0), *s[:4], pieces.pad)[0].mean()
 
     assert loss(more) < loss(start)
+
+
+def test_each_different_word_is_split_once(pieces, monkeypatch):
+    """Repeated words cost no further splitting, within a call and from one batch of texts to the next; ids are as without that."""
+    texts = [[b"the", b"others", b"the"] * 50, [], [b"the"], [b"some", b"the"] * 7]
+    whole = attention.sequences(pieces, texts)
+    split, split_bytes = attention.Pieces.split, []
+
+    def watched(self, raw, size):
+        split_bytes.append(len(raw))
+        return split(self, raw, size)
+
+    monkeypatch.setattr(attention.Pieces, "split", watched)
+    assert all(np.array_equal(a, b) for a, b in zip(attention.sequences(pieces, texts), whole, strict=True))
+    assert split_bytes == [len(b"theotherssome")]
+    splitter = attention.Splitter(pieces)
+    parts = [splitter.sequences(splitter.numbered([t])[0]) for t in texts]
+    assert sum(split_bytes) == 2 * split_bytes[0]
+    assert np.array_equal(np.concatenate([p[1] for p in parts]), whole[1]) and np.array_equal(np.concatenate([p[4] for p in parts]), whole[4])
+    ids, first = split(pieces, np.frombuffer(b"".join(w for t in texts for w in t), np.uint8), np.array([len(w) for t in texts for w in t]))
+    assert np.array_equal(whole[1][whole[1] != pieces.end], ids) and np.array_equal(whole[4][whole[1] != pieces.end], first)
+
+
+def test_ids_that_texts_lack_keep_their_rows(pieces):
+    """What isn't learned is not moved either, but stays part of what tables sum to."""
+    texts = [[b"some", b"words"] * 300, [b"others"] * 500]
+    start = attention.new_model(pieces, np.ones(pieces.size))
+    there = np.unique(np.concatenate([*attention.sequences(pieces, texts)[:2], [pieces.pad]]))
+    more, _ = attention.refine(pieces, attention.Model.of_vector(start.vector(), pieces), texts)
+    lacking = np.setdiff1d(np.arange(pieces.size), there)
+    assert np.array_equal(more.e[lacking], start.e[lacking]) and np.array_equal(more.t[:, lacking], start.t[:, lacking])
+    assert not np.array_equal(more.e[there], start.e[there]) and np.allclose(more.tables().sum(1), 1, atol=1e-4)
+
+
+def test_counts_of_a_block():
+    """Training counts of all words, those of other texts alone included, whatever is merged in between."""
+    texts = [(7, 1, "a b a"), (7, 0, "b c"), (8, 1, "a"), (7, 1, "c a d"), (7, 0, "e e")]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("block", "learn", "text"), t, strict=True)) for t in texts])
+    got: dict[int, dict] = {}
+    for sent in lm_score._counted(3)(iter([batch, batch])):
+        for r in sent.to_pylist():
+            assert {h % 3 for h in np.frombuffer(r["hashes"], np.uint64).tolist()} == {r["bucket"]}
+            got.setdefault(r["block"], {}).update(zip(np.frombuffer(r["hashes"], np.uint64).tolist(), np.frombuffer(r["counts"], np.int64).tolist(), strict=True))
+    named = dict(zip(lm_score.hashed([b"a", b"b", b"c", b"d", b"e"]).tolist(), "abcde", strict=True))
+    assert {b: {named[h]: c for h, c in x.items()} for b, x in got.items()} == {7: {"a": 6, "b": 2, "c": 2, "d": 2, "e": 0}, 8: {"a": 2}}
